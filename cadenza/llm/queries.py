@@ -4,10 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import embedding_dedup, mixing, packing, quality, token_counts, vp_search
+from . import embedding_dedup, mixing, ngram_join, packing, quality, token_counts, vp_search
 from .common import table
 
 
+def op1_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op2_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding_dedup.near_vectors(table(spark, sf_dir, "embeddings"))
 
@@ -33,7 +37,7 @@ def op10_vantage_point_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vp_search.nearest(table(spark, sf_dir, "embeddings"))
 
 
-QUERIES = {f.__name__: f for f in (op2_embedding_near_dedup, op3_token_counts, op5_quality_classifier, op6_packing, op9_source_mix, op10_vantage_point_search)}
+QUERIES = {f.__name__: f for f in (op1_ngram_jaccard_join, op2_embedding_near_dedup, op3_token_counts, op5_quality_classifier, op6_packing, op9_source_mix, op10_vantage_point_search)}
 
 #: DuckDB SQL for the queries that SQL can express.
 ORACLE: dict[str, str] = {}
