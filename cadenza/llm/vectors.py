@@ -39,9 +39,11 @@ def unit(x: np.ndarray) -> np.ndarray:
     return x / np.sqrt((x * x).sum(axis=1, keepdims=True))
 
 
-def groups_of(batches, keys: int):
-    """Batches of a partition sorted by its first ``keys`` columns, regrouped as one table per key."""
+def groups_of(batches, keys: int, most: int = 1 << 60):
+    """Batches of a partition sorted by its first ``keys`` columns, regrouped as one table per key, or as several in a
+    row of ``most`` rows each."""
     held: list[pa.RecordBatch] = []
+    rows = 0
     last = None
     for batch in batches:
         if not batch.num_rows:
@@ -55,8 +57,14 @@ def groups_of(batches, keys: int):
             now = tuple(batch.column(c)[lo].as_py() for c in range(keys))
             if held and now != last:
                 yield last, pa.Table.from_batches(held)
-                held = []
+                held, rows = [], 0
             last = now
-            held.append(batch.slice(lo, hi - lo))
+            while lo < hi:
+                n = min(hi - lo, most - rows)
+                held.append(batch.slice(lo, n))
+                lo, rows = lo + n, rows + n
+                if rows == most:
+                    yield last, pa.Table.from_batches(held)
+                    held, rows = [], 0
     if held:
         yield last, pa.Table.from_batches(held)
