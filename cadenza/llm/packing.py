@@ -23,6 +23,18 @@ WORDS = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]
 KEPT_WORDS = 600_000
 
 
+class _Places(dict):
+    """Word -> place in the pool; a new word gets the next place and waits to be encoded."""
+
+    def __init__(self) -> None:
+        self.new: list[str] = []
+
+    def __missing__(self, word: str) -> int:
+        place = self[word] = len(self)
+        self.new.append(word)
+        return place
+
+
 class WordIds:
     """Ids of texts under a word-level BPE: each distinct word is encoded once, by the library, and kept."""
 
@@ -35,14 +47,20 @@ class WordIds:
         self._empty()
 
     def _empty(self) -> None:
-        self.at: dict[str, int] = {}
+        self.at = _Places()
         self.pool = np.zeros(1 << 16, np.uint32)
         self.used = 0
         self.start = np.zeros(1 << 16, np.int64)
         self.length = np.zeros(1 << 16, np.int64)
 
-    def _learn(self, words: list[str]) -> None:
+    def _learn(self) -> None:
         """Encode words that are new, many at a time: the library cuts at the blanks between them again."""
+        words = self.at.new
+        self.at.new = []
+        n = len(self.at) - len(words)
+        while n + len(words) > len(self.start):
+            self.start = np.concatenate([self.start, np.zeros_like(self.start)])
+            self.length = np.concatenate([self.length, np.zeros_like(self.length)])
         for lo in range(0, len(words), 4096):
             part = words[lo : lo + 4096]
             e = self.lib.encode(" ".join(part), add_special_tokens=False)
@@ -56,39 +74,49 @@ class WordIds:
                 flat = np.asarray(e.ids, np.uint32)
             while self.used + len(flat) > len(self.pool):
                 self.pool = np.concatenate([self.pool, np.zeros_like(self.pool)])
-            n = len(self.at)
-            while n + len(part) > len(self.start):
-                self.start = np.concatenate([self.start, np.zeros_like(self.start)])
-                self.length = np.concatenate([self.length, np.zeros_like(self.length)])
             self.pool[self.used : self.used + len(flat)] = flat
             self.length[n : n + len(part)] = lens
-            self.start[n : n + len(part)] = self.used + np.concatenate([[0], np.cumsum(lens)[:-1]])
+            self.start[n : n + len(part)] = self.used + np.cumsum(lens) - lens
             self.used += len(flat)
-            self.at.update(zip(part, range(n, n + len(part)), strict=True))
+            n += len(part)
 
-    def _plain(self, text: str) -> np.ndarray:
-        words = WORDS.findall(unicodedata.normalize("NFC", text).replace("Σ", "σ").lower())
-        if not words:
+    def parts(self, text: str) -> list[str | int]:
+        """Plain stretches of a text and the ids of special tokens between them."""
+        if self.split is None or not any(s in text for s in self.specials):
+            return [text]
+        out: list[str | int] = []
+        at = 0
+        for m in self.split.finditer(text):
+            out += [text[at : m.start()], self.specials[m[0]]]
+            at = m.end()
+        return [*out, text[at:]]
+
+    def batch(self, texts: list[str]) -> list[np.ndarray]:
+        """Ids of many texts; words that are new to the batch are learnt together."""
+        if len(self.at) > KEPT_WORDS:
+            self._empty()
+        look = self.at.__getitem__
+        rows: list[list[np.ndarray]] = []
+        for text in texts:
+            row = []
+            for part in self.parts(text):
+                if isinstance(part, int):
+                    row.append(part)
+                else:
+                    words = WORDS.findall(unicodedata.normalize("NFC", part).replace("Σ", "σ").lower())
+                    row.append(np.fromiter(map(look, words), np.int64, len(words)))
+            rows.append(row)
+        if self.at.new:
+            self._learn()
+        return [np.concatenate([np.asarray([p], np.uint32) if isinstance(p, int) else self._flat(p) for p in row]) for row in rows]
+
+    def _flat(self, w: np.ndarray) -> np.ndarray:
+        if not len(w):
             return np.empty(0, np.uint32)
-        if new := set(words) - self.at.keys():
-            if len(self.at) + len(new) > KEPT_WORDS:
-                self._empty()
-                new = set(words)
-            self._learn(sorted(new))
-        w = np.fromiter(map(self.at.__getitem__, words), np.int64, len(words))
         lens = self.length[w]
         ends = np.cumsum(lens)
         return self.pool[np.repeat(self.start[w] - ends + lens, lens) + np.arange(ends[-1])]
 
-    def __call__(self, text: str) -> np.ndarray:
-        if self.split is None or not any(s in text for s in self.specials):
-            return self._plain(text)
-        out, at = [], 0
-        for m in self.split.finditer(text):
-            out += [self._plain(text[at : m.start()]), np.asarray([self.specials[m[0]]], np.uint32)]
-            at = m.end()
-        return np.concatenate([*out, self._plain(text[at:])])
-
 
 @lru_cache(maxsize=2)
 def word_ids(path: str) -> WordIds:
@@ -246,9 +274,9 @@ def pack(docs: DataFrame, window: int = WINDOW, tokenizer: str = "word_bpe_49k.j
         for batch in batches:
             key_kind = batch.schema.field("k").type
             names = batch.column(0).to_pylist()
-            for k, t in zip(names, texts_of(batch, "t"), strict=True):
+            for k, ids in zip(names, ids_of.batch(texts_of(batch, "t")), strict=True):
                 keys.append(k)
-                held.append(np.append(ids_of(t), np.uint32(end_id)))
+                held.append(np.append(ids, np.uint32(end_id)))
                 tokens += len(held[-1])
                 if len(held) >= shard_docs or tokens > 16_000_000:
                     yield flush()
