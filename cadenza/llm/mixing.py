@@ -2,15 +2,21 @@
 
 from __future__ import annotations
 
+import re
 import zlib
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Fixed value: what separates words.
+from .common import short_batches, texts_of
+
+#: Fixed value: what a word is.
 WORD = r"[^\x20\x09-\x0D]+"
+WORDS = re.compile(WORD)
 
 
 def targets_of(sizes: np.ndarray, weights: np.ndarray, total: float, most: float) -> np.ndarray:
@@ -53,36 +59,44 @@ def sainte_lague(votes: np.ndarray, seats: int) -> np.ndarray:
         quota[down] -= 1
 
 
-def _take(sizes: np.ndarray, words: int, block: int, seed: int) -> np.ndarray:
-    """Words taken from each document of a shard: whole rounds over all blocks, then blocks in a seeded order until
-    ``words`` are reached; the last one is cut."""
+def _take(sizes: np.ndarray, words: int, block: int, seed: int) -> tuple[int, list[list[tuple[int, int]]]]:
+    """What is taken from each document of a shard: whole rounds over all blocks, then blocks in a seeded order until
+    ``words`` are reached, the last one cut. Gives the rounds and per document the word spans of the last, partial one."""
     total = int(sizes.sum())
+    spans: list[list[tuple[int, int]]] = [[] for _ in sizes]
     if not total or words <= 0:
-        return np.zeros(len(sizes), np.int64)
+        return 0, spans
     rounds, rest = divmod(words, total)
-    taken = sizes * rounds
-    if rest:
-        n = -(-total // block)
-        order = np.random.Generator(np.random.PCG64(seed)).permutation(n)
-        lens = np.minimum(block, total - order * block)
-        upto = np.cumsum(lens)
-        k = int(np.searchsorted(upto, rest))
-        chosen = np.zeros(n, np.int64)
-        chosen[order[:k]] = lens[:k]
-        chosen[order[k]] = rest - (upto[k - 1] if k else 0)
-        ends = np.cumsum(sizes)
-        before = np.concatenate([[0], np.cumsum(chosen)])
-
-        def upto_word(p: np.ndarray) -> np.ndarray:  # chosen words among the first p of the shard
-            b = np.minimum(p // block, n - 1)
-            return before[b] + np.minimum(p - b * block, chosen[b])
-
-        taken = taken + upto_word(ends) - upto_word(ends - sizes)
-    return taken
+    if not rest:
+        return rounds, spans
+    n = -(-total // block)
+    order = np.random.Generator(np.random.PCG64(seed)).permutation(n)
+    lens = np.minimum(block, total - order * block)
+    upto = np.cumsum(lens)
+    k = int(np.searchsorted(upto, rest))
+    lens = lens[: k + 1].copy()
+    lens[k] = rest - (upto[k - 1] if k else 0)
+    lo = order[: k + 1] * block
+    by = np.argsort(lo)
+    ends = np.cumsum(sizes)
+    starts = ends - sizes
+    for a, b in zip(lo[by].tolist(), (lo + lens)[by].tolist(), strict=True):
+        d = int(np.searchsorted(ends, a, side="right"))
+        while a < b:
+            cut = min(b, int(ends[d]))
+            if cut > a:
+                own, at = spans[d], int(starts[d])
+                if own and own[-1][1] == a - at:
+                    own[-1] = (own[-1][0], cut - at)
+                else:
+                    own.append((a - at, cut - at))
+            a, d = max(a, cut), d + 1
+    return rounds, spans
 
 
 def mix(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), factor: float = 1.5, most: float = 2.0, block: int = 64, shard_docs: int = 1024, seed: int = 17, key: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
-    """Words that a mix takes from each row of ``docs``: key, source, size, source_size, target, taken.
+    """Words that a mix takes from each row of ``docs``: key, source, size, source_size, target, taken; and rounds
+    (how often it is taken whole) and parts (word spans of the round that is taken in part).
 
     Size is the number of words (null text: 0). Sources, by code point and null last, weigh ``weights`` in turn and
     share ``factor`` times all words; a target stops at ``most`` times its source's words and the excess is shared
@@ -131,17 +145,42 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), factor: float =
         p = p.sort_values(["h", "k", "size"], kind="stable")
         name = p["s"].iloc[0]
         own = zlib.crc32(f"{seed}|{'' if pd.isna(name) else 's' + str(name)}|{p['shard'].iloc[0]}".encode())
-        p["taken"] = _take(p["size"].to_numpy(np.int64), int(p["words"].iloc[0]), block, own)
-        return p[["k", "s", "size", "source_size", "target", "taken"]]
+        rounds, spans = _take(p["size"].to_numpy(np.int64), int(p["words"].iloc[0]), block, own)
+        p["rounds"] = rounds
+        p["parts"] = [[{"lo": a, "hi": b} for a, b in x] for x in spans]
+        p["taken"] = p["size"] * rounds + [sum(b - a for a, b in x) for x in spans]
+        return p[["k", "s", "size", "source_size", "target", "taken", "rounds", "parts"]]
 
     kind = docs.schema[key].dataType.simpleString()
-    out = joined.groupBy("s", "shard").applyInPandas(take, f"k {kind}, s string, size long, source_size long, target double, taken long")
+    out = joined.groupBy("s", "shard").applyInPandas(take, f"k {kind}, s string, size long, source_size long, target double, taken long, rounds long, parts array<struct<lo: long, hi: long>>")
     return out.withColumnsRenamed({"k": key, "s": source})
 
 
-def materialised(docs: DataFrame, mixed: DataFrame, key: str = "doc_id", most: int = 2) -> DataFrame:
-    """``docs`` as the mix has them: a row for each copy that is taken at least half (a document of many blocks may
-    be taken in part), with column ``copy``. Keys must be unique."""
-    n = F.floor(F.col("taken") / F.greatest(F.col("size"), F.lit(1)) + 0.5).cast("int")
-    times = mixed.select(F.col(key).alias("_k"), F.least(n, F.lit(most)).alias("_n")).where("_n > 0")
-    return docs.join(times, docs[key] == F.col("_k")).withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("_n")))).drop("_k", "_n")
+def mixed_documents(docs: DataFrame, mixed: DataFrame, key: str = "doc_id", text: str = "text", n_chars: str = "n_chars") -> DataFrame:
+    """``docs`` as ``mix`` has them, same columns: a row for each time that a whole document is taken and one for the
+    words of its partly taken round, those words joined by blanks. Documents without words are left out. Keys must
+    be unique and not null; ``n_chars``, if there is such a column, is counted anew."""
+    short_batches(docs.sparkSession)
+    plan = mixed.where("taken > 0").select(F.col(key).alias("_k"), F.col("rounds").alias("_rounds"), F.col("parts").alias("_parts"))
+    rows = docs.join(plan, docs[key] == F.col("_k")).drop("_k")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep = [i for i, n in enumerate(batch.schema.names) if not n.startswith("_")]
+            texts = texts_of(batch, text)
+            which, out = [], []
+            for i, (t, rounds, parts) in enumerate(zip(texts, batch.column(batch.num_columns - 2).to_pylist(), batch.column(batch.num_columns - 1).to_pylist(), strict=True)):
+                which += [i] * rounds
+                out += [t] * rounds
+                if parts:
+                    words = WORDS.findall(t)
+                    which.append(i)
+                    out.append(" ".join(w for p in parts for w in words[p["lo"] : p["hi"]]))
+            at = pa.array(which, pa.int64())
+            cols = {batch.schema.names[i]: batch.column(i).take(at) for i in keep}
+            cols[text] = pa.array(out, pa.string())
+            if n_chars in cols:
+                cols[n_chars] = pa.array(list(map(len, out)), cols[n_chars].type)
+            yield pa.RecordBatch.from_pydict(cols)
+
+    return rows.mapInArrow(run, docs.schema)

@@ -15,8 +15,9 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import Scratch, release_shuffles, short_batches, texts_of
 from .ngram_join import _ids, _unids
@@ -366,22 +367,23 @@ def removed_spans(first: np.ndarray, number: np.ndarray, length: int) -> list[tu
     return spans
 
 
-def without_repeats(docs: DataFrame, length: int = 100, key: str = "doc_id", text: str = "text") -> DataFrame:
+def without_repeats(docs: DataFrame, length: int = 100, key: str = "doc_id", text: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:
     """Per row of ``docs``: key (an integer), n_bytes, n_removed, spans (array of struct<lo, hi>, byte offsets), kept (binary).
 
     Texts are taken whole as UTF-8 bytes, null as empty. Each byte goes that is covered by a string of ``length`` bytes
     which also starts earlier: in a row with a smaller key, or earlier in the same text. Strings never cross texts,
     overlaps count, and all are judged on the input. ``kept`` joins the bytes that stay; cutting can split a character.
     Rows with null keys keep all and remove nothing from others; rows that repeat a key are not earlier than each
-    other. Shorter texts stay whole, an empty table gives no rows, other columns are left out.
+    other. Shorter texts stay whole, an empty table gives no rows, other columns are left out
+    but for those named in ``carry``, which come as one struct of that name.
 
     No gram, however frequent, meets in one task: its strings are dealt by their own hashes, one of a kind per task.
     """
     spark = docs.sparkSession
     short_batches(spark)
     scratch = Scratch(spark, "suffix-dedup")
-    rows = docs.select(docs[key].cast("long").alias("id"), docs[text].alias("t"))
-    runs = removed_runs(rows.where("id IS NOT NULL AND t IS NOT NULL"), length, scratch)
+    rows = docs.select(docs[key].cast("long").alias("id"), docs[text].alias("t"), F.struct(F.lit(0).alias("_"), *(docs[c] for c in carry)).alias("carry"))
+    runs = removed_runs(rows.select("id", "t").where("id IS NOT NULL AND t IS NOT NULL"), length, scratch)
     per_doc = runs.groupBy("id").agg(F.collect_list(F.struct("first", "number")).alias("runs")).withColumnRenamed("id", "rid")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -396,8 +398,17 @@ def without_repeats(docs: DataFrame, length: int = 100, key: str = "doc_id", tex
                 gone.append(len(t) - len(kept[-1]))
                 spans_of.append([{"lo": lo, "hi": hi} for lo, hi in spans])
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(list(map(len, texts)), pa.int64()), pa.array(gone, pa.int64()), pa.array(spans_of, pa.list_(pa.struct([("lo", pa.int64()), ("hi", pa.int64())]))), pa.array(kept, pa.binary())],
-                names=["id", "n_bytes", "n_removed", "spans", "kept"])
+                [batch.column(0), pa.array(list(map(len, texts)), pa.int64()), pa.array(gone, pa.int64()), pa.array(spans_of, pa.list_(pa.struct([("lo", pa.int64()), ("hi", pa.int64())]))), pa.array(kept, pa.binary()), batch.column(3)],
+                names=["id", "n_bytes", "n_removed", "spans", "kept", "carry"])
 
-    joined = rows.join(per_doc, F.col("id") == F.col("rid"), "left").select("id", "t", "runs")
-    return joined.mapInArrow(cut, "id long, n_bytes long, n_removed long, spans array<struct<lo: long, hi: long>>, kept binary").withColumnRenamed("id", key)
+    joined = rows.join(per_doc, F.col("id") == F.col("rid"), "left").select("id", "t", "runs", "carry")
+    schema = T.StructType([T.StructField(n, T.LongType()) for n in ("id", "n_bytes", "n_removed")])
+    span = T.StructType([T.StructField(n, T.LongType()) for n in ("lo", "hi")])
+    schema = schema.add("spans", T.ArrayType(span)).add("kept", T.BinaryType()).add(joined.schema["carry"])
+    out = joined.mapInArrow(cut, schema)
+    return (out if carry else out.drop("carry")).withColumnRenamed("id", key)
+
+
+def whole_characters(kept: Column) -> Column:
+    """Bytes as text, without the characters that a cut has split (and without U+FFFD, which marks them)."""
+    return F.translate(F.make_valid_utf8(kept.cast("string")), "\ufffd", "")
