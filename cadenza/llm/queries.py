@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import embedding_dedup, html_extract, mixing, ngram_join, packing, quality, suffix_dedup, token_counts, vp_search
+from . import embedding_dedup, html_extract, license_scan, mixing, ngram_join, packing, quality, suffix_dedup, token_counts, vp_search
 from .common import table
 
 
@@ -21,6 +21,10 @@ def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(table(spark, sf_dir, "documents"))
 
 
+def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.scan(table(spark, sf_dir, "documents"))
+
+
 def op5_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return quality.score(docs, quality.fit(docs, table(spark, sf_dir, "labels")))
@@ -47,7 +51,7 @@ def op10_vantage_point_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vp_search.nearest(table(spark, sf_dir, "embeddings"))
 
 
-QUERIES = {f.__name__: f for f in (op1_ngram_jaccard_join, op2_embedding_near_dedup, op3_token_counts, op5_quality_classifier, op6_packing, op7_suffix_array_dedup, op8_html_main_text, op9_source_mix, op10_vantage_point_search)}
+QUERIES = {f.__name__: f for f in (op1_ngram_jaccard_join, op2_embedding_near_dedup, op3_token_counts, op4_license_scan, op5_quality_classifier, op6_packing, op7_suffix_array_dedup, op8_html_main_text, op9_source_mix, op10_vantage_point_search)}
 
 #: DuckDB SQL for the queries that SQL can express.
 ORACLE: dict[str, str] = {}
@@ -69,3 +73,20 @@ n AS (SELECT a, count(*) AS n FROM l GROUP BY a), c AS (SELECT a, min(b) AS m FR
 SELECT e.vec_id, coalesce(n.n, 0)::BIGINT AS n_links, least(e.vec_id, coalesce(c.m, e.vec_id)) AS component_id, e.vec_id <= coalesce(c.m, e.vec_id) AS kept
 FROM embeddings e LEFT JOIN n ON n.a = e.vec_id LEFT JOIN c ON c.a = e.vec_id
 """
+
+_TEMPLATES = ", ".join("('{}', '{}')".format(n, t.replace("'", "''")) for n, t in license_scan.TEMPLATES.items())
+_PAIRS = "list_distinct(list_transform(range(1, len({w})), lambda i: lower({w}[i]) || ' ' || lower({w}[i + 1])))"
+
+ORACLE["op4_license_scan"] = f"""
+WITH t AS (SELECT name, {_PAIRS.format(w='w')} AS b FROM (SELECT name, regexp_extract_all(text, '[A-Za-z0-9]+') AS w FROM (VALUES {_TEMPLATES}) v(name, text))),
+p AS (SELECT doc_id, text, unnest(string_split(coalesce(text, ''), chr(10) || chr(10))) AS p, len(string_split(coalesce(text, ''), chr(10) || chr(10))) AS n FROM documents),
+u AS (SELECT doc_id, unnest(string_split(p, chr(10))) AS u FROM p
+      UNION ALL SELECT doc_id, p FROM p WHERE contains(p, chr(10))
+      UNION ALL SELECT doc_id, text FROM documents WHERE contains(text, chr(10) || chr(10))),
+n AS (SELECT row_number() OVER () AS unit, doc_id, regexp_extract_all(u, '[A-Za-z0-9]+') AS w FROM u),
+b AS (SELECT unit, doc_id, {_PAIRS.format(w='w')} AS b FROM n WHERE len(w) > 1),
+d AS (SELECT b.unit, b.doc_id, t.name, 2.0::DOUBLE * len(list_intersect(b.b, t.b)) / (len(b.b) + len(t.b)) AS dice FROM b JOIN t
+      ON len(b.b) * 0.8 <= len(t.b) * 1.2 AND len(t.b) * 0.8 <= len(b.b) * 1.2),
+m AS (SELECT doc_id, first(name ORDER BY dice DESC, name) AS license, max(dice) AS dice, count(DISTINCT unit) AS n_matches FROM d WHERE dice >= 0.8 GROUP BY doc_id)
+SELECT documents.doc_id, m.license, m.dice, coalesce(m.n_matches, 0)::BIGINT AS n_matches FROM documents LEFT JOIN m USING (doc_id)
+"""
