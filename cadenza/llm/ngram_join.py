@@ -26,34 +26,43 @@ from .shingles import mixed, shingle_sets
 from .vectors import groups_of
 
 #: A feature is frequent if more than this share of documents has it. At most (features a document) / share are.
-FREQUENT = 0.001
+FREQUENT = 0.0002
 
 
 class Bands:
-    """Size bands [l, r] with r about 2 l, and how many partitions each has."""
+    """Size bands whose ends are about 1/t apart, so a partner is in the same or a neighbouring band; and how many
+    partitions each has."""
 
     def __init__(self, threshold: Fraction) -> None:
         self.t = threshold
         self.gap = (1 - threshold) / (1 + threshold)
+        lows = [1]
+        while lows[-1] < 1 << 40:
+            lows.append(max(lows[-1] + 1, int(self.largest(np.int64(lows[-1]))) + 1))
+        self.lows = np.asarray(lows, np.int64)
 
     def band(self, n: np.ndarray) -> np.ndarray:
-        return np.floor(np.log2(n.astype(np.float64) + 1)).astype(np.int64)  # 1-2, 3-6, 7-14, ...
+        return np.searchsorted(self.lows, n, side="right") - 1
 
     def low(self, band: np.ndarray) -> np.ndarray:
-        return (np.int64(1) << band) - 1
+        return self.lows[band]
+
+    def top(self, band: np.ndarray) -> np.ndarray:
+        return self.lows[band + 1] - 1
 
     def largest(self, n: np.ndarray) -> np.ndarray:
         """The largest partner of a set of size n."""
         return n * self.t.denominator // self.t.numerator
 
     def differ(self, total: np.ndarray) -> np.ndarray:
+        """How many features two similar sets of that total size differ in at most."""
         return total * self.gap.numerator // self.gap.denominator
 
     def partitions(self, band: np.ndarray) -> np.ndarray:
-        top = (np.int64(2) << band) - 2
+        """A few more than k + 1, so that a set has more non-empty projections than k; many for small sets."""
+        top = self.top(band)
         k = self.differ(2 * top)
-        # half more than k + 1, so that a set has more non-empty projections than k; small sets get a partition a feature
-        groups = np.maximum(-(-3 * (k + 1) // 4), np.minimum(32, 2 * top))
+        groups = np.maximum((k + 1) * 11 // 20 + 2, np.minimum(24, 2 * top))
         return 2 * groups
 
 
@@ -82,8 +91,7 @@ def signatures(sets: list[np.ndarray], bands: Bands, frequent: np.ndarray) -> tu
             continue
         band, n = band[some], sizes[some]
         parts = bands.partitions(band)
-        top = (np.int64(2) << band) - 2
-        k = bands.differ(n + np.minimum(bands.largest(n), top))
+        k = bands.differ(n + np.minimum(bands.largest(n), bands.top(band)))
         first = np.cumsum(parts) - parts
         x = mixed(h ^ np.repeat(mixed(band.astype(np.uint64) + np.uint64(977)), n))
         at = np.repeat(first, n) + (((x >> np.uint64(32)) * np.repeat(parts, n).astype(np.uint64)) >> np.uint64(32)).astype(np.int64)
@@ -320,7 +328,8 @@ def near_duplicates(docs: DataFrame, words: int = 5, threshold: Fraction = Fract
             sets = shingle_sets(texts_of(batch, "t"), words)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), pa.array([s.tobytes() for s in sets], pa.binary())], names=["component", "tiles", "id", "s"])
 
-    sets = rows.join(member, "id").select("component", "tiles", "id", "t").mapInArrow(reread, "component long, tiles int, id long, s binary")
+    # both sides are dealt by id at every size: the members grow with the input and are never broadcast
+    sets = rows.join(member.hint("merge"), "id").select("component", "tiles", "id", "t").mapInArrow(reread, "component long, tiles int, id long, s binary")
     mine = F.pmod(F.xxhash64("id"), F.col("tiles")).cast("int")
     pair = lambda o: F.struct(F.least(mine, o).alias("a"), F.greatest(mine, o).alias("b"))
     others = F.when(F.col("tiles") == 1, F.array(pair(F.lit(0)))).otherwise(F.transform(F.filter(F.sequence(F.lit(0), F.col("tiles") - 1), lambda o: o != mine), pair))
