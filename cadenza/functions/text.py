@@ -59,8 +59,10 @@ def without_suffix(path: Column) -> Column:
 
 
 def watch_url(url: Column) -> Column:
-    """A video's address without list and time parameters."""
-    return F.when(F.contains(url, F.lit("watch?v=")), F.substring_index(url, "&", 1)).otherwise(url)
+    """A video's address without list and time parameters; other addresses as they are."""
+    long, short = F.contains(url, F.lit("youtube.com")), F.contains(url, F.lit("youtu.be"))
+    u = F.when(long, F.substring_index(url, "&", 1)).otherwise(url)
+    return F.when(short & F.contains(u, F.lit("?")), F.substring_index(u, "?", 1)).when(short, F.substring_index(u, "&", 1)).otherwise(u)
 
 
 def unbraced(path: Column) -> Column:
