@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, components, forest, release_shuffles, short_batches, texts_of
+from .common import Scratch, components, forest, short_batches, texts_of
 from .shingles import mixed, shingle_sets
 from .vectors import groups_of
 
@@ -309,7 +309,6 @@ def near_duplicates(docs: DataFrame, words: int = 5, threshold: Fraction = Fract
 
     signed = rows.where("id IS NOT NULL").mapInArrow(sign, "bucket int, s binary, d binary, a binary, b binary")
     shared = scratch.write(signed.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(meet, "a long, b long"), "shared")
-    release_shuffles(spark)
 
     # every set once: its smallest key stands for it
     heads = scratch.write(sized.where("n > 0 AND id IS NOT NULL").groupBy("n", "k1", "k2").agg(F.min("id").alias("rep")), "heads")
@@ -348,7 +347,6 @@ def near_duplicates(docs: DataFrame, words: int = 5, threshold: Fraction = Fract
     again = whose.groupBy("id").agg(F.min("rep").alias("b"), F.max("rep").alias("z")).where("b <> z")
     links = links.union(whose.join(again, "id").select(F.col("rep").alias("a"), "b"))
     links = scratch.write(links.where("a <> b"), "links")
-    release_shuffles(spark)
     comp = scratch.write(components(links, scratch), "components")
     reached = whose.join(comp, F.col("rep") == F.col("node"), "left").select(F.col("id").alias("wid"), F.coalesce("component", "rep").alias("c"))
     reached = reached.groupBy("wid").agg(F.min("c").alias("c"))

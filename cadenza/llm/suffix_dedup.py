@@ -15,11 +15,12 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import Scratch, release_shuffles, short_batches, texts_of
+from .common import BATCH_ROWS, Scratch, short_batches, texts_of
 from .ngram_join import _ids, _unids
 from .shingles import mixed
 from .vectors import groups_of
@@ -85,7 +86,7 @@ def _anchors(parts: list[tuple[int, int, bytes]], length: int) -> tuple[np.ndarr
     last = np.append(cut[1:], len(a)) - 1
     which = part[cut]
     shift = np.asarray([p[1] for p in parts])[which] - off[which]
-    return np.asarray([p[0] for p in parts])[which], a[cut] + shift, start[cut] + shift, start[last] + shift, g[a[cut]]
+    return np.asarray([p[0] for p in parts])[which], a[cut] + shift, start[cut] + shift, start[last] + shift, mixed(~g[a[cut]])  # mixed again, as smallest hashes crowd at 0
 
 
 def equal_classes(buf: np.ndarray, start: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
@@ -185,18 +186,89 @@ def _runs(doc: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.n
     return doc[cut], at[cut], at[last] - at[cut] + 1
 
 
-def removed_runs(docs: DataFrame, length: int, scratch: Scratch) -> DataFrame:
-    """Rows (id, first, number): strings of ``length`` bytes start at first, ..., first + number - 1 that also start earlier."""
+def _deal(ids: np.ndarray, parts: int) -> np.ndarray:
+    """The part of each document, the same as ``_part`` gives."""
+    return ((((ids ^ (ids >> 17) ^ (ids >> 33)) & 0x7FFFFFFF) * 40503) >> 7) % parts
+
+
+def _part(ident: Column, parts: int) -> Column:
+    x = ident.bitwiseXOR(F.shiftright(ident, 17)).bitwiseXOR(F.shiftright(ident, 33)).bitwiseAND(F.lit(0x7FFFFFFF))
+    return F.pmod(F.shiftright(x * F.lit(40503), 7), F.lit(parts)).cast("int")
+
+
+def _cuts(bucket: np.ndarray) -> list[tuple[int, int, int]]:
+    """(value, from, to) of each stretch of equal values."""
+    cut = np.flatnonzero(np.diff(bucket, prepend=-1)).tolist()
+    return [(int(bucket[lo]), lo, hi) for lo, hi in zip(cut, [*cut[1:], len(bucket)][: len(cut)], strict=True)]
+
+
+def _batch(rows: list[tuple], names: list[str]) -> pa.RecordBatch:
+    """Rows of an integer and blocks of bytes."""
+    return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), *(pa.array([r[c] for r in rows], pa.binary()) for c in range(1, len(names)))], names=names)
+
+
+def _batches(rows: list[tuple], names: list[str], most: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+    """The rows in batches of at most ``most`` bytes, but for single rows."""
+    own, size = [], 0
+    for r in rows:
+        n = sum(map(len, r[1:]))
+        if own and size + n > most:
+            yield _batch(own, names)
+            own, size = [], 0
+        own.append(r)
+        size += n
+    if own:
+        yield _batch(own, names)
+
+
+def _block(columns: list[list[bytes]]) -> list[np.ndarray]:
+    """Integers of many blocks, by column."""
+    return [np.concatenate([np.empty(0, np.int64), *map(_unids, c)]) for c in columns]
+
+
+def _by_part(parts: int, d: np.ndarray, *more: np.ndarray) -> list[tuple]:
+    """Blocks of integers for each part of the documents."""
+    own = _deal(d, parts)
+    order = np.argsort(own, kind="stable")
+    return [(b, *(_ids(x[order[lo:hi]]) for x in (d, *more))) for b, lo, hi in _cuts(own[order])]
+
+
+def with_blocks(docs: DataFrame, blocks: DataFrame, parts: int, names: list[str]) -> DataFrame:
+    """Documents (id, t, carry) and blocks of integers about them, dealt to the same parts: part, names, id, t, carry."""
+    empty = F.lit(None).cast("binary")
+    left = blocks.select("part", *names, F.lit(None).cast("long").alias("id"), F.lit(None).cast("string").alias("t"), F.lit(None).cast(docs.schema["carry"].dataType).alias("carry"))
+    part = F.coalesce(_part(F.col("id"), parts), F.pmod(F.xxhash64("t"), F.lit(parts)).cast("int"))
+    right = docs.select(part.alias("part"), *(empty.alias(n) for n in names), "id", "t", "carry")
+    return left.union(right).repartition("part").sortWithinPartitions("part")
+
+
+def _split(t: pa.Table, names: list[str]) -> tuple[list[np.ndarray], pa.Table]:
+    """A part's integers, sorted by document, and its documents."""
+    about = t.column(names[0]).is_valid()
+    blocks, docs = t.filter(about), t.filter(pa.compute.invert(about))
+    cols = _block([blocks.column(n).to_pylist() for n in names])
+    order = np.argsort(cols[0], kind="stable")
+    return [c[order] for c in cols], docs
+
+
+def removed_runs(docs: DataFrame, length: int, scratch: Scratch) -> tuple[DataFrame, int]:
+    """Which strings of ``length`` bytes also start earlier, and the number of parts: rows (part, d, first, number), blocks
+    of integers. In document d strings start at first, ..., first + number - 1 that do.
+    """
     spark = docs.sparkSession
     total = int(docs.agg(F.sum(F.octet_length("t"))).first()[0] or 0)
     buckets = max(64, total // 16_000_000)
+    parts = max(64, total // 4_000_000)
 
     def bucket_of(h: np.ndarray, n: int) -> np.ndarray:
         return ((h >> np.uint64(32)) * np.uint64(n) >> np.uint64(32)).astype(np.int64)
 
-    def cut_by(bucket: np.ndarray) -> list[tuple[int, int, int]]:
-        cut = np.flatnonzero(np.diff(bucket, prepend=-1)).tolist()
-        return [(int(bucket[lo]), lo, hi) for lo, hi in zip(cut, [*cut[1:], len(bucket)], strict=True)]
+    def low48(h: np.ndarray) -> bytes:
+        return h.view(np.uint16).reshape(-1, 4)[:, :3].tobytes()
+
+    def hash48(raw: list[bytes]) -> np.ndarray:
+        x = np.frombuffer(b"".join(raw), np.uint16).reshape(-1, 3).astype(np.uint64)
+        return x[:, 0] | x[:, 1] << np.uint64(16) | x[:, 2] << np.uint64(32)
 
     def grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Anchors by bucket of their grams. Of a gram with more than 8 in this task only the number is sent."""
@@ -208,152 +280,164 @@ def removed_runs(docs: DataFrame, length: int, scratch: Scratch) -> DataFrame:
             order = np.argsort(h, kind="stable")
             h, d, p = h[order], d[order], p[order]
             new = np.concatenate([[True], h[1:] != h[:-1]])
-            group = np.cumsum(new) - 1
-            count = np.bincount(group)
-            many = (count > 8)[group]
+            count = np.bincount(np.cumsum(new) - 1)
+            many = np.repeat(count > 8, count)
             mh, mc = h[new][count > 8], count[count > 8].astype(np.uint32)
-            fd, fp = d[many], p[many].astype(np.uint32)
-            h, d, p = h[~many], d[~many], p[~many].astype(np.uint32)
-            out = [(b, h[lo:hi].view(np.uint16).reshape(-1, 4)[:, 1:].tobytes(), _ids(d[lo:hi]), p[lo:hi].tobytes(), b"", b"", b"", b"") for b, lo, hi in cut_by(bucket_of(h, buckets))]
-            out += [(b, b"", b"", b"", mh[lo:hi].view(np.uint16).reshape(-1, 4)[:, 1:].tobytes(), mc[lo:hi].tobytes(), b"", b"") for b, lo, hi in cut_by(bucket_of(mh, buckets))]
+            fd, fp = d[many], p[many]
+            h, d, p = h[~many], d[~many], p[~many]
+            none = b""
+            out = [(b, low48(h[lo:hi]), _ids(d[lo:hi]), _ids(p[lo:hi]), none, none, none, none) for b, lo, hi in _cuts(bucket_of(h, buckets))]
+            out += [(b, none, none, none, low48(mh[lo:hi]), mc[lo:hi].tobytes(), none, none) for b, lo, hi in _cuts(bucket_of(mh, buckets))]
             for lo in range(0, len(fd), 200_000):  # known to repeat
-                out.append((int(fd[lo]) % buckets, b"", b"", b"", b"", b"", _ids(fd[lo : lo + 200_000]), fp[lo : lo + 200_000].tobytes()))
+                out.append((int(fd[lo]) % buckets, none, none, none, none, none, _ids(fd[lo : lo + 200_000]), _ids(fp[lo : lo + 200_000])))
             held.clear()
-            return pa.RecordBatch.from_arrays([pa.array([o[0] for o in out], pa.int32()), *(pa.array([o[c] for o in out], pa.binary()) for c in range(1, 8))], names=["bucket", "h", "d", "p", "mh", "mc", "fd", "fp"])
+            return _batches(out, ["bucket", "h", "d", "p", "mh", "mc", "fd", "fp"])
 
         for batch in batches:
             ids = batch.column(0).to_numpy(zero_copy_only=False)
             for t, a, _, _, h in anchors([t.encode("utf-8") for t in texts_of(batch, "t")], length):
                 held.append((h, ids[t], a))
                 n += len(h)
-            if n > 1_500_000:
-                yield flush()
+            if n > 1_000_000:
+                yield from flush()
                 n = 0
         if n:
-            yield flush()
-
-    def hash48(raw: list[bytes]) -> np.ndarray:
-        x = np.frombuffer(b"".join(raw), np.uint16).reshape(-1, 3).astype(np.uint64)
-        return x[:, 0] | x[:, 1] << np.uint64(16) | x[:, 2] << np.uint64(32)
+            yield from flush()
 
     def repeats(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, t in groups_of(batches, 1):
             c = {k: t.column(k).to_pylist() for k in ("h", "d", "p", "mh", "mc", "fd", "fp")}
             h, m = hash48(c["h"]), hash48(c["mh"])
-            d, p = np.concatenate([np.empty(0, np.int64), *map(_unids, c["d"])]), np.frombuffer(b"".join(c["p"]), np.uint32)
+            d, p, fd, fp = _block([c["d"], c["p"], c["fd"], c["fp"]])
             every, code = np.unique(np.concatenate([h, m]), return_inverse=True)
             weight = np.concatenate([np.ones(len(h)), np.frombuffer(b"".join(c["mc"]), np.uint32)])
             n = np.bincount(code, weights=weight, minlength=len(every))
             twice = n[code[: len(h)]] > 1
-            d = np.concatenate([d[twice], *map(_unids, c["fd"])])
-            p = np.concatenate([p[twice], np.frombuffer(b"".join(c["fp"]), np.uint32)]).astype(np.int64)
-            for lo in range(0, len(d), 200_000):
-                k = len(d[lo : lo + 200_000])
-                yield pa.RecordBatch.from_arrays([pa.array(d[lo : lo + 200_000]), pa.array(p[lo : lo + 200_000]), pa.nulls(k, pa.int64()), pa.nulls(k, pa.int64())], names=["id", "p", "gram", "n"])
+            rows = _by_part(parts, np.concatenate([d[twice], fd]), np.concatenate([p[twice], fp]))
             big = np.flatnonzero(n > CROWD)
-            if len(big):
-                yield pa.RecordBatch.from_arrays([pa.nulls(len(big), pa.int64()), pa.nulls(len(big), pa.int64()), pa.array(every[big].astype(np.int64)), pa.array(n[big].astype(np.int64))], names=["id", "p", "gram", "n"])
+            k, z = len(rows), len(big)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([*(r[0] for r in rows), *[None] * z], pa.int32()), *(pa.array([*(r[i] for r in rows), *[None] * z], pa.binary()) for i in (1, 2)),
+                 pa.array([*[None] * k, *every[big].astype(np.int64).tolist()], pa.int64()), pa.array([*[None] * k, *n[big].astype(np.int64).tolist()], pa.int64()), pa.array([*[0] * k, *[0] * z], pa.int64())],
+                names=["part", "d", "p", "gram", "n", "_"])
 
+    keyed = docs.withColumn("carry", F.lit(0))
     sent = docs.mapInArrow(grams, "bucket int, h binary, d binary, p binary, mh binary, mc binary, fd binary, fp binary")
-    flags = scratch.write(sent.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(repeats, "id long, p long, gram long, n long"), "flags")
-    release_shuffles(spark)
+    flags = scratch.write(sent.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(repeats, "part int, d binary, p binary, gram long, n long, _ long"), "flags")
     # bounded: anchors are fewer than bytes, and each gram listed has that share of them
     crowded = np.sort(np.asarray([r[0] for r in flags.where(F.col("gram").isNotNull() & (F.col("n") > CROWD_SHARE * total)).select("gram").collect()], np.int64).astype(np.uint64))
     crowd = spark.sparkContext.broadcast(crowded)
-    flags = flags.where("id IS NOT NULL")
-    flagged = flags.count()
-    buckets2 = max(64, flagged * 140 // 3_000_000)
-    per_doc = flags.groupBy("id").agg(F.collect_list("p").alias("ps")).withColumnRenamed("id", "fid")
-    some = docs.join(per_doc, F.col("id") == F.col("fid")).select("id", "t", "ps")
+    flags = flags.where("part IS NOT NULL")
+    flagged = int(flags.agg(F.sum(F.octet_length("p"))).first()[0] or 0) // 4
+    buckets2 = max(64, flagged * 140 // 1_500_000)
 
     def surroundings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Each repeated anchor's strings, as one piece of text; a crowded gram's strings each on their own. Of equal
         pieces of this task the earliest is sent, the strings of the others are later ones."""
         seen: dict[bytes, tuple[int, int, int, int]] = {}
+        gone: list[tuple[int, int, int]] = []
         size = 0
+        names = ["bucket", "d", "at", "n", "key", "text"]
 
         def flush():
             keys = np.asarray([v[3] for v in seen.values()], np.uint64)
             order = np.argsort(keys, kind="stable")
-            pieces = list(seen.items())
-            rows = []
-            for b, lo, hi in cut_by(bucket_of(keys[order], buckets2)):
-                own = [pieces[i] for i in order[lo:hi].tolist()]
-                rows.append((b, np.asarray([v[0] for _, v in own], np.int64).tobytes(), np.asarray([v[1] for _, v in own], np.int64).tobytes(), np.asarray([v[2] for _, v in own], np.uint16).tobytes(), b"".join(k[1:] for k, _ in own)))
+            pieces, facts = list(seen), list(seen.values())
             seen.clear()
-            return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), *(pa.array([r[c] for r in rows], pa.binary()) for c in range(1, 5))], names=["bucket", "d", "at", "n", "text"])
-
-        gone: list[tuple[int, int, int]] = []
+            rows = []
+            for b, lo, hi in _cuts(bucket_of(keys[order], buckets2)):
+                own = order[lo:hi].tolist()
+                cols = [np.asarray([facts[i][c] for i in own], np.int64) for c in range(3)]
+                low = (keys[order[lo:hi]] & np.uint64(0xFFFFFFFF)).astype(np.uint32)
+                rows.append((b, *map(_ids, cols[:2]), cols[2].astype(np.uint8).tobytes(), low.tobytes(), b"".join(pieces[i][1:] for i in own)))
+            return _batches(rows, names)
 
         def local():
-            rows = [np.asarray(x, np.int64).tobytes() for x in zip(*gone, strict=True)]
-            b = gone[0][0] % buckets2
+            d, at, n = (np.asarray(x, np.int64) for x in zip(*gone, strict=True))
             gone.clear()
-            return pa.RecordBatch.from_arrays([pa.array([b], pa.int32()), *(pa.array([r], pa.binary()) for r in rows), pa.array([b""], pa.binary())], names=["bucket", "d", "at", "n", "text"])
+            return _batch([(int(d[0]) % buckets2, _ids(d), _ids(at), n.astype(np.uint8).tobytes(), b"", b"")], names)
 
         def offer(piece: bytes, d: int, at: int, n: int, key: int) -> None:
             nonlocal size
             have = seen.get(piece)
             if have is None:
                 seen[piece] = (d, at, n, key)
-                size += len(piece) + 200
-            elif have[:2] <= (d, at):
-                if have[:2] < (d, at):
-                    gone.append((d, at, n))
-            else:
+                size += len(piece) + 350
+            elif have[:2] < (d, at):
+                gone.append((d, at, n))
+            elif have[:2] > (d, at):
                 gone.append((have[0], have[1], n))
                 seen[piece] = (d, at, n, key)
 
-        for batch in batches:
-            ids = batch.column(0).to_pylist()
-            texts = [t.encode("utf-8") for t in texts_of(batch, "t")]
-            ps = batch.column(2).to_pylist()
-            wanted = np.concatenate([np.asarray(p, np.int64) + (i << 40) for i, p in enumerate(ps)])
-            for t, a, first, last, h in anchors(texts, length):
-                at = np.flatnonzero(np.isin((t.astype(np.int64) << 40) + a, wanted))
-                short = h[at] >> np.uint64(16)
-                hot = np.isin(short, crowd.value) if len(crowd.value) else np.zeros(len(at), bool)
-                for i, x, y, k, many in zip(t[at].tolist(), first[at].tolist(), last[at].tolist(), h[at].tolist(), hot.tolist(), strict=True):
+        for _, t in groups_of(batches, 1):
+            (fd, fp), own = _split(t, ["d", "p"])
+            ids = own.column("id").to_numpy()
+            lo, hi = np.searchsorted(fd, ids), np.searchsorted(fd, ids, side="right")
+            some = np.flatnonzero(hi > lo)
+            if not len(some):
+                continue
+            ids = ids[some].tolist()
+            texts = [x.encode("utf-8") for x in own.column("t").take(pa.array(some)).to_pylist()]
+            wanted = np.concatenate([fp[lo[i] : hi[i]] + (k << 40) for k, i in enumerate(some.tolist())])
+            for tx, a, first, last, h in anchors(texts, length):
+                at = np.flatnonzero(np.isin((tx.astype(np.int64) << 40) + a, wanted))
+                hot = np.isin(h[at] & np.uint64(0xFFFFFFFFFFFF), crowd.value) if len(crowd.value) else np.zeros(len(at), bool)
+                for i, x, y, k, many in zip(tx[at].tolist(), first[at].tolist(), last[at].tolist(), h[at].tolist(), hot.tolist(), strict=True):
                     if many:
                         for s in range(x, y + 1):
                             piece = texts[i][s : s + length]
                             offer(b"1" + piece, ids[i], s, 1, int.from_bytes(hashlib.blake2b(piece, digest_size=8).digest()))
                     else:
                         offer(b"0" + texts[i][x : y + length], ids[i], x, y - x + 1, k)
-            if len(gone) > 200_000:
-                yield local()
-            if size > 48_000_000:
-                yield flush()
-                size = 0
+                if len(gone) > 100_000:
+                    yield local()
+                if size > 40_000_000:
+                    yield from flush()
+                    size = 0
         if gone:
             yield local()
         if seen:
-            yield flush()
+            yield from flush()
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, t in groups_of(batches, 1):
-            c = {k: t.column(k).to_pylist() for k in ("d", "at", "n", "text")}
-            known = [not x for x in c["text"]]
-            out = [tuple(np.frombuffer(c[k][i], np.int64) for k in ("d", "at", "n")) for i, ready in enumerate(known) if ready]
-            mine = [i for i, ready in enumerate(known) if not ready]
-            if mine:
-                d, at = (np.concatenate([np.frombuffer(c[k][i], np.int64) for i in mine]) for k in ("d", "at"))
-                n = np.concatenate([np.frombuffer(c["n"][i], np.uint16) for i in mine]).astype(np.int64)
-                buf = np.frombuffer(b"".join(c["text"][i] for i in mine), np.uint8)
-                off = np.cumsum(n + length - 1) - (n + length - 1)
-                step = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
-                doc, pos = np.repeat(d, n), np.repeat(at, n) + step
-                hit = later(buf, np.repeat(off, n) + step, doc, pos, length)
+            c = {k: t.column(k).to_pylist() for k in ("d", "at", "n", "key", "text")}
+            ready = [not x for x in c["text"]]
+            take = lambda k, want: [x for x, r in zip(c[k], ready, strict=True) if r is want]
+            small = lambda want: np.frombuffer(b"".join(take("n", want)), np.uint8).astype(np.int64)
+            out = [(*_block([take("d", True), take("at", True)]), small(True))]
+            d, at = _block([take("d", False), take("at", False)])
+            n, key, raw = small(False), np.frombuffer(b"".join(take("key", False)), np.uint32), b"".join(take("text", False))
+            off = np.cumsum(n + length - 1) - (n + length - 1)
+            # equal pieces: all strings of the later ones are later strings
+            order = np.lexsort((at, d))
+            seen: dict[bytes, int] = {}
+            new, again = [], []
+            for i, lo, hi in zip(order.tolist(), off[order].tolist(), (off + n + length - 1)[order].tolist(), strict=True):
+                j = seen.setdefault(raw[lo:hi], i)
+                if j == i:
+                    new.append(i)
+                elif d[i] != d[j] or at[i] != at[j]:
+                    again.append(i)
+            del seen
+            out.append((d[again], at[again], n[again]))
+            # different pieces around one gram: their strings are suffix-sorted
+            some = np.asarray(new, np.int64)
+            _, code, many = np.unique(key[some], return_inverse=True, return_counts=True)
+            some = some[many[code] > 1]
+            if len(some):
+                m = n[some]
+                step = np.arange(int(m.sum())) - np.repeat(np.cumsum(m) - m, m)
+                doc, pos = np.repeat(d[some], m), np.repeat(at[some], m) + step
+                hit = later(np.frombuffer(raw, np.uint8), np.repeat(off[some], m) + step, doc, pos, length)
                 out.append(_runs(doc[hit], pos[hit]))
-            for d, at, n in out:
-                for lo in range(0, len(d), 200_000):
-                    yield pa.RecordBatch.from_arrays([pa.array(v[lo : lo + 200_000].astype(np.int64)) for v in (d, at, n)], names=["id", "first", "number"])
+            d, at, n = (np.concatenate(x) for x in zip(*out, strict=True))
+            yield from _batches(_by_part(parts, d, at, n), ["part", "d", "first", "number"])
 
-    pieces = some.mapInArrow(surroundings, "bucket int, d binary, at binary, n binary, text binary")
-    runs = scratch.write(pieces.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(compare, "id long, first long, number long"), "runs")
+    pieces = with_blocks(keyed, flags, parts, ["d", "p"]).mapInArrow(surroundings, "bucket int, d binary, at binary, n binary, key binary, text binary")
+    runs = scratch.write(pieces.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(compare, "part int, d binary, first binary, number binary"), "runs")
     scratch.drop("flags")
-    release_shuffles(spark)
-    return runs
+    return runs, parts
 
 
 def removed_spans(first: np.ndarray, number: np.ndarray, length: int) -> list[tuple[int, int]]:
@@ -383,25 +467,34 @@ def without_repeats(docs: DataFrame, length: int = 100, key: str = "doc_id", tex
     short_batches(spark)
     scratch = Scratch(spark, "suffix-dedup")
     rows = docs.select(docs[key].cast("long").alias("id"), docs[text].alias("t"), F.struct(F.lit(0).alias("_"), *(docs[c] for c in carry)).alias("carry"))
-    runs = removed_runs(rows.select("id", "t").where("id IS NOT NULL AND t IS NOT NULL"), length, scratch)
-    per_doc = runs.groupBy("id").agg(F.collect_list(F.struct("first", "number")).alias("runs")).withColumnRenamed("id", "rid")
+    runs, parts = removed_runs(rows.select("id", "t").where("id IS NOT NULL AND t IS NOT NULL"), length, scratch)
+    names = ["d", "first", "number"]
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            texts = [t.encode("utf-8") for t in texts_of(batch, "t")]
-            gone, kept, spans_of = [], [], []
-            for t, r in zip(texts, batch.column(2).to_pylist(), strict=True):
+        for _, table in groups_of(batches, 1):
+            (d, first, number), own = _split(table, names)
+            ids = own.column("id").to_pylist()
+            known = np.asarray([i is not None for i in ids], bool)
+            plain = np.asarray([i or 0 for i in ids], np.int64)
+            los, his = np.searchsorted(d, plain), np.where(known, np.searchsorted(d, plain, side="right"), 0)
+            gone, kept, spans_of, sizes = [], [], [], []
+            for t, lo, hi in zip(own.column("t").to_pylist(), los.tolist(), his.tolist(), strict=True):
+                t = (t or "").encode("utf-8")
                 # a repeated key may have a shorter text
-                spans = [(lo, min(hi, len(t))) for lo, hi in removed_spans(*(np.asarray([x[k] for x in r]) for k in ("first", "number")), length) if lo < len(t)] if r else []
+                spans = [(a, min(b, len(t))) for a, b in removed_spans(first[lo:hi], number[lo:hi], length) if a < len(t)] if hi > lo else []
                 edges = [0, *(e for s in spans for e in s), len(t)]
                 kept.append(b"".join(t[a:b] for a, b in zip(edges[::2], edges[1::2], strict=True)) if spans else t)
+                sizes.append(len(t))
                 gone.append(len(t) - len(kept[-1]))
-                spans_of.append([{"lo": lo, "hi": hi} for lo, hi in spans])
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(list(map(len, texts)), pa.int64()), pa.array(gone, pa.int64()), pa.array(spans_of, pa.list_(pa.struct([("lo", pa.int64()), ("hi", pa.int64())]))), pa.array(kept, pa.binary()), batch.column(3)],
-                names=["id", "n_bytes", "n_removed", "spans", "kept", "carry"])
-
-    joined = rows.join(per_doc, F.col("id") == F.col("rid"), "left").select("id", "t", "runs", "carry")
+                spans_of.append([{"lo": a, "hi": b} for a, b in spans])
+            carried = own.column("carry").combine_chunks()
+            for lo in range(0, len(ids), BATCH_ROWS):
+                k = slice(lo, lo + BATCH_ROWS)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(ids[k], pa.int64()), pa.array(sizes[k], pa.int64()), pa.array(gone[k], pa.int64()), pa.array(spans_of[k], pa.list_(pa.struct([("lo", pa.int64()), ("hi", pa.int64())]))), pa.array(kept[k], pa.binary()), carried.slice(lo, BATCH_ROWS)],
+                    names=["id", "n_bytes", "n_removed", "spans", "kept", "carry"])
+
+    joined = with_blocks(rows, runs, parts, names)
     schema = T.StructType([T.StructField(n, T.LongType()) for n in ("id", "n_bytes", "n_removed")])
     span = T.StructType([T.StructField(n, T.LongType()) for n in ("lo", "hi")])
     schema = schema.add("spans", T.ArrayType(span)).add("kept", T.BinaryType()).add(joined.schema["carry"])
