@@ -90,3 +90,23 @@ d AS (SELECT b.unit, b.doc_id, t.name, 2.0::DOUBLE * len(list_intersect(b.b, t.b
 m AS (SELECT doc_id, first(name ORDER BY dice DESC, name) AS license, max(dice) AS dice, count(DISTINCT unit) AS n_matches FROM d WHERE dice >= 0.8 GROUP BY doc_id)
 SELECT documents.doc_id, m.license, m.dice, coalesce(m.n_matches, 0)::BIGINT AS n_matches FROM documents LEFT JOIN m USING (doc_id)
 """
+
+ORACLE["op1_ngram_jaccard_join"] = r"""
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')] ELSE list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))) END AS s FROM w),
+f AS (SELECT doc_id, len(s) AS n, unnest(s) AS s FROM s),
+l AS (SELECT a.doc_id AS a, b.doc_id AS b FROM f a JOIN f b ON a.s = b.s AND a.doc_id <> b.doc_id GROUP BY a.doc_id, b.doc_id, a.n, b.n HAVING 100 * count(*) >= 80 * (a.n + b.n - count(*))),
+reach(a, b) AS (SELECT a, b FROM l UNION SELECT r.a, l.b FROM reach r JOIN l ON r.b = l.a),
+c AS (SELECT a, min(b) AS m FROM reach GROUP BY a)
+SELECT s.doc_id, len(s.s)::BIGINT AS n_shingles, least(s.doc_id, coalesce(c.m, s.doc_id)) AS component_id FROM s LEFT JOIN c ON c.a = s.doc_id
+"""
+
+# The pages' articles are flat and use five character references, which SQL can undo.
+_DECODED = "b"
+for _name, _char in (("&quot;", '"'), ("&#x27;", "''"), ("&lt;", "<"), ("&gt;", ">"), ("&amp;", "&")):
+    _DECODED = f"replace({_DECODED}, '{_name}', '{_char}')"
+ORACLE["op8_html_main_text"] = rf"""
+WITH a AS (SELECT page_id, url, regexp_extract(coalesce(html, ''), '(?s)<article>(.*)</article>', 1) AS a FROM pages),
+b AS (SELECT page_id, url, list_filter(list_transform(regexp_split_to_array(a, '</?(?:p|h1)>'), lambda b: trim(regexp_replace(regexp_replace({_DECODED.replace("(b,", "(regexp_replace(b, '<[^>]*>', '', 'g'),")}, '\s+', ' ', 'g'), '^ | $', '', 'g'))), lambda x: x <> '') AS b FROM a)
+SELECT page_id, url, array_to_string(b, chr(10)) AS text, length(array_to_string(b, chr(10)))::BIGINT AS n_chars FROM b
+"""
