@@ -94,6 +94,36 @@ def _take(sizes: np.ndarray, words: int, block: int, seed: int) -> tuple[int, li
     return rounds, spans
 
 
+#: Shards of a source that are dealt to together.
+FAN = 4096
+
+
+def _dealt(sizes: DataFrame, keys: list[str], part: str, block: int, most: float) -> DataFrame:
+    """A group's blocks for each part by Sainte-Laguë on the parts' sizes: keys, part, blocks, words.
+
+    ``sizes`` has keys, part, size, and blocks and words, those of the whole group. Whole blocks are dealt; no part gets
+    more words than ``most`` times its size, and what is left of the group's words goes to the last parts with room.
+    """
+
+    def quota(p: pd.DataFrame) -> pd.DataFrame:
+        p = p.sort_values(part, kind="stable")
+        size, words = p["size"].to_numpy(np.int64), int(p["words"].iloc[0])
+        cap = (most * size).astype(np.int64)
+        blocks = sainte_lague(size, int(p["blocks"].iloc[0]))
+        q = np.minimum(blocks * block, cap)
+        short = words - int(q.sum())
+        for i in range(len(q) - 1, -1, -1):
+            if not short:
+                break
+            move = max(-int(q[i]), min(short, int(cap[i] - q[i])))
+            q[i] += move
+            short -= move
+        return p[[*keys, part]].assign(blocks=blocks, words=q)
+
+    kinds = ", ".join(f"{k} {sizes.schema[k].dataType.simpleString()}" for k in [*keys, part])
+    return sizes.groupBy(*keys).applyInPandas(quota, f"{kinds}, blocks long, words long")
+
+
 def mix(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), factor: float = 1.5, most: float = 2.0, block: int = 64, shard_docs: int = 1024, seed: int = 17, key: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
     """Words that a mix takes from each row of ``docs``: key, source, size, source_size, target, taken; and rounds
     (how often it is taken whole) and parts (word spans of the round that is taken in part).
@@ -103,8 +133,8 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), factor: float =
     again. Blocks of ``block`` words are dealt to sources by Sainte-Laguë on the targets and within a source to its
     shards by Sainte-Laguë on their words; a shard then takes blocks of its seeded document order. What rounding to
     blocks leaves of a target goes, cut, to the source's last shard with room. No document is taken more than ``most``
-    times. Shards hold about ``shard_docs`` documents by a hash of key, so a hot source is many shards; per-source and
-    per-shard sums alone meet in one place. Reruns agree. Empty sources have target 0; an empty table gives no rows;
+    times. Shards hold about ``shard_docs`` documents by a hash of key, so a hot source is many shards; rows
+    of sources meet on the driver, sums of at most ``FAN`` shards in a task. Reruns agree. Empty sources have target 0; an empty table gives no rows;
     rows that repeat a key are taken each for itself.
     """
     rows = docs.select(docs[key].alias("k"), docs[source].cast("string").alias("s"), F.regexp_count(F.coalesce(docs[text], F.lit("")), F.lit(WORD)).cast("long").alias("size"))
@@ -116,29 +146,19 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), factor: float =
     w = np.resize(np.asarray(weights, float), len(sizes))
     target = targets_of(sizes, w, factor * float(sizes.sum()), most)
     quota = sainte_lague(target, int(round(float(target.sum()) / block)))
-    plan = pd.DataFrame({"s": listed["s"].where(listed["s"].notna(), None), "known": True, "source_size": sizes, "target": target, "quota": quota, "shards": listed["shards"].astype("int64")})
+    plan = pd.DataFrame({"s": listed["s"].where(listed["s"].notna(), None), "source_size": sizes, "target": target, "quota": quota, "shards": listed["shards"].astype("int64")})
     spark = docs.sparkSession
-    plan_df = spark.createDataFrame([tuple(x) for x in plan.itertuples(index=False)], "s string, known boolean, source_size long, target double, quota long, shards long")
+    plan_df = spark.createDataFrame([tuple(x) for x in plan.itertuples(index=False)], "s string, source_size long, target double, quota long, shards long")
     # Never forced to be broadcast: sources may be many.
     sharded = rows.join(plan_df, rows["s"].eqNullSafe(plan_df["s"])).select("k", rows["s"], "size", "h", "source_size", "target", "quota", "shards", F.pmod("h", F.col("shards")).alias("shard"))
 
-    def shard_quota(p: pd.DataFrame) -> pd.DataFrame:
-        p = p.sort_values("shard", kind="stable")
-        words = p["size"].to_numpy(np.int64)
-        q = sainte_lague(words, int(p["quota"].iloc[0])) * block
-        cap = (most * words).astype(np.int64)
-        q = np.minimum(q, cap)
-        short = int(round(float(p["target"].iloc[0]))) - int(q.sum())
-        for i in range(len(q) - 1, -1, -1):
-            if not short:
-                break
-            move = max(-int(q[i]), min(short, int(cap[i] - q[i])))
-            q[i] += move
-            short -= move
-        return pd.DataFrame({"s": p["s"], "shard": p["shard"], "words": q})
-
-    sums = sharded.groupBy("s", "shard").agg(F.sum("size").alias("size"), F.first("quota").alias("quota"), F.first("target").alias("target"))
-    quotas = sums.groupBy("s").applyInPandas(shard_quota, "s string, shard long, words long").withColumnsRenamed({"s": "qs", "shard": "qshard"})
+    # a source's shards are dealt to in two steps, so that no task holds more than FAN of them in all usual cases
+    sized = sharded.groupBy("s", F.expr(f"shard DIV {FAN}").alias("fan"), "shard").agg(F.sum("size").alias("size"), F.first("quota").alias("blocks"), F.rint(F.first("target")).cast("long").alias("words"))
+    fans = sized.groupBy("s", "fan").agg(F.sum("size").alias("size"), F.first("blocks").alias("blocks"), F.first("words").alias("words"))
+    fans = _dealt(fans, ["s"], "fan", block, most)
+    fans = fans.withColumnsRenamed({"s": "qs", "fan": "qfan"})
+    own = sized.drop("blocks", "words").join(fans, F.col("s").eqNullSafe(F.col("qs")) & (F.col("fan") == F.col("qfan"))).drop("qs", "qfan")
+    quotas = _dealt(own, ["s", "fan"], "shard", block, most).select(F.col("s").alias("qs"), F.col("shard").alias("qshard"), "words")
     joined = sharded.join(quotas, F.col("s").eqNullSafe(F.col("qs")) & (F.col("shard") == F.col("qshard"))).drop("qs", "qshard")
 
     def take(p: pd.DataFrame) -> pd.DataFrame:
