@@ -134,8 +134,8 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), factor: float =
     shards by Sainte-Laguë on their words; a shard then takes blocks of its seeded document order. What rounding to
     blocks leaves of a target goes, cut, to the source's last shard with room. No document is taken more than ``most``
     times. Shards hold about ``shard_docs`` documents by a hash of key, so a hot source is many shards; rows
-    of sources meet on the driver, sums of at most ``FAN`` shards in a task. Reruns agree. Empty sources have target 0; an empty table gives no rows;
-    rows that repeat a key are taken each for itself.
+    of sources meet on the driver, sums of at most ``FAN`` shards in a task. Reruns agree. Empty sources have target 0;
+    an empty table gives no rows; rows that repeat a key are taken each for itself.
     """
     rows = docs.select(docs[key].alias("k"), docs[source].cast("string").alias("s"), F.regexp_count(F.coalesce(docs[text], F.lit("")), F.lit(WORD)).cast("long").alias("size"))
     rows = rows.withColumn("h", F.xxhash64(F.lit(seed), F.col("k").cast("string"), "size"))
@@ -178,15 +178,19 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), factor: float =
 
 def mixed_documents(docs: DataFrame, mixed: DataFrame, key: str = "doc_id", text: str = "text", n_chars: str = "n_chars") -> DataFrame:
     """``docs`` as ``mix`` has them, same columns: a row for each time that a whole document is taken and one for the
-    words of its partly taken round, those words joined by blanks. Documents without words are left out. Keys must
-    be unique and not null; ``n_chars``, if there is such a column, is counted anew."""
+    words of its partly taken round, those words joined by blanks. Documents without words are left out. Rows that share
+    key and size, null keys too, are all taken as the first of them; ``n_chars``, if there is such a column, is counted
+    anew."""
     short_batches(docs.sparkSession)
-    plan = mixed.where("taken > 0").select(F.col(key).alias("_k"), F.col("rounds").alias("_rounds"), F.col("parts").alias("_parts"))
-    rows = docs.join(plan, docs[key] == F.col("_k")).drop("_k")
+    # one plan for each key and size, so that the join neither drops nor repeats rows
+    plan = mixed.where("taken > 0").groupBy(F.col(key).alias("__mix_key"), F.col("size").alias("__mix_words")).agg(F.min(F.struct("rounds", "parts")).alias("__mix_plan"))
+    plan = plan.select("__mix_key", "__mix_words", F.col("__mix_plan.rounds").alias("__mix_rounds"), F.col("__mix_plan.parts").alias("__mix_parts"))
+    own = F.regexp_count(F.coalesce(docs[text], F.lit("")), F.lit(WORD)).cast("long")
+    rows = docs.withColumn("__mix_size", own).join(plan, docs[key].eqNullSafe(F.col("__mix_key")) & (F.col("__mix_size") == F.col("__mix_words"))).drop("__mix_key", "__mix_words", "__mix_size")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keep = [i for i, n in enumerate(batch.schema.names) if not n.startswith("_")]
+            keep = range(batch.num_columns - 2)
             texts = texts_of(batch, text)
             which, out = [], []
             for i, (t, rounds, parts) in enumerate(zip(texts, batch.column(batch.num_columns - 2).to_pylist(), batch.column(batch.num_columns - 1).to_pylist(), strict=True)):

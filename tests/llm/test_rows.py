@@ -206,6 +206,8 @@ def test_mix(spark, sf_dir, odd_docs, empty_docs):
     words = made.groupBy("source").agg(F.sum(F.regexp_count("text", F.lit(r"[^\x20\x09-\x0D]+"))).alias("n"))
     assert {r.source: r.n for r in words.collect()} == {s: sum(r.taken for r in v) for s, v in by.items() if sum(r.taken for r in v)}
     assert made.columns == docs.columns
+    again = mixing.mixed_documents(odd_docs, mixing.mix(odd_docs, factor=2.0))  # all is taken twice
+    assert again.groupBy("doc_id").count().where("doc_id IS NULL").first()["count"] == 2 and again.where("doc_id = 2").count() == 4
 
 
 def brute_nearest(rows, k):
