@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 #: Rows and bytes per Arrow batch: texts and blocks of keys may be long, so batches stay short.
 BATCH_ROWS = 500
-BATCH_BYTES = 8 << 20
+BATCH_BYTES = 4 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

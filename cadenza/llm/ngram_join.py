@@ -229,7 +229,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, threshold: Fraction = Fract
                     docs_here += 1
                     counts.append(s)
                     held += len(s)
-            if held > 2_000_000:
+            if held > 1_000_000:
                 kept, held = merge(), 0
             n = batch.num_rows
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(list(map(len, sets)), pa.int64()), pa.array(k1), pa.array(k2), none(n, pa.int64()), none(n, pa.int64())], names=["id", "n", "k1", "k2", "feature", "times"])
@@ -244,7 +244,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, threshold: Fraction = Fract
     total, features = sized.agg(F.count("*"), F.sum("n")).first()
     often = facts.where("feature IS NOT NULL").groupBy("feature").agg(F.sum("times").alias("times")).where(F.col("times") > max(2, FREQUENT * total))
     # bounded: the features' counts sum to all features, and each is above the share
-    often = np.sort(np.asarray([r[0] for r in often.select("feature").collect()], np.int64).view(np.uint64))
+    often = np.sort(often.select("feature").toArrow().column(0).to_numpy().astype(np.int64).view(np.uint64))
     frequent = spark.sparkContext.broadcast(often)
     buckets = max(64, -(-int(features or 0) * 2 // 5_000_000))
     bands = Bands(threshold)
@@ -285,7 +285,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, threshold: Fraction = Fract
             sigs.append(s)
             ids.append(batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64)[at])
             held += len(s)
-            if held > 1_500_000:
+            if held > 800_000:
                 yield flush()
                 held = 0
         if held:

@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from .common import short_batches, texts_of, with_columns
 
 #: Distinct words whose features a worker keeps; beyond it the memory is emptied and refilled.
-KEPT_WORDS = 500_000
+KEPT_WORDS = 300_000
 
 
 @dataclass(frozen=True)
@@ -32,7 +32,7 @@ class Settings:
     longest: int = 4
     epochs: int = 10
     rate: float = 0.5
-    max_train: int = 5000
+    max_train: int = 3000
     seed: int = 7
 
 
@@ -51,14 +51,14 @@ def pair_features(s: Settings) -> tuple[int, int]:
 
 
 def document_features(text: str, s: Settings) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct buckets of a whole text and their share of its features."""
+    """Distinct buckets of a whole text and how often each occurs (65,535 at most)."""
     words = text.split()
     feats = [f for w in words for f in word_features(w, s)]
     same = sum(a == b for a, b in zip(words, words[1:], strict=False))
     a, b = pair_features(s)
     feats += [a] * (2 * same) + [b] * (2 * max(0, len(words) - 1 - same))
     ids, n = np.unique(np.asarray(feats, np.int64), return_counts=True)
-    return ids.astype(np.int32), (n / max(1, len(feats))).astype(np.float32)
+    return ids.astype(np.int32), np.minimum(n, 65535).astype(np.uint16)
 
 
 @dataclass
@@ -71,7 +71,8 @@ class Model:
 
 
 def train(features: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, s: Settings = Settings()) -> Model:
-    """Softmax over averaged vectors by plain SGD, with a rate that falls to nothing. No rows: a model that says 0.5."""
+    """Softmax over averaged vectors by plain SGD, with a rate that falls to nothing, from each row's buckets and their
+    counts. No rows: a model that says 0.5."""
     rng = np.random.default_rng(s.seed)
     e = (rng.random((s.buckets, s.dim), np.float32) - 0.5) / s.dim
     w, bias = np.zeros((2, s.dim), np.float32), np.zeros(2, np.float32)
@@ -79,7 +80,8 @@ def train(features: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, s:
     step, steps = 0, max(1, s.epochs * len(labels))
     for _ in range(s.epochs):
         for i in rng.permutation(len(labels)):
-            ids, share = features[i]
+            ids, count = features[i]
+            share = count / np.float32(max(1, int(count.sum(dtype=np.int64))))
             rate = s.rate * (1 - step / steps)
             step += 1
             h = share @ e[ids] if len(ids) else np.zeros(s.dim, np.float32)
@@ -153,12 +155,12 @@ def fit(docs: DataFrame, labels: DataFrame, settings: Settings = Settings(), key
             both = [document_features(t, settings) for t in texts_of(batch, "t")]
             yield pa.RecordBatch.from_arrays(
                 [pa.array(batch.column(0).cast(pa.string())), batch.column(1), pa.array([b[0].tobytes() for b in both], pa.binary()), pa.array([b[1].tobytes() for b in both], pa.binary())],
-                names=["k", "y", "ids", "shares"])
+                names=["k", "y", "ids", "counts"])
 
-    bags = rows.mapInArrow(run, "k string, y int, ids binary, shares binary").orderBy(F.xxhash64("k"), "k", "y", "ids").limit(settings.max_train).toArrow()
-    ids = [np.frombuffer(x, np.int32) for x in bags.column("ids").to_pylist()]
-    shares = [np.frombuffer(x, np.float32) for x in bags.column("shares").to_pylist()]
-    return train(list(zip(ids, shares, strict=True)), np.asarray(bags.column("y").to_pylist(), np.int64), settings)
+    bags = rows.mapInArrow(run, "k string, y int, ids binary, counts binary").orderBy(F.xxhash64("k"), "k", "y", "ids").limit(settings.max_train).toArrow()
+    labels_ = np.asarray(bags.column("y").to_pylist(), np.int64)
+    features = [(np.frombuffer(i.as_buffer(), np.int32), np.frombuffer(n.as_buffer(), np.uint16)) for i, n in zip(bags.column("ids"), bags.column("counts"), strict=True)]
+    return train(features, labels_, settings)
 
 
 def score(docs: DataFrame, model: Model, threshold: float = 0.7, key: str = "doc_id", text: str = "text") -> DataFrame:

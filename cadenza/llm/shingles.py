@@ -8,7 +8,7 @@ from functools import lru_cache
 import numpy as np
 
 #: Bytes of text that are hashed at once (a longer document is hashed alone).
-CHUNK = 1 << 20
+CHUNK = 1 << 18
 _BASE = 0x9E3779B97F4A7C15
 
 

@@ -325,7 +325,7 @@ def removed_runs(docs: DataFrame, length: int, scratch: Scratch) -> tuple[DataFr
     sent = docs.mapInArrow(grams, "bucket int, h binary, d binary, p binary, mh binary, mc binary, fd binary, fp binary")
     flags = scratch.write(sent.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(repeats, "part int, d binary, p binary, gram long, n long, _ long"), "flags")
     # bounded: anchors are fewer than bytes, and each gram listed has that share of them
-    crowded = np.sort(np.asarray([r[0] for r in flags.where(F.col("gram").isNotNull() & (F.col("n") > CROWD_SHARE * total)).select("gram").collect()], np.int64).astype(np.uint64))
+    crowded = np.sort(flags.where(F.col("gram").isNotNull() & (F.col("n") > CROWD_SHARE * total)).select("gram").toArrow().column(0).to_numpy().astype(np.uint64))
     crowd = spark.sparkContext.broadcast(crowded)
     flags = flags.where("part IS NOT NULL")
     flagged = int(flags.agg(F.sum(F.octet_length("p"))).first()[0] or 0) // 4
