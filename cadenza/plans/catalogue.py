@@ -301,14 +301,14 @@ def uncrossed_hands(spark, d):
     SELECT n.song_id, n.note_idx, (SELECT min(r.time_sec) FROM r WHERE r.run AND r.song_id = n.song_id AND r.wi = n.wi AND r.time_sec >= n.start_sec) AS left_at FROM notes n WHERE event_id % 9 = 0""")
 def first_run3(spark, d):
     """When fingers leave keys: the first three frames in a row without one near."""
-    n = A.notes(spark, d).where("event_id % 9 = 0").select(*K, "note_idx", "start_sec", "wi")
+    n = A.notes(spark, d).select(*K, "note_idx", "start_sec", "wi")
     return release.finger_leaves(n, A.frames(spark, d), A.points(spark, d)).select(*K, "note_idx", "left_at")
 
 
 @query()
 def reconcile_notes(spark, d):
     """Ghost and depedalled notes (composed of operators that have oracles of their own)."""
-    out = release.reconciled(A.notes(spark, d).where("event_id % 9 = 0"), A.points(spark, d), A.frames(spark, d), _pedal(spark, d))
+    out = release.reconciled(A.notes(spark, d), A.points(spark, d), A.frames(spark, d), _pedal(spark, d))
     return out.select(*K, "note_idx", F.array_join("flags", ",").alias("flags"), "audio_duration_sec", "trimmed_duration_sec")
 
 
