@@ -187,7 +187,7 @@ _AT = "q AS (SELECT song_id, note_idx AS query_id, start_sec + 4e-2 AS q_at FROM
     SELECT song_id, query_id, hand, finger, CASE WHEN x0 IS NULL THEN x1 WHEN x1 IS NULL THEN x0 ELSE x0 + w * (x1 - x0) END AS x, CASE WHEN y0 IS NULL THEN y1 WHEN y1 IS NULL THEN y0 ELSE y0 + w * (y1 - y0) END AS y FROM g""")
 def asof_two_sided(spark, d):
     """Fingertips at given times, interpolated between the frames on either side."""
-    q = A.notes(spark, d).where("event_id % 7 = 0").select(*K, F.col("note_idx").alias("query_id"), (F.col("start_sec") + 0.04).alias("at"))
+    q = A.notes(spark, d).select(*K, F.col("note_idx").alias("query_id"), (F.col("start_sec") + 0.04).alias("at"))
     return timeline.interpolated_points(q, A.frames(spark, d).select(*K, "frame_idx", "time_sec"), A.points(spark, d).select(*K, "frame_idx", "hand", "finger", "x", "y"))
 
 

@@ -41,3 +41,7 @@ def test_all_notes_are_reconciled(spark, sf_dir):
     assert len(got) == len(due) == len(notes)
     assert {(r.song_id, r.note_idx): (r.flags, r.audio_duration_sec, r.trimmed_duration_sec) for r in got} == due
     assert {"ghost", "ghost,dropped", "depedaled"} <= {f for f, _, _ in due.values()}
+
+
+def test_points_at_all_onsets(spark, sf_dir):
+    same(catalogue.asof_two_sided(spark, sf_dir), whole("asof_two_sided", " WHERE event_id % 7 = 0"), connect(sf_dir))
