@@ -14,12 +14,20 @@ def window_means(rows: DataFrame, keys: list[str], at: str, value: str, width: f
     return rows.groupBy(*keys, start.alias("window_start")).agg(F.avg(value).alias("mean"), F.count(value).alias("n"))
 
 
-def onset_density(times: DataFrame, keys: list[str], at: str, duration: float, width: float = 0.05) -> DataFrame:
-    """Histogram with empty bins as 0: keys, bin, n. Times before 0 or past the last bin don't count."""
-    bins = max(1, int(np.ceil(duration / width)))
-    own = times.where(F.col(at) >= 0).withColumn("bin", (F.col(at) / F.lit(float(width))).cast("int")).where(F.col("bin") < bins)
+def onset_density(times: DataFrame, keys: list[str], at: str, duration: float | None = None, width: float = 0.05) -> DataFrame:
+    """Histogram with empty bins as 0: keys, bin, n. Times before 0 don't count.
+
+    Without ``duration`` bins reach to the largest time of all keys; with it, times past its last bin don't count.
+    """
+    own = times.where(F.col(at) >= 0).withColumn("bin", (F.col(at) / F.lit(float(width))).cast("int"))
+    every = times.select(*keys).distinct()
+    if duration is None:
+        every = every.crossJoin(F.broadcast(own.agg(F.coalesce(F.max("bin"), F.lit(0)).alias("_last"))))
+    else:
+        bins = max(1, int(np.ceil(duration / width)))
+        own, every = own.where(F.col("bin") < bins), every.withColumn("_last", F.lit(bins - 1))
     own = own.groupBy(*keys, "bin").agg(F.count("*").alias("n"))
-    every = times.select(*keys).distinct().withColumn("bin", F.explode(F.sequence(F.lit(0), F.lit(bins - 1))))
+    every = every.withColumn("bin", F.explode(F.sequence(F.lit(0), F.col("_last")))).drop("_last")
     return every.join(own, [*keys, "bin"], "left").withColumn("n", F.coalesce("n", F.lit(0)))
 
 

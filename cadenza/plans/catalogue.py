@@ -351,8 +351,8 @@ def recovery_targets(spark, d):
 
 @query(A.with_tables("notes") + ", b AS (SELECT song_id, trunc(start_sec / 0.05::DOUBLE)::INTEGER AS bin FROM notes WHERE start_sec >= 0) SELECT s.song_id, r.bin::INTEGER AS bin, count(b.bin) AS n FROM (SELECT DISTINCT song_id FROM notes) s CROSS JOIN (SELECT unnest(range(200)) AS bin) r LEFT JOIN b ON b.song_id = s.song_id AND b.bin = r.bin GROUP BY ALL")
 def onset_density(spark, d):
-    """Histogram of onsets over ten seconds, empty bins too."""
-    return signal.onset_density(A.notes(spark, d), K, "start_sec", 10.0)
+    """Histogram of onsets up to the last one of all songs, empty bins too."""
+    return signal.onset_density(A.notes(spark, d), K, "start_sec")
 
 
 @query(A.with_tables("notes") + """, p AS (SELECT song_id, trunc(start_sec / 0.05::DOUBLE)::INTEGER AS bin, count(*) AS n FROM notes WHERE hand = 'L' GROUP BY ALL), o AS (SELECT song_id, trunc(start_sec / 0.05::DOUBLE)::INTEGER AS bin, count(*) AS n FROM notes WHERE hand = 'R' GROUP BY ALL),

@@ -1,5 +1,6 @@
 """Queries that answer for all of their input, against brute force and the whole form of their SQL."""
 
+from cadenza.operators import signal
 from cadenza.plans import analogue as A
 from cadenza.plans import catalogue, catalogue2
 from tests.duck import connect, same
@@ -45,3 +46,21 @@ def test_all_notes_are_reconciled(spark, sf_dir):
 
 def test_points_at_all_onsets(spark, sf_dir):
     same(catalogue.asof_two_sided(spark, sf_dir), whole("asof_two_sided", " WHERE event_id % 7 = 0"), connect(sf_dir))
+
+
+def test_density_of_all_onsets(spark, sf_dir):
+    notes = A.notes(spark, sf_dir).collect()
+    due = {(s, b): 0 for s in {n.song_id for n in notes} for b in range(int(max(n.start_sec for n in notes) / 0.05) + 1)}
+    for n in notes:
+        due[n.song_id, int(n.start_sec / 0.05)] += 1
+    got = catalogue.onset_density(spark, sf_dir)
+    assert {(r.song_id, r.bin): r.n for r in got.collect()} == due
+    assert sum(due.values()) == len(notes) and got.count() == len(due)
+    same(got.where("bin < 200"), catalogue2.ORACLE["onset_density"], connect(sf_dir))
+
+
+def test_density_reaches_the_last_time(spark):
+    d = spark.createDataFrame([("a", 0.0), ("a", 0.5), ("b", 0.25), ("b", -1.0)], "song_id string, t double")
+    got = signal.onset_density(d, ["song_id"], "t", width=0.25).collect()
+    assert {(r.song_id, r.bin): r.n for r in got} == {("a", 0): 1, ("a", 1): 0, ("a", 2): 1, ("b", 0): 0, ("b", 1): 1, ("b", 2): 0}
+    assert [(r.bin, r.n) for r in signal.onset_density(d.where("t < 0"), ["song_id"], "t").collect()] == [(0, 0)]
