@@ -1,15 +1,19 @@
 """Licence scans: normalised text against licence templates by the Dice coefficient of their word bigrams.
 
 Bounds on size prune templates: Dice at least t needs sizes a, b with a t <= b (2 - t) and the other way round, so a
-unit of text is compared only with templates in that range that share a bigram with it.
+unit of text is compared only with templates in that range that share a bigram with it. Spans of any place and length
+are compared too: those that begin and end with a bigram of the template, as no other span is the closest.
 """
 
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
+from pathlib import Path
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
@@ -52,26 +56,35 @@ TEMPLATES = {
 }
 
 
+#: Whole licence texts and longer notices, which spans are compared with besides the templates.
+TEXTS = {f"{p.stem}-text": p.read_text() for p in sorted((Path(__file__).parent / "licences").glob("*.txt"))} | {
+    f"{short}-header": TEMPLATES["GPL-header"].replace("GNU General", f"GNU {kind} General") for short, kind in (("AGPL", "Affero"), ("LGPL", "Lesser"))}
+
+
 def bigrams(text: str) -> set[str]:
     """Distinct pairs of neighbouring words (ASCII letters and digits, lower-cased)."""
     words = [w.lower() for w in WORD.findall(text)]
     return set(map(" ".join, zip(words, words[1:], strict=False)))
 
 
-def units(text: str) -> Iterator[str]:
-    """What is compared: each line, each paragraph of several lines, and a text of several paragraphs as a whole."""
+def units(text: str) -> Iterator[tuple[int, str]]:
+    """What is compared, with its place: each line, each paragraph of several lines, and a text of several paragraphs as a whole."""
     paragraphs = text.split("\n\n")
+    at = 0
     for p in paragraphs:
-        lines = p.split("\n")
-        yield from lines
+        lines, start = p.split("\n"), at
+        for line in lines:
+            yield at, line
+            at += len(line) + 1
         if len(lines) > 1:
-            yield p
+            yield start, p
+        at += 1
     if len(paragraphs) > 1:
-        yield text
+        yield 0, text
 
 
 class Scanner:
-    def __init__(self, templates: dict[str, str], threshold: float) -> None:
+    def __init__(self, templates: dict[str, str], threshold: float, texts: dict[str, str] | None = None) -> None:
         self.sets = {name: bigrams(t) for name, t in sorted(templates.items())}
         self.threshold = threshold
         self.having: dict[str, list[str]] = {}
@@ -80,6 +93,12 @@ class Scanner:
                 self.having.setdefault(b, []).append(name)
         sizes = [len(s) for s in self.sets.values()] or [0]
         self.least, self.most = min(sizes) * threshold / (2 - threshold), max(sizes) * (2 - threshold) / threshold
+        self.whole = self.sets | {name: bigrams(t) for name, t in (texts or {}).items()}
+        self.holders: dict[str, list[str]] = {}
+        for name, s in self.whole.items():
+            for b in s:
+                self.holders.setdefault(b, []).append(name)
+        self.held = frozenset(self.holders)
 
     def match(self, unit: str) -> tuple[float, str] | None:
         """The closest template and its Dice coefficient, if it reaches the threshold; ties to the first by name."""
@@ -100,25 +119,96 @@ class Scanner:
                 best = dice, name
         return best
 
+    def ends(self, pairs: list[str], before: np.ndarray, low: int, high: int, name: str, shared: int) -> Iterator[tuple[int, float, str, int, int]]:
+        """Per bigram of the template in low to high the closest span from there: bigrams shared, Dice, name, first and last word + 1."""
+        mine, t = self.whole[name], self.threshold
+        b = len(mine)
+        most = b * (2 - t) / t
+        mark = np.fromiter((p in mine for p in pairs[low:high]), bool, high - low)
+        starts = np.flatnonzero(mark)
+        for k, i in enumerate(starts.tolist()):
+            if (len(starts) - k) * (2 - t) < b * t - 1e-9:
+                break
+            length = 2 * int(most) + 2
+            while True:
+                new = before[low + i : min(low + i + length, high)] < low + i
+                size, hit = np.cumsum(new), np.cumsum(new & mark[i : i + length])
+                if low + i + length >= high or size[-1] > most or hit[-1] == shared:
+                    break
+                length *= 2
+            dice = 2 * hit / (size + b)
+            j = int(dice.argmax())
+            if dice[j] >= t:
+                yield int(hit[j]), float(dice[j]), name, low + i, low + i + j + 2
+
+    def spans(self, words: list[str]) -> list[tuple[int, float, str, int, int]]:
+        """Spans that match and don't overlap: of a template the closest, of several those that share most, then the closest."""
+        pairs = list(map(" ".join, zip(words, words[1:], strict=False)))
+        taken: list[tuple[int, float, str, int, int]] = []
+        todo, before = [(0, len(pairs))], None
+        while todo:
+            low, high = todo.pop()
+            known = self.held.intersection(pairs[low:high])
+            shared = Counter(name for b in known for name in self.holders[b])
+            names = [name for name, n in shared.items() if n * (2 - self.threshold) >= len(self.whole[name]) * self.threshold - 1e-9]
+            if not names:
+                continue
+            if before is None:
+                last: dict[str, int] = {}
+                before = np.empty(len(pairs), np.int64)
+                for i, p in enumerate(pairs):
+                    before[i] = last.get(p, -1)
+                    last[p] = i
+
+            def apart(found: Iterable[tuple[int, float, str, int, int]]) -> tuple[list[tuple[int, float, str, int, int]], np.ndarray]:
+                free, out = np.ones(high - low + 1, bool), []
+                for f in found:
+                    if free[f[3] - low : f[4] - low].all():
+                        free[f[3] - low : f[4] - low] = False
+                        out.append(f)
+                return out, free
+
+            each = [apart(sorted(self.ends(pairs, before, low, high, name, shared[name]), key=lambda f: (-f[1], -f[0], f[3])))[0] for name in names]
+            found, free = apart(sorted((f for e in each for f in e), key=lambda f: (-f[0], -f[1], *f[2:])))
+            taken += found
+            if found:  # what is left between them is looked at again
+                edges = np.flatnonzero(np.diff(np.concatenate([[False], free, [False]]).astype(np.int8))) + low
+                todo += [(a, z - 1) for a, z in edges.reshape(-1, 2).tolist() if z - a > 1]
+        return taken
+
+    def find(self, text: str) -> tuple[tuple[float, str] | None, int]:
+        """The closest template of a text, with its Dice coefficient, and the number of matches."""
+        hits = [(m, at, u) for at, u in units(text) if (m := self.match(u))]
+        tokens = [(w.start(), w.group().lower()) for w in WORD.finditer(text)]
+        spans = self.spans([w for _, w in tokens])
+        if not spans:
+            return min((m for m, _, _ in hits), key=lambda m: (-m[0], m[1]), default=None), len(hits)
+        at = [a for a, _ in tokens]
+        places = [(m, bisect_left(at, a), bisect_left(at, a + len(u))) for m, a, u in hits]
+        # a unit inside a longer span is part of that span's text
+        named = [m for m, a, z in places if not any(s[3] <= a and z <= s[4] and z - a < s[4] - s[3] for s in spans)] + [(s[1], s[2]) for s in spans]
+        more = sum(not any(a < s[4] and s[3] < z for _, a, z in places) for s in spans)
+        return min(named, key=lambda m: (-m[0], m[1])), len(hits) + more
+
 
 def scan(docs: DataFrame, templates: dict[str, str] | None = None, threshold: float = 0.8, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """Per row of ``docs``: key, license (closest template of any unit, null if none), dice, n_matches (units that match).
+    """Per row of ``docs``: key, license (closest template of any unit or span, null if none), dice, n_matches (units that
+    match, and spans that match outside of these).
 
-    Whole texts are scanned by ``units`` where they are read, without a shuffle. Null and empty texts, and units of
+    Whole texts are scanned by ``units`` and spans where they are read, without a shuffle. Null and empty texts, and units of
     fewer than two words, match nothing; ties go to the first name; repeated rows give a row each, other columns are
     left out.
     """
     short_batches(docs.sparkSession)
-    named = TEMPLATES if templates is None else templates
+    named, texts = (TEMPLATES, TEXTS) if templates is None else (templates, {})
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        s = Scanner(named, threshold)
+        s = Scanner(named, threshold, texts)
         for batch in batches:
-            found = [[m for u in units(t) if (m := s.match(u))] for t in texts_of(batch, "t")]
-            best = [min(((-d, n) for d, n in f), default=None) for f in found]
+            found = [s.find(t) for t in texts_of(batch, "t")]
             yield with_columns(batch, ["k"], {
-                "license": pa.array([b and b[1] for b in best], pa.string()), "dice": pa.array([b and -b[0] for b in best], pa.float64()),
-                "n_matches": pa.array(list(map(len, found)), pa.int64())})
+                "license": pa.array([b and b[1] for b, _ in found], pa.string()), "dice": pa.array([b and b[0] for b, _ in found], pa.float64()),
+                "n_matches": pa.array([n for _, n in found], pa.int64())})
 
     kind = docs.schema[key].dataType.simpleString()
     out = docs.select(docs[key].alias("k"), docs[text].alias("t")).mapInArrow(run, f"k {kind}, license string, dice double, n_matches long")
