@@ -51,14 +51,20 @@ def pair_features(s: Settings) -> tuple[int, int]:
 
 
 def document_features(text: str, s: Settings) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct buckets of a whole text and how often each occurs (65,535 at most)."""
+    """Distinct buckets of a whole text and how often each occurs, in 16 bits where all counts fit, else 32."""
     words = text.split()
     feats = [f for w in words for f in word_features(w, s)]
     same = sum(a == b for a, b in zip(words, words[1:], strict=False))
     a, b = pair_features(s)
     feats += [a] * (2 * same) + [b] * (2 * max(0, len(words) - 1 - same))
     ids, n = np.unique(np.asarray(feats, np.int64), return_counts=True)
-    return ids.astype(np.int32), np.minimum(n, 65535).astype(np.uint16)
+    return ids.astype(np.int32), n.astype(np.uint16 if n.max(initial=0) < 1 << 16 else np.uint32)
+
+
+def bag_of(ids: bytes | memoryview | pa.Buffer, counts: bytes | memoryview | pa.Buffer) -> tuple[np.ndarray, np.ndarray]:
+    """``document_features`` from their bytes; counts as long as the buckets have 32 bits."""
+    i = np.frombuffer(ids, np.int32)
+    return i, np.frombuffer(counts, np.uint32 if len(i) and memoryview(counts).nbytes == i.nbytes else np.uint16)
 
 
 @dataclass
@@ -81,7 +87,7 @@ def train(features: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, s:
     for _ in range(s.epochs):
         for i in rng.permutation(len(labels)):
             ids, count = features[i]
-            share = count / np.float32(max(1, int(count.sum(dtype=np.int64))))
+            share = (count / np.float32(max(1, int(count.sum(dtype=np.int64))))).astype(np.float32, copy=False)
             rate = s.rate * (1 - step / steps)
             step += 1
             h = share @ e[ids] if len(ids) else np.zeros(s.dim, np.float32)
@@ -159,7 +165,7 @@ def fit(docs: DataFrame, labels: DataFrame, settings: Settings = Settings(), key
 
     bags = rows.mapInArrow(run, "k string, y int, ids binary, counts binary").orderBy(F.xxhash64("k"), "k", "y", "ids").limit(settings.max_train).toArrow()
     labels_ = np.asarray(bags.column("y").to_pylist(), np.int64)
-    features = [(np.frombuffer(i.as_buffer(), np.int32), np.frombuffer(n.as_buffer(), np.uint16)) for i, n in zip(bags.column("ids"), bags.column("counts"), strict=True)]
+    features = [bag_of(i.as_buffer(), n.as_buffer()) for i, n in zip(bags.column("ids"), bags.column("counts"), strict=True)]
     return train(features, labels_, settings)
 
 
