@@ -10,6 +10,7 @@ that share that prefix. Of equal strings all but the earliest mark their bytes.
 from __future__ import annotations
 
 import hashlib
+import re
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -451,12 +452,26 @@ def removed_spans(first: np.ndarray, number: np.ndarray, length: int) -> list[tu
     return spans
 
 
-def without_repeats(docs: DataFrame, length: int = 100, key: str = "doc_id", text: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:
+#: What a cut leaves of characters: their last bytes at a piece's start, their first ones at its end.
+SPLIT_START, SPLIT_END = re.compile(rb"[\x80-\xbf]+"), re.compile(rb"(?:[\xc0-\xff]|[\xe0-\xff][\x80-\xbf]|[\xf0-\xff][\x80-\xbf]{2})\Z")
+
+
+def whole_characters(piece: bytes, after: bool, before: bool) -> bytes:
+    """A piece of UTF-8 without the characters that a cut ``after`` which or ``before`` which it stands has split."""
+    if after and (m := SPLIT_START.match(piece)):
+        piece = piece[m.end():]
+    if before and (m := SPLIT_END.search(piece, max(0, len(piece) - 3))):
+        piece = piece[: m.start()]
+    return piece
+
+
+def without_repeats(docs: DataFrame, length: int = 100, key: str = "doc_id", text: str = "text", carry: tuple[str, ...] = (), whole: bool = False) -> DataFrame:
     """Per row of ``docs``: key (an integer), n_bytes, n_removed, spans (array of struct<lo, hi>, byte offsets), kept (binary).
 
     Texts are taken whole as UTF-8 bytes, null as empty. Each byte goes that is covered by a string of ``length`` bytes
     which also starts earlier: in a row with a smaller key, or earlier in the same text. Strings never cross texts,
-    overlaps count, and all are judged on the input. ``kept`` joins the bytes that stay; cutting can split a character.
+    overlaps count, and all are judged on the input. ``kept`` joins the bytes that stay; cutting can split a character,
+    whose rest goes from ``kept`` too if ``whole``.
     Rows with null keys keep all and remove nothing from others; rows that repeat a key are not earlier than each
     other. Shorter texts stay whole, an empty table gives no rows, other columns are left out
     but for those named in ``carry``, which come as one struct of that name.
@@ -483,9 +498,12 @@ def without_repeats(docs: DataFrame, length: int = 100, key: str = "doc_id", tex
                 # a repeated key may have a shorter text
                 spans = [(a, min(b, len(t))) for a, b in removed_spans(first[lo:hi], number[lo:hi], length) if a < len(t)] if hi > lo else []
                 edges = [0, *(e for s in spans for e in s), len(t)]
-                kept.append(b"".join(t[a:b] for a, b in zip(edges[::2], edges[1::2], strict=True)) if spans else t)
+                pieces = [t[a:b] for a, b in zip(edges[::2], edges[1::2], strict=True)]
                 sizes.append(len(t))
-                gone.append(len(t) - len(kept[-1]))
+                gone.append(len(t) - sum(map(len, pieces)))
+                if whole:
+                    pieces = [whole_characters(p, i > 0, i < len(spans)) for i, p in enumerate(pieces)]
+                kept.append(b"".join(pieces))
                 spans_of.append([{"lo": a, "hi": b} for a, b in spans])
             carried = own.column("carry").combine_chunks()
             for lo in range(0, len(ids), BATCH_ROWS):
@@ -500,8 +518,3 @@ def without_repeats(docs: DataFrame, length: int = 100, key: str = "doc_id", tex
     schema = schema.add("spans", T.ArrayType(span)).add("kept", T.BinaryType()).add(joined.schema["carry"])
     out = joined.mapInArrow(cut, schema)
     return (out if carry else out.drop("carry")).withColumnRenamed("id", key)
-
-
-def whole_characters(kept: Column) -> Column:
-    """Bytes as text, without the characters that a cut has split (and without U+FFFD, which marks them)."""
-    return F.translate(F.make_valid_utf8(kept.cast("string")), "\ufffd", "")

@@ -28,8 +28,8 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 def suffix_array_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without passages of 100 bytes or more that start earlier; a character that a cut splits goes whole."""
     rest = tuple(c for c in docs.columns if c not in ("doc_id", "text"))
-    out = suffix_dedup.without_repeats(docs, carry=rest)
-    out = out.select("doc_id", suffix_dedup.whole_characters(F.col("kept")).alias("text"), *(F.col("carry")[c].alias(c) for c in rest))
+    out = suffix_dedup.without_repeats(docs, carry=rest, whole=True)
+    out = out.select("doc_id", F.col("kept").cast("string").alias("text"), *(F.col("carry")[c].alias(c) for c in rest))
     if "n_chars" in rest:
         out = out.withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType))
     return out.select(*docs.columns)
