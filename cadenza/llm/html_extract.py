@@ -45,9 +45,13 @@ CHROME_WORDS = set(
 MAIN_WORDS = set("article articlebody main content post entry story".split())
 
 
-@dataclass
+@dataclass(slots=True)
 class Node:
-    """An element: its signature (tag, classes and ids on its way from the root) and what it is known for."""
+    """An element: its signature (tag, classes and ids on its way from the root) and what it is known for.
+
+    ``named`` tells of chrome that only words of class and id names suggest, on an element outside of any main one;
+    ``sure`` of other chrome; ``loose`` of main elements whatever else their names say.
+    """
 
     tag: str
     path: str
@@ -55,6 +59,9 @@ class Node:
     chrome: bool
     main: bool
     links: bool
+    named: bool = False
+    sure: bool = False
+    loose: bool = False
 
 
 @dataclass
@@ -89,20 +96,26 @@ def parse(html: str) -> Page:
     root = Node("", "", None, False, False, False)
     stack = [root]
     text: list[str] = []
-    at_block: list[Node] = [root]
+    places: list[Node] = []
 
     def flush() -> None:
         if text:
             block = " ".join(unescape("".join(text)).split())
             text.clear()
+            node = places[0]
+            # an inline element speaks for its block only if like ones hold all of the text
+            if node.tag in INLINE and not (all(n.chrome for n in places) or all(n.links for n in places)):
+                while node.tag in INLINE and node.parent:
+                    node = node.parent
+            places.clear()
             if block:
-                page.blocks.append((at_block[0], block))
+                page.blocks.append((node, block))
 
     def say(piece: str) -> None:
-        if not text:
-            if not piece.strip():
-                return
-            at_block[0] = stack[-1]
+        if piece.strip():
+            places.append(stack[-1])
+        elif not text:
+            return
         text.append(piece)
 
     def close(upto: int) -> None:
@@ -155,11 +168,17 @@ def parse(html: str) -> Page:
         up = stack[-1]
         label, words, role, hidden = _names(m["attrs"] or "")
         in_main = up.main
-        main = tag in ("article", "main") or role in ("main", "article", "articlebody") or (tag in ("div", "section", "td") and bool(words & MAIN_WORDS) and not words & CHROME_WORDS)
-        plain = tag in ("html", "body")
-        chrome = up.chrome or hidden or tag in CHROME_TAGS or role in CHROME_ROLES or (not plain and bool(words & CHROME_WORDS)) or (tag == "header" and not in_main)
+        by_name = bool(words) and tag not in ("html", "body") and not words.isdisjoint(CHROME_WORDS)
+        called = bool(words) and tag in ("div", "section", "td") and not words.isdisjoint(MAIN_WORDS)
+        main = tag in ("article", "main") or role in ("main", "article", "articlebody") or (called and not by_name)
+        sure = hidden or tag in CHROME_TAGS or role in CHROME_ROLES or (tag == "header" and not in_main)
+        # names around an article or main element don't make it chrome, unless they stand in a main element themselves
+        inherited = up.chrome and not (up.named and tag in ("article", "main"))
+        chrome = sure or by_name or inherited
+        named = chrome and not sure and (up.named if inherited else not in_main)
+        loose = up.loose or main or called
         path = up.path if tag in INLINE else f"{up.path}/{tag}{label}"
-        node = Node(tag, path, up, chrome, in_main or main, up.links or tag == "a")
+        node = Node(tag, path, up, chrome, in_main or main, up.links or tag == "a", named, sure or up.sure, loose)
         page.opened.append(node)
         if tag not in INLINE:
             page.order.append((path, True))
@@ -241,7 +260,7 @@ def main_element(pages: list[Page], frame: list[str]) -> str | None:
 
 
 def extract(page: Page, place: str | None) -> str:
-    """Text blocks of a page inside the element, without chrome; a page without it is read by its own marks."""
+    """Text blocks of a page inside the element, without chrome; a page without it is read by its own marks, an empty one without its names."""
 
     def inside(node: Node, p: str) -> bool:
         return node.path == p or node.path.startswith(p + "/")
@@ -249,9 +268,9 @@ def extract(page: Page, place: str | None) -> str:
     blocks = [(n, b) for n, b in page.blocks if not n.chrome]
     if place is not None and any(inside(n, place) for n, _ in blocks):
         return "\n".join(b for n, b in blocks if inside(n, place))
-    if any(n.main for n in page.opened):
-        return "\n".join(b for n, b in blocks if n.main)
-    return "\n".join(b for _, b in blocks)
+    out = [b for n, b in blocks if n.main] if any(n.main for n in page.opened) else [b for _, b in blocks]
+    # where names alone would leave nothing, a main element's text stays
+    return "\n".join(out or [b for n, b in page.blocks if n.loose and not n.sure])
 
 
 def texts_of_pages(htmls: list[str]) -> list[str]:
