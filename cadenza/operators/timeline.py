@@ -43,21 +43,55 @@ def band_join(left: DataFrame, right: DataFrame, keys: list[str], left_at: str,
     return spread.join(other, same, how).drop("_low", "_high", "_lb", "_rb", *(f"_{k}" for k in keys))
 
 
-def neighbours_two_sided(queries: DataFrame, frames: DataFrame, keys: list[str], at: str, frame_at: str, frame_id: str) -> DataFrame:
+def _null_safe(keys: list[str], prefix: str) -> Column:
+    on = F.lit(True)
+    for k in keys:
+        on &= F.col(k).eqNullSafe(F.col(f"{prefix}{k}"))
+    return on
+
+
+def neighbours_two_sided(queries: DataFrame, frames: DataFrame, keys: list[str], at: str, frame_at: str, frame_id: str, width: float = 60.0) -> DataFrame:
     """Each query with its nearest frame at or before it and the nearest after it: before_id, before_at, after_id, after_at.
 
-    One sort of both sides together; a query reads the last frame before and the first one after it in that order.
+    Both sides are sorted together inside stretches of ``width``; a query reads the last frame before it and, in the
+    reverse order, the last one after it. What a stretch doesn't hold comes from the first and last frames of the
+    stretches around, a row a stretch. So a long timeline is many tasks, and each pass over it is linear. Frames
+    without a time don't count, queries without one find none.
+    """
+    q = queries.withColumns({"_t": F.col(at).cast("double"), "_f": F.lit(None).cast(frames.schema[frame_id].dataType), "_is_q": F.lit(1)})
+    f = frames.where(F.col(frame_at).isNotNull()).select(*keys, F.col(frame_at).cast("double").alias("_t"), F.col(frame_id).alias("_f"), F.lit(0).alias("_is_q"))
+    both = q.unionByName(f, allowMissingColumns=True).withColumn("_at_stretch", bucket(F.col("_t"), width))
+    both = both.withColumn("_own", F.when(F.col("_is_q") == 0, F.struct("_t", "_f")))
+    stretch = Window.partitionBy(*keys, "_at_stretch")
+    forth, back = (stretch.orderBy(*(F.asc(c) for c in ("_t", "_is_q", "_f"))), stretch.orderBy(*(F.desc(c) for c in ("_t", "_is_q", "_f"))))
+    so_far = lambda w: F.last("_own", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0))
+    near = both.withColumn("_b", so_far(forth)).withColumn("_a", so_far(back)).where("_is_q = 1")
+    ends = both.groupBy(*keys, "_at_stretch").agg(F.min("_own").alias("_first"), F.max("_own").alias("_last"))
+    line = Window.partitionBy(*keys)
+    carried = lambda c, o: F.last(c, ignorenulls=True).over(line.orderBy(o).rowsBetween(Window.unboundedPreceding, -1))
+    ends = ends.select(*(F.col(k).alias(f"_of_{k}") for k in keys), F.col("_at_stretch").alias("_of_stretch"), carried("_last", F.asc("_at_stretch")).alias("_cb"), carried("_first", F.desc("_at_stretch")).alias("_ca"))
+    out = near.join(ends, _null_safe(keys, "_of_") & (F.col("_at_stretch") == F.col("_of_stretch")), "left")
+    before, after = F.coalesce("_b", "_cb"), F.coalesce("_a", "_ca")
+    seen = lambda side, c: F.when(F.col("_t").isNotNull(), side[c])
+    out = out.withColumns({"before_id": seen(before, "_f"), "before_at": seen(before, "_t"), "after_id": seen(after, "_f"), "after_at": seen(after, "_t")})
+    return out.drop("_t", "_f", "_is_q", "_own", "_at_stretch", "_of_stretch", "_b", "_a", "_cb", "_ca", *(f"_of_{k}" for k in keys))
+
+
+def positions(rows: DataFrame, keys: list[str], at: str, order: list[str], out: str, counted: Column | None = None, width: float = 60.0) -> DataFrame:
+    """Rows with ``out``: how many counted rows (all, if not told) of their timeline stand before them.
+
+    Rows are counted inside stretches of ``width`` and the stretches' totals are summed apart, so a long timeline is
+    many tasks. ``at`` must not be null.
     """
-    q = queries.withColumns({"_t": F.col(at), "_f": F.lit(None).cast(frames.schema[frame_id].dataType), "_is_q": F.lit(1)})
-    f = frames.select(*keys, F.col(frame_at).alias("_t"), F.col(frame_id).alias("_f"), F.lit(0).alias("_is_q"))
-    both = q.unionByName(f, allowMissingColumns=True)
-    both = both.withColumn("_ft", F.when(F.col("_is_q") == 0, F.col("_t")))
-    order = Window.partitionBy(*keys).orderBy("_t", "_is_q", "_f")
-    back, ahead = order.rowsBetween(Window.unboundedPreceding, 0), order.rowsBetween(0, Window.unboundedFollowing)
-    pick = lambda w, f: f(F.when(F.col("_is_q") == 0, F.struct("_f", "_ft")), ignorenulls=True).over(w)
-    out = both.withColumns({"_b": pick(back, F.last), "_a": pick(ahead, F.first)}).where("_is_q = 1")
-    out = out.withColumns({"before_id": F.col("_b._f"), "before_at": F.col("_b._ft"), "after_id": F.col("_a._f"), "after_at": F.col("_a._ft")})
-    return out.drop("_t", "_f", "_is_q", "_ft", "_b", "_a")
+    own = (F.lit(True) if counted is None else counted).cast("long")
+    cut = rows.withColumns({"_at_stretch": bucket(F.col(at), width), "_own": own})
+    inside = Window.partitionBy(*keys, "_at_stretch").orderBy(at, *order)
+    cut = cut.withColumn(out, F.sum("_own").over(inside.rowsBetween(Window.unboundedPreceding, 0)) - F.col("_own"))
+    sums = cut.groupBy(*keys, "_at_stretch").agg(F.sum("_own").alias("_n"))
+    upto = F.coalesce(F.sum("_n").over(Window.partitionBy(*keys).orderBy("_at_stretch").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    sums = sums.select(*(F.col(k).alias(f"_of_{k}") for k in keys), F.col("_at_stretch").alias("_of_stretch"), upto.alias("_upto"))
+    got = cut.join(sums, _null_safe(keys, "_of_") & (F.col("_at_stretch") == F.col("_of_stretch"))).withColumn(out, F.col(out) + F.col("_upto"))
+    return got.drop("_at_stretch", "_of_stretch", "_own", "_upto", *(f"_of_{k}" for k in keys))
 
 
 def interpolated_points(queries: DataFrame, frames: DataFrame, points: DataFrame, gap: float = 0.20, carry: float = 0.15, keys: list[str] | None = None, at: str = "at", query_id: str = "query_id") -> DataFrame:

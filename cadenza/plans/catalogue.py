@@ -173,13 +173,13 @@ def notes_in_pedal(spark, d):
     return timeline.range_join(n, p, K, "end", "ps", "pe", 2.0, "left_semi").select(*K, "note_idx")
 
 
-_AT = "q AS (SELECT song_id, note_idx AS query_id, start_sec + 4e-2 AS q_at FROM notes WHERE event_id % 7 = 0)"
+_AT = "q AS (SELECT song_id, note_idx AS query_id, start_sec + 4e-2 AS q_at FROM notes)"
 
 
 @query(A.with_tables("notes", "frames", "points") + f""", {_AT}, live AS (SELECT DISTINCT song_id, frame_idx, time_sec FROM points),
+    lb AS (SELECT song_id, time_sec, max(frame_idx) AS frame_idx FROM live GROUP BY ALL), la AS (SELECT song_id, time_sec, min(frame_idx) AS frame_idx FROM live GROUP BY ALL),
     n AS (SELECT q.*, b.frame_idx AS bf, b.time_sec AS bt, a.frame_idx AS af, a.time_sec AS at2 FROM q
-      LEFT JOIN LATERAL (SELECT frame_idx, time_sec FROM live l WHERE l.song_id = q.song_id AND l.time_sec <= q.q_at ORDER BY time_sec DESC, frame_idx DESC LIMIT 1) b ON true
-      LEFT JOIN LATERAL (SELECT frame_idx, time_sec FROM live l WHERE l.song_id = q.song_id AND l.time_sec > q.q_at ORDER BY time_sec, frame_idx LIMIT 1) a ON true),
+      ASOF LEFT JOIN lb b ON b.song_id = q.song_id AND q.q_at >= b.time_sec ASOF LEFT JOIN la a ON a.song_id = q.song_id AND q.q_at < a.time_sec),
     m AS (SELECT *, CASE WHEN at2 - bt <= 0.2::DOUBLE THEN 'lerp' WHEN q_at - bt <= 0.15::DOUBLE AND (at2 IS NULL OR q_at - bt <= at2 - q_at) THEN 'before' WHEN at2 - q_at <= 0.15::DOUBLE THEN 'after' END AS mode FROM n),
     s AS (SELECT m.song_id, m.query_id, p.hand, p.finger, 0 AS side, p.x, p.y, m.mode, m.q_at, m.bt, m.at2 FROM m JOIN points p ON p.song_id = m.song_id AND p.frame_idx = m.bf WHERE mode IN ('lerp', 'before')
       UNION ALL SELECT m.song_id, m.query_id, p.hand, p.finger, 1, p.x, p.y, m.mode, m.q_at, m.bt, m.at2 FROM m JOIN points p ON p.song_id = m.song_id AND p.frame_idx = m.af WHERE mode IN ('lerp', 'after')),
@@ -296,16 +296,29 @@ def uncrossed_hands(spark, d):
 # --- evidence
 
 
-@query(A.with_tables("notes", "frames", "points") + """, k AS (SELECT DISTINCT song_id, wi FROM notes WHERE event_id % 9 = 0), g AS (SELECT f.song_id, f.frame_idx, f.time_sec, k.wi, EXISTS (SELECT 1 FROM points p WHERE p.song_id = f.song_id AND p.frame_idx = f.frame_idx AND abs(p.wi - k.wi) <= 1.5) AS near FROM frames f JOIN k USING (song_id)),
-    r AS (SELECT *, NOT near AND NOT coalesce(lead(near, 1) OVER w, true) AND NOT coalesce(lead(near, 2) OVER w, true) AS run FROM g WINDOW w AS (PARTITION BY song_id, wi ORDER BY time_sec, frame_idx))
-    SELECT n.song_id, n.note_idx, (SELECT min(r.time_sec) FROM r WHERE r.run AND r.song_id = n.song_id AND r.wi = n.wi AND r.time_sec >= n.start_sec) AS left_at FROM notes n WHERE event_id % 9 = 0""")
+_LEFT = """, k AS (SELECT DISTINCT song_id, wi FROM notes),
+    c AS (SELECT DISTINCT p.song_id, p.frame_idx, k.wi FROM points p JOIN k ON k.song_id = p.song_id AND abs(p.wi - k.wi) <= 1.5),
+    g AS (SELECT f.song_id, f.frame_idx, f.time_sec, k.wi, c.wi IS NOT NULL AS near FROM frames f JOIN k ON k.song_id = f.song_id LEFT JOIN c ON c.song_id = f.song_id AND c.frame_idx = f.frame_idx AND c.wi = k.wi),
+    r AS (SELECT *, NOT near AND NOT coalesce(lead(near, 1) OVER w, true) AND NOT coalesce(lead(near, 2) OVER w, true) AS run FROM g WINDOW w AS (PARTITION BY song_id, wi ORDER BY time_sec, frame_idx)),
+    s AS (SELECT song_id, wi, time_sec AS left_at FROM r WHERE run),
+    left_key AS (SELECT n.song_id, n.note_idx, s.left_at FROM notes n ASOF LEFT JOIN s ON s.song_id = n.song_id AND s.wi = n.wi AND n.start_sec <= s.left_at)"""
+
+
+@query(A.with_tables("notes", "frames", "points") + _LEFT + "SELECT song_id, note_idx, left_at FROM left_key")
 def first_run3(spark, d):
     """When fingers leave keys: the first three frames in a row without one near."""
     n = A.notes(spark, d).select(*K, "note_idx", "start_sec", "wi")
     return release.finger_leaves(n, A.frames(spark, d), A.points(spark, d)).select(*K, "note_idx", "left_at")
 
 
-@query()
+@query(A.with_tables("notes", "frames", "points", "pedals") + _PEDAL + _LEFT + """,
+    o AS (SELECT DISTINCT n.song_id, n.note_idx FROM notes n JOIN points p ON p.song_id = n.song_id AND p.time_sec >= n.start_sec - 0.15::DOUBLE AND p.time_sec <= n.start_sec + 0.15::DOUBLE),
+    h AS (SELECT DISTINCT n.song_id, n.note_idx FROM notes n JOIN pedal p ON p.song_id = n.song_id AND n.start_sec + n.duration_sec BETWEEN p.start_sec AND p.end_sec),
+    e AS (SELECT n.*, o.note_idx IS NOT NULL AND n.distance > 2.5::DOUBLE AS ghost, l.left_at - n.start_sec AS trimmed,
+        o.note_idx IS NOT NULL AND h.note_idx IS NOT NULL AND coalesce(n.start_sec + n.duration_sec - l.left_at >= 0.15::DOUBLE AND l.left_at - n.start_sec >= 0.12::DOUBLE, false) AS off
+      FROM notes n LEFT JOIN left_key l USING (song_id, note_idx) LEFT JOIN o USING (song_id, note_idx) LEFT JOIN h USING (song_id, note_idx))
+    SELECT song_id, note_idx, concat_ws(',', CASE WHEN ghost THEN 'ghost' END, CASE WHEN ghost AND velocity < 30 THEN 'dropped' END, CASE WHEN off THEN 'depedaled' END) AS flags,
+      CASE WHEN off THEN duration_sec END AS audio_duration_sec, CASE WHEN off THEN trimmed END AS trimmed_duration_sec FROM e""")
 def reconcile_notes(spark, d):
     """Ghost and depedalled notes (composed of operators that have oracles of their own)."""
     out = release.reconciled(A.notes(spark, d), A.points(spark, d), A.frames(spark, d), _pedal(spark, d))
@@ -349,7 +362,7 @@ def recovery_targets(spark, d):
 # --- signals
 
 
-@query(A.with_tables("notes") + ", b AS (SELECT song_id, trunc(start_sec / 0.05::DOUBLE)::INTEGER AS bin FROM notes WHERE start_sec >= 0) SELECT s.song_id, r.bin::INTEGER AS bin, count(b.bin) AS n FROM (SELECT DISTINCT song_id FROM notes) s CROSS JOIN (SELECT unnest(range(200)) AS bin) r LEFT JOIN b ON b.song_id = s.song_id AND b.bin = r.bin GROUP BY ALL")
+@query(A.with_tables("notes") + ", b AS (SELECT song_id, trunc(start_sec / 0.05::DOUBLE)::INTEGER AS bin FROM notes WHERE start_sec >= 0) SELECT s.song_id, r.bin::INTEGER AS bin, count(b.bin) AS n FROM (SELECT DISTINCT song_id FROM notes) s CROSS JOIN (SELECT unnest(range(max(bin) + 1)) AS bin FROM b) r LEFT JOIN b ON b.song_id = s.song_id AND b.bin = r.bin GROUP BY ALL")
 def onset_density(spark, d):
     """Histogram of onsets up to the last one of all songs, empty bins too."""
     return signal.onset_density(A.notes(spark, d), K, "start_sec")

@@ -1,4 +1,5 @@
 import random
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -192,3 +193,33 @@ def test_islands_and_range_join(spark):
     assert rows(i, "start_sec", "end_sec") == [(0.0, 1.0), (2.0, 3.0)]
     q = spark.createDataFrame([("a", 1.0), ("a", 1.5), ("a", 2.5), (None, 2.5)], "k string, at double")
     assert rows(timeline.range_join(q, i, ["k"], "at", "start_sec", "end_sec", 0.5), "at") == [(1.0,), (2.5,)]
+
+
+def test_asof_over_stretches(spark):
+    rng = random.Random(11)
+    f = [("a", i, round(rng.random() * 900, 1)) for i in range(60)] + [("a", 99, None), ("b", 0, 400.0)]
+    q = [("a", i, round(rng.random() * 900, 1)) for i in range(80)] + [("a", 900, None), ("b", 1, 1.0), ("b", 2, 899.0), (None, 3, 5.0)]
+    got = timeline.neighbours_two_sided(spark.createDataFrame(q, "k string, q long, at double"), spark.createDataFrame(f, "k string, f long, t double"), ["k"], "at", "t", "f")
+    want = set()
+    for k, i, at in q:
+        own = sorted((t, n) for s, n, t in f if s == k and t is not None and at is not None)
+        before, after = [x for x in own if x[0] <= at][-1:], [x for x in own if x[0] > at][:1]
+        want.add((k, i, *(before[0] if before else (None, None)), *(after[0] if after else (None, None))))
+    assert {(r.k, r.q, r.before_at, r.before_id, r.after_at, r.after_id) for r in got.collect()} == want
+
+
+def test_positions_over_stretches(spark):
+    rng = random.Random(12)
+    d = [(rng.choice("ab"), i, round(rng.random() * 900)) for i in range(120)]
+    got = timeline.positions(spark.createDataFrame(d, "k string, i long, t double"), ["k"], "t", ["i"], "n", F.col("i") % 3 == 0)
+    for r in got.collect():
+        assert r.n == sum(k == r.k and i % 3 == 0 and (t, i) < (r.t, r.i) for k, i, t in d)
+
+
+def test_long_song_as_of_is_linear(spark):
+    n = 40_000
+    f = spark.range(n).selectExpr("'a' AS song_id", "id AS frame_idx", "id * 0.1 AS time_sec")
+    q = spark.range(n).selectExpr("'a' AS song_id", "id AS query_id", "id * 0.1 + 0.04 AS at")
+    began = time.time()
+    got = timeline.neighbours_two_sided(q, f, ["song_id"], "at", "time_sec", "frame_idx").where("before_id = query_id AND (after_id = query_id + 1 OR query_id = 39999)")
+    assert got.count() == n and time.time() - began < 20
