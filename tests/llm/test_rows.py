@@ -141,13 +141,16 @@ def test_pages(spark):
     assert html_extract.main_texts(d.limit(0)).count() == 0
 
 
-def test_template(spark):
-    ps = [html_extract.parse(r[2]) for r in pages()[:6]]
-    frame = html_extract.skeleton(ps)
+def test_template():
+    paths = html_extract.Paths()
+    ps = [html_extract.parse(r[2], paths) for r in pages()[:6]]
+    t = html_extract.Template(ps, paths)
+    frame = [paths.text(p) for p in t.elements]
     assert "/html/body/article" in frame and frame.index("/html/body") < frame.index("/html/body/article")
-    assert html_extract.main_element(ps, frame) == "/html/body/article"
-    divs = [html_extract.parse(f"<body><div class=top>menu</div><div class=x>{'long text of page ' * 9}{i}</div></body>") for i in range(5)]
-    assert html_extract.main_element(divs, html_extract.skeleton(divs)) == "/body/div.x"
+    assert paths.text(t.container) == "/html/body/article"
+    paths = html_extract.Paths()
+    divs = [html_extract.parse(f"<body><div class=top>menu</div><div class=x>{'long text of page ' * 9}{i}</div></body>", paths) for i in range(5)]
+    assert paths.text(html_extract.Template(divs, paths).container) == "/body/div.x"
     assert (1,) * 6 in html_extract.equivalence_classes(ps)
 
 
