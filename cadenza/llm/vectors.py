@@ -39,12 +39,8 @@ def unit(x: np.ndarray) -> np.ndarray:
     return x / np.sqrt((x * x).sum(axis=1, keepdims=True))
 
 
-def groups_of(batches, keys: int, most: int = 1 << 60):
-    """Batches of a partition sorted by its first ``keys`` columns, regrouped as one table per key, or as several in a
-    row of ``most`` rows each."""
-    held: list[pa.RecordBatch] = []
-    rows = 0
-    last = None
+def runs_of(batches, keys: int):
+    """(key, slice) of the batches of a sorted partition: rows in a row that share their first ``keys`` columns."""
     for batch in batches:
         if not batch.num_rows:
             continue
@@ -54,17 +50,26 @@ def groups_of(batches, keys: int, most: int = 1 << 60):
             cut[1:] |= v[1:] != v[:-1]
         starts = [0, *np.flatnonzero(cut).tolist(), batch.num_rows]
         for lo, hi in zip(starts, starts[1:], strict=False):
-            now = tuple(batch.column(c)[lo].as_py() for c in range(keys))
-            if held and now != last:
+            yield tuple(batch.column(c)[lo].as_py() for c in range(keys)), batch.slice(lo, hi - lo)
+
+
+def groups_of(batches, keys: int, most: int = 1 << 60):
+    """Batches of a partition sorted by its first ``keys`` columns, regrouped as one table per key, or as several in a
+    row of ``most`` rows each."""
+    held: list[pa.RecordBatch] = []
+    rows = 0
+    last = None
+    for now, part in runs_of(batches, keys):
+        if held and now != last:
+            yield last, pa.Table.from_batches(held)
+            held, rows = [], 0
+        last = now
+        while part.num_rows:
+            n = min(part.num_rows, most - rows)
+            held.append(part.slice(0, n))
+            part, rows = part.slice(n), rows + n
+            if rows == most:
                 yield last, pa.Table.from_batches(held)
                 held, rows = [], 0
-            last = now
-            while lo < hi:
-                n = min(hi - lo, most - rows)
-                held.append(batch.slice(lo, n))
-                lo, rows = lo + n, rows + n
-                if rows == most:
-                    yield last, pa.Table.from_batches(held)
-                    held, rows = [], 0
     if held:
         yield last, pa.Table.from_batches(held)

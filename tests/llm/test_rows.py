@@ -228,10 +228,10 @@ def test_search(spark):
     rows = [(i, [float(np.float32(x)) for x in rng.standard_normal(8) * (1 + i % 5)]) for i in range(1200)]
     rows += [(2000 + i, rows[40][1]) for i in range(30)] + [(3000, None), (3020, [0.0] * 8), (3040, [float("nan")] * 8), (3060, [1.0, 2.0])]
     d = spark.createDataFrame([(*r, 0, "x") for r in rows], "vec_id long, embedding array<float>, rank int, id string")
-    exact = vp_search.nearest(d, relax=1.0, shard_rows=300, query_rows=20).collect()
+    exact = vp_search.nearest(d, relax=1.0, shard_rows=300, sample_rows=100).collect()
     want = brute_nearest(rows, 20)
     assert {(r.query_id, r["rank"], r.vec_id, round(r.score, 9)) for r in exact} == want
-    fast = {(r.query_id, r.vec_id) for r in vp_search.nearest(d, shard_rows=300).collect()}
+    fast = {(r.query_id, r.vec_id) for r in vp_search.nearest(d, shard_rows=300, sample_rows=100).collect()}
     assert len(fast & {(q, v) for q, _, v, _ in want}) >= 0.9 * len(want)
     assert vp_search.nearest(d.limit(0)).count() == 0 and vp_search.nearest(d.limit(3)).count() == 2
 
