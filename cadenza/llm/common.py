@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 import atexit
+import re
 import tempfile
 import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 #: Rows and bytes per Arrow batch: texts and blocks of keys may be long, so batches stay short.
@@ -21,22 +22,33 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def _bytes(size: str) -> int:
+    """A Spark size setting in bytes."""
+    m = re.fullmatch(r"\s*(-?\d+)\s*([bkmgtp]?)(?:i?b)?\s*", size.lower())
+    return int(m[1]) << 10 * "bkmgtp".index(m[2] or "b") if m else BATCH_BYTES + 1
+
+
 def short_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
-    """Lower the session's Arrow batch sizes (never raise them), which bounds a Python worker's memory."""
+    """Lower the session's Arrow batch sizes (never raise them), which bounds a Python worker's memory.
+
+    They stay lowered: the frames that need them are lazy and may run at any later time.
+    """
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
     now = int(spark.conf.get(key, "10000"))
     if now <= 0 or now > rows:
         spark.conf.set(key, str(rows))
     key = "spark.sql.execution.arrow.maxBytesPerBatch"
-    size = spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get(key, "256MB"))
-    if size <= 0 or size > BATCH_BYTES:
+    if not 0 < _bytes(spark.conf.get(key, "256MB")) <= BATCH_BYTES:
         spark.conf.set(key, str(BATCH_BYTES))
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the cluster shares; a temporary one only where the session names none."""
+    """The folder that the cluster shares. Where the session names none, a local session gets a temporary one and any
+    other is refused, since its executors couldn't read it."""
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not named:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         named = tempfile.mkdtemp(prefix="cadenza-")
         spark.sparkContext.setCheckpointDir(named)
         named = spark.sparkContext.getCheckpointDir()
@@ -55,6 +67,12 @@ class Scratch:
         self.root = f"{shared_dir(spark)}/cadenza-{label}-{uuid.uuid4().hex[:12]}"
         atexit.register(self.clear)
 
+    def counted(self, df: DataFrame, name: str, *aggregates: Column) -> tuple[DataFrame, dict]:
+        """``write``, and aggregates of the table that the same job takes."""
+        seen = Observation()
+        kept = self.write(df.observe(seen, *aggregates), name)
+        return kept, seen.get
+
     def write(self, df: DataFrame, name: str) -> DataFrame:
         path = f"{self.root}/{name}"
         # the table stands for its plan from now on, so the plan's shuffle files go as soon as it is written
@@ -67,8 +85,9 @@ class Scratch:
             self.spark.conf.set(key, before)
         return self.spark.read.schema(df.schema).parquet(path)
 
-    def drop(self, name: str) -> None:
-        self._delete(f"{self.root}/{name}")
+    def drop(self, *names: str) -> None:
+        for name in names:
+            self._delete(f"{self.root}/{name}")
 
     def clear(self) -> None:
         try:
@@ -115,52 +134,58 @@ def forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _contract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Links of one partition, as stars; a partition's links are merged every two million rows."""
+    """Links of one partition, as stars. What is held is merged whenever it has doubled since; a forest that is then
+    still above two million links is sent on as it is, so that memory stays bounded."""
     held: list[tuple[np.ndarray, np.ndarray]] = []
-    rows = 0
+    rows, limit = 0, 2_000_000
 
     def merged() -> tuple[np.ndarray, np.ndarray]:
         return forest(np.concatenate([h[0] for h in held]), np.concatenate([h[1] for h in held]))
 
+    def sent(a: np.ndarray, b: np.ndarray) -> Iterator[pa.RecordBatch]:
+        for at in range(0, len(a), 100_000):
+            yield pa.RecordBatch.from_arrays([pa.array(a[at : at + 100_000]), pa.array(b[at : at + 100_000])], names=["a", "b"])
+
     for batch in batches:
         held.append((batch.column(0).to_numpy(zero_copy_only=False), batch.column(1).to_numpy(zero_copy_only=False)))
         rows += batch.num_rows
-        if rows > 2_000_000:
+        if rows > limit:
             held = [merged()]
             rows = len(held[0][0])
+            if rows > 2_000_000:
+                yield from sent(*held[0])
+                held, rows = [], 0
+            limit = max(2_000_000, 2 * rows)
     if held:
-        a, b = merged()
-        for at in range(0, len(a), 100_000):
-            yield pa.RecordBatch.from_arrays([pa.array(a[at : at + 100_000]), pa.array(b[at : at + 100_000])], names=["a", "b"])
+        yield from sent(*merged())
 
 
 def components(links: DataFrame, scratch: Scratch, name: str = "cc") -> DataFrame:
     """Connected components of ``links`` (a long, b long) as rows (node, component), component the smallest node.
 
     Rounds of large-star and small-star: every node links its neighbours to the smallest one it knows, until no
-    link changes. Each partition first shrinks its links to a forest. Every round's links are written to the
-    shared folder; a node of any degree is handled by aggregates and joins, never by one task's memory.
-    Nodes without links don't appear. Empty links give an empty result.
+    link changes. Each partition first shrinks its links to a forest. A round is one job, whose links are written to
+    the shared folder; a node of any degree is handled by partial aggregates, and by joins of two exchanges, which
+    adaptive execution splits where a node has too many links for one task. Nodes without links don't appear. Empty
+    links give an empty result.
     """
+    digest = F.count("*").alias("rows"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("sum")
     edges = links.where("a IS NOT NULL AND b IS NOT NULL AND a <> b").mapInArrow(_contract, "a long, b long")
-    edges = scratch.write(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), f"{name}0")
+    edges = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
+    edges, was = scratch.counted(edges, f"{name}0", *digest)
     for step in range(1, 60):
-        both = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        low = both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("n"), F.least("a", "m").alias("m"))
-        # large star: neighbours above a node go to its smallest neighbour
-        large = both.where("b > a").join(low, F.col("a") == F.col("n")).select(F.col("b").alias("a"), F.col("m").alias("b"))
-        large = large.where("a <> b").distinct()
+        # large star: a link leads on to the smallest neighbour of its smaller end, if that has any
+        low = edges.groupBy(F.col("a").alias("n")).agg(F.min("b").alias("m")).repartition("n")
+        large = edges.join(low, F.col("b") == F.col("n"), "left").select("a", F.coalesce("m", "b").alias("b")).distinct()
         # small star: a node and its smaller neighbours go to the smallest
-        least = large.groupBy("a").agg(F.min("b").alias("m")).withColumnRenamed("a", "n")
-        small = large.join(least, F.col("a") == F.col("n")).select("a", "b", "m")
+        least = large.groupBy(F.col("a").alias("n")).agg(F.min("b").alias("m")).repartition("n")
+        small = large.join(least, F.col("a") == F.col("n"))
         small = small.select(F.explode(F.array(F.struct(F.col("a"), F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("e"))
-        new = scratch.write(small.select("e.a", "e.b").where("a <> b").distinct(), f"{name}{step}")
-        say = lambda e: e.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-        same = say(edges) == say(new)
+        edges, now = scratch.counted(small.select("e.a", "e.b").where("a <> b").distinct(), f"{name}{step}", *digest)
         scratch.drop(f"{name}{step - 1}")
-        edges = new
-        if same:
+        if was == now:
             break
+        was = now
     else:
         raise RuntimeError("components did not settle")
     return edges.groupBy("a").agg(F.min("b").alias("b")).select(F.col("a").alias("node"), F.col("b").alias("component"))

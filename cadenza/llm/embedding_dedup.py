@@ -19,6 +19,8 @@ from .vectors import element, groups_of, matrix, packed, unit, usable
 
 #: Room for rounding in squared distances, which only adds candidates.
 SLACK = 1e-9
+#: Crowded cells that may be broadcast (a label and five numbers each).
+BROADCAST_CELLS = 50_000
 
 
 class Blocks:
@@ -117,6 +119,9 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.98, blocks: int = 4, g
     crowded = base.mapInArrow(emit(True), "label string, block int, cell long, home boolean").groupBy("label", "block", "cell").agg(F.count_if("home").alias("homes"), size.alias("all"))
     crowded = crowded.where((F.col("all") > tile) & (F.col("homes") > 0))
     crowded = crowded.select("label", "block", "cell", F.ceil(F.col("homes") / tile).cast("int").alias("tl"), F.ceil(F.col("all") / tile).cast("int").alias("tr"))
+    crowded, many = scratch.counted(crowded, "crowded", F.count("*").alias("cells"))
+    # few crowded cells are sent to where vectors are, so that these travel once; many are met by a join
+    crowded = F.broadcast(crowded) if many["cells"] <= BROADCAST_CELLS else crowded.hint("merge")
     spread = base.mapInArrow(emit(False), "label string, block int, cell long, home boolean, id long, n long, v binary").join(crowded, ["label", "block", "cell"], "left")
     tl, tr = F.coalesce("tl", F.lit(1)), F.coalesce("tr", F.lit(1))
     own_l, own_r = F.pmod(F.xxhash64(F.lit(1), "id"), tl).cast("int"), F.pmod(F.xxhash64(F.lit(2), "id"), tr).cast("int")
