@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import short_batches, texts_of
+from .common import Scratch, short_batches, texts_of
 
 #: Fixed value: what a word is.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -138,7 +138,8 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), factor: float =
     an empty table gives no rows; rows that repeat a key are taken each for itself.
     """
     rows = docs.select(docs[key].alias("k"), docs[source].cast("string").alias("s"), F.regexp_count(F.coalesce(docs[text], F.lit("")), F.lit(WORD)).cast("long").alias("size"))
-    rows = rows.withColumn("h", F.xxhash64(F.lit(seed), F.col("k").cast("string"), "size"))
+    # texts are read once: what follows needs their sizes alone
+    rows = Scratch(docs.sparkSession, "source-mix").write(rows.withColumn("h", F.xxhash64(F.lit(seed), F.col("k").cast("string"), "size")), "sizes")
     by_source = rows.groupBy("s").agg(F.sum("size").alias("source_size"), F.count("*").alias("n")).withColumn("shards", F.ceil(F.col("n") / shard_docs).cast("long"))
     # A row per source: its order gives its weight. Their number, not that of documents, bounds this step.
     listed = by_source.orderBy(F.col("s").asc_nulls_last()).toPandas()
