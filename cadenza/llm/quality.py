@@ -1,13 +1,14 @@
 """Quality classifier: supervised subword embeddings.
 
-Words, pairs of neighbouring words and character n-grams of words are hashed to vectors; a document is the average
-of all its features' vectors, and a softmax layer scores it. Vectors and layer are trained together by stochastic
+Words, pairs of neighbouring words and character n-grams of words are each hashed to a vector; a document is the
+average of all its features' vectors, and a softmax layer scores it. Vectors and layer are trained together by stochastic
 gradient descent in numpy.
 """
 
 from __future__ import annotations
 
 import zlib
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -45,26 +46,39 @@ def word_features(word: str, s: Settings) -> list[int]:
     return [f % s.buckets for f in out]
 
 
-#: Buckets of a pair of equal neighbours and of other pairs: the pair features that don't depend on vocabulary.
-def pair_features(s: Settings) -> tuple[int, int]:
-    return zlib.crc32(b"< same>") % s.buckets, zlib.crc32(b"< other>") % s.buckets
+def word_code(word: str) -> int:
+    """What stands for a word in pairs of words."""
+    return zlib.crc32(word.encode())
+
+
+def pair_features(codes: np.ndarray, s: Settings) -> np.ndarray:
+    """Buckets of all pairs of neighbouring words, from the words' codes in order.
+
+    A pair is hashed by the exclusive or of its words' codes: every pair has a bucket of its own, in either order,
+    but a word that follows itself has the same one whatever the word is.
+    """
+    x = (codes[:-1] ^ codes[1:]) * np.uint64(0x9E3779B97F4A7C15)
+    return ((x >> np.uint64(40)) % np.uint64(s.buckets)).astype(np.int64)
 
 
 def document_features(text: str, s: Settings) -> tuple[np.ndarray, np.ndarray]:
     """Distinct buckets of a whole text and how often each occurs, in 16 bits where all counts fit, else 32."""
-    words = text.split()
-    feats = [f for w in words for f in word_features(w, s)]
-    same = sum(a == b for a, b in zip(words, words[1:], strict=False))
-    a, b = pair_features(s)
-    feats += [a] * (2 * same) + [b] * (2 * max(0, len(words) - 1 - same))
-    ids, n = np.unique(np.asarray(feats, np.int64), return_counts=True)
+    times = Counter(text.split())
+    feats = [word_features(w, s) for w in times]
+    codes = np.asarray([word_code(w) for w in text.split()], np.uint64)
+    flat = np.asarray([f for x in feats for f in x], np.int64)
+    often = np.repeat(np.asarray(list(times.values()), np.int64), np.asarray(list(map(len, feats)), np.int64))
+    pairs = pair_features(codes, s)
+    ids, inverse = np.unique(np.concatenate([flat, pairs]), return_inverse=True)
+    n = np.zeros(len(ids), np.int64)
+    np.add.at(n, inverse, np.concatenate([often, np.ones(len(pairs), np.int64)]))
     return ids.astype(np.int32), n.astype(np.uint16 if n.max(initial=0) < 1 << 16 else np.uint32)
 
 
-def bag_of(ids: bytes | memoryview | pa.Buffer, counts: bytes | memoryview | pa.Buffer) -> tuple[np.ndarray, np.ndarray]:
+def bag_of(ids: bytes, counts: bytes) -> tuple[np.ndarray, np.ndarray]:
     """``document_features`` from their bytes; counts as long as the buckets have 32 bits."""
     i = np.frombuffer(ids, np.int32)
-    return i, np.frombuffer(counts, np.uint32 if len(i) and memoryview(counts).nbytes == i.nbytes else np.uint16)
+    return i, np.frombuffer(counts, np.uint32 if len(i) and len(counts) == i.nbytes else np.uint16)
 
 
 @dataclass
@@ -106,34 +120,32 @@ def train(features: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, s:
     return Model(s, (e @ (w[1] - w[0])).astype(np.float64), float(bias[1] - bias[0]))
 
 
-class _Words(dict):
-    def __init__(self, m: Model) -> None:
-        self.m = m
-
-    def __missing__(self, word: str) -> tuple[float, int]:
-        if len(self) >= KEPT_WORDS:
-            self.clear()
-        f = word_features(word, self.m.settings)
-        out = self[word] = (float(self.m.value[f].sum()), len(f))
-        return out
-
-
 class Scorer:
     """Scores of whole texts in [0, 1]; each distinct word's features are summed once and kept."""
 
     def __init__(self, m: Model) -> None:
-        self.m, self.words = m, _Words(m)
-        self.same, self.other = (float(m.value[f]) for f in pair_features(m.settings))
+        self.m, self.at = m, {}
+        self.sums, self.counts, self.codes = np.zeros(1 << 12), np.zeros(1 << 12, np.int64), np.zeros(1 << 12, np.uint64)
+
+    def _learn(self, word: str) -> int:
+        i, f = len(self.at), word_features(word, self.m.settings)
+        if i == len(self.sums):
+            self.sums, self.counts, self.codes = (np.concatenate([x, np.zeros_like(x)]) for x in (self.sums, self.counts, self.codes))
+        self.sums[i], self.counts[i], self.codes[i] = self.m.value[f].sum(), len(f), word_code(word)
+        self.at[word] = i
+        return i
 
     def __call__(self, text: str) -> float:
         words = text.split()
-        total, n = self.m.bias, 0
+        total = self.m.bias
         if words:
-            sums, counts = zip(*map(self.words.__getitem__, words), strict=True)
-            same = sum(map(str.__eq__, words, words[1:]))
-            pairs = len(words) - 1
-            n = sum(counts) + 2 * pairs
-            total += (sum(sums) + 2 * same * self.same + 2 * (pairs - same) * self.other) / n
+            if len(self.at) >= KEPT_WORDS:
+                self.at.clear()
+            for w in set(words).difference(self.at):
+                self._learn(w)
+            at = np.fromiter(map(self.at.__getitem__, words), np.int64, len(words))
+            pairs = pair_features(self.codes[at], self.m.settings)
+            total += (self.sums[at].sum() + self.m.value[pairs].sum()) / (self.counts[at].sum() + len(pairs))
         return float(1 / (1 + np.exp(-np.clip(total, -60, 60))))
 
 
@@ -145,8 +157,8 @@ def held_out(key: Column) -> Column:
 def fit(docs: DataFrame, labels: DataFrame, settings: Settings = Settings(), key: str = "doc_id", text: str = "text", label: str = "quality") -> Model:
     """Train on at most ``settings.max_train`` labelled rows that aren't held out.
 
-    Only keys, texts and labels are read; features are hashed where the texts are, and at most ``max_train`` bags of
-    hashed features come to the driver. Rows with null text teach as empty ones; labels other than 0 and 1, null keys
+    Only keys, texts and labels are read; features are hashed where the texts are, at most ``max_train`` bags of hashed
+    features go to one task, which trains, and ``settings.buckets`` numbers come to the driver. Rows with null text teach as empty ones; labels other than 0 and 1, null keys
     and labels without a document don't count; of a key labelled twice its smallest label counts.
     """
     short_batches(docs.sparkSession)
@@ -163,10 +175,18 @@ def fit(docs: DataFrame, labels: DataFrame, settings: Settings = Settings(), key
                 [pa.array(batch.column(0).cast(pa.string())), batch.column(1), pa.array([b[0].tobytes() for b in both], pa.binary()), pa.array([b[1].tobytes() for b in both], pa.binary())],
                 names=["k", "y", "ids", "counts"])
 
-    bags = rows.mapInArrow(run, "k string, y int, ids binary, counts binary").orderBy(F.xxhash64("k"), "k", "y", "ids").limit(settings.max_train).toArrow()
-    labels_ = np.asarray(bags.column("y").to_pylist(), np.int64)
-    features = [bag_of(i.as_buffer(), n.as_buffer()) for i, n in zip(bags.column("ids"), bags.column("counts"), strict=True)]
-    return train(features, labels_, settings)
+    def teach(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        features, known = [], []
+        for batch in batches:
+            known += batch.column(1).to_pylist()
+            features += [bag_of(i, n) for i, n in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)]
+        m = train(features, np.asarray(known, np.int64), settings)
+        yield pa.RecordBatch.from_arrays([pa.array([m.value.tobytes()], pa.binary()), pa.array([m.bias])], names=["value", "bias"])
+
+    bags = rows.mapInArrow(run, "k string, y int, ids binary, counts binary").orderBy(F.xxhash64("k"), "k", "y", "ids").limit(settings.max_train)
+    # an ordered limit is a single partition, in order
+    got = bags.mapInArrow(teach, "value binary, bias double").first()
+    return Model(settings, np.frombuffer(bytes(got["value"])).copy(), got["bias"]) if got else train([], np.empty(0, np.int64), settings)
 
 
 def score(docs: DataFrame, model: Model, threshold: float = 0.7, key: str = "doc_id", text: str = "text") -> DataFrame:

@@ -17,9 +17,8 @@ def test_counts_of_long_texts():
         for w, n in Counter(words).items():
             for f in quality.word_features(w, s):
                 due[f] += n
-        same = sum(a == b for a, b in zip(words, words[1:], strict=False))
-        for f, n in zip(quality.pair_features(s), (same, max(0, len(words) - 1 - same)), strict=True):
-            due[f] += 2 * n
+        for a, b in zip(words, words[1:], strict=False):
+            due[int(quality.pair_features(np.asarray([quality.word_code(a), quality.word_code(b)], np.uint64), s)[0])] += 1
         assert dict(zip(ids.tolist(), counts.tolist(), strict=True)) == {f: n for f, n in due.items() if n}
         a, b = quality.bag_of(ids.tobytes(), counts.tobytes())
         assert np.array_equal(a, ids) and np.array_equal(b, counts)
