@@ -187,7 +187,7 @@ def _keys(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     return k1.view(np.int64), k2.view(np.int64)
 
 
-def near_duplicates(docs: DataFrame, words: int = 5, threshold: Fraction = Fraction(4, 5), tile: int = 1024, key: str = "doc_id", text: str = "text") -> DataFrame:
+def near_duplicates(docs: DataFrame, words: int = 5, threshold: Fraction = Fraction(4, 5), tile: int = 1024, tile_shingles: int = 1 << 20, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Per row of ``docs``: key (an integer), n_shingles, component_id (smallest key reachable by links, itself included).
 
     Whole texts are read: a document's set holds its distinct ``words``-word shingles (A-Z lower-cased); with fewer
@@ -196,8 +196,9 @@ def near_duplicates(docs: DataFrame, words: int = 5, threshold: Fraction = Fract
     links and a row each in the result; null keys link with nothing; other columns are left out; an empty table gives
     no rows. All links count: nothing is capped, and copies of a set are taken once whatever their number.
 
-    What tasks hold: signatures meet by hash, those of one task merged before; a cluster of more than two ``tile``s is
-    cut into tiles that meet in pairs. The list of frequent features has a bound that doesn't depend on the input.
+    What tasks hold: signatures meet by hash, those of one task merged before; a cluster of more than two ``tile``s, of
+    documents or of ``tile_shingles``, is cut into tiles that meet in pairs, so a task holds about two tiles (and
+    at least one whole set). The list of frequent features has a bound that doesn't depend on the input.
     """
     spark = docs.sparkSession
     short_batches(spark)
@@ -317,10 +318,13 @@ def near_duplicates(docs: DataFrame, words: int = 5, threshold: Fraction = Fract
     ties = shared.join(rep("a"), "a").join(rep("b"), "b").select(F.col("ar").alias("a"), F.col("br").alias("b"))
     clusters = scratch.write(components(ties.where("a <> b"), scratch, "cluster"), "clusters")
     clusters = clusters.union(clusters.select("component", "component").distinct())
-    sizes = clusters.groupBy("component").agg(F.count("*").alias("m"))
-    tiles = F.when(F.col("m") <= 2 * tile, 1).otherwise(F.ceil(F.col("m") / tile)).cast("int")
+    clusters = clusters.join(heads.select(F.col("rep").alias("node"), "n"), "node")
+    sizes = clusters.groupBy("component").agg(F.count("*").alias("m"), F.sum("n").alias("ns"))
+    tiles = F.greatest(F.col("m") / tile, F.col("ns") / tile_shingles)
+    tiles = F.when(tiles <= 2, 1).otherwise(F.ceil(tiles)).cast("int")
     member = clusters.join(sizes, "component").select(F.col("node").alias("id"), "component", tiles.alias("tiles"))
     member = scratch.write(member, "member")
+    scratch.drop("shared", "clusters", "heads")
 
     def reread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -348,6 +352,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, threshold: Fraction = Fract
     links = links.union(whose.join(again, "id").select(F.col("rep").alias("a"), "b"))
     links = scratch.write(links.where("a <> b"), "links")
     comp = scratch.write(components(links, scratch), "components")
+    scratch.drop("member", "links")
     reached = whose.join(comp, F.col("rep") == F.col("node"), "left").select(F.col("id").alias("wid"), F.coalesce("component", "rep").alias("c"))
     reached = reached.groupBy("wid").agg(F.min("c").alias("c"))
     out = sized.join(reached, F.col("id") == F.col("wid"), "left")
