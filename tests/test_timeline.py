@@ -210,7 +210,7 @@ def test_asof_over_stretches(spark):
 
 def test_positions_over_stretches(spark):
     rng = random.Random(12)
-    d = [(rng.choice("ab"), i, round(rng.random() * 900)) for i in range(120)]
+    d = [(rng.choice("ab"), i, float(rng.randrange(900))) for i in range(120)]
     got = timeline.positions(spark.createDataFrame(d, "k string, i long, t double"), ["k"], "t", ["i"], "n", F.col("i") % 3 == 0)
     for r in got.collect():
         assert r.n == sum(k == r.k and i % 3 == 0 and (t, i) < (r.t, r.i) for k, i, t in d)
