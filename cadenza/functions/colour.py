@@ -47,3 +47,13 @@ def nearest_reference(colour: list[Column], references: dict[str, tuple[float, f
 
 def is_lit(colour: list[Column], base: list[Column], threshold: float = 40.0) -> Column:
     return distance(colour, base) > threshold
+
+
+def is_separated(distance_: Column, least: float = 60.0) -> Column:
+    """Whether two clusters of colours are far enough apart to be two hands."""
+    return distance_ >= least
+
+
+def is_separated_in_hue(chord: Column, least: float = 0.5) -> Column:
+    """The same for clusters of hues on the unit circle."""
+    return chord >= least

@@ -75,19 +75,31 @@ def fit_row(u: list[float], x: list[float], y: list[float]) -> list[float] | Non
     return out.tolist() if rank == 5 else None
 
 
+def _away_from_zero(w: Column, least: float = 1e-9) -> Column:
+    """A divisor at least so far from zero, on its own side."""
+    return F.when(F.abs(w) >= least, w).otherwise(F.when(w >= 0, least).otherwise(-least))
+
+
 def row_project(row: list[float], u: Column) -> tuple[Column, Column]:
     a, b, c, d, e = map(float, row)
-    w = F.lit(e) * u + 1.0
-    w = F.when(F.abs(w) < 1e-9, 1e-9).otherwise(w)
+    w = _away_from_zero(F.lit(e) * u + 1.0)
     return (F.lit(a) * u + b) / w, (F.lit(c) * u + d) / w
 
 
 def row_invert(row: list[float], x: Column) -> Column:
     """u of a screen x on the row."""
     a, b, _, _, e = map(float, row)
-    w = F.lit(a) - F.lit(e) * x
-    w = F.when(F.abs(w) < 1e-9, 1e-9).otherwise(w)
-    return (x - b) / w
+    return (F.lit(b) - x) / _away_from_zero(F.lit(e) * x - a)
+
+
+def to_screen(u: Column, row: list[float] | None, h: list[list[float]], near: bool = False, v: float = 0.9) -> tuple[Column, Column]:
+    """Where a position along the keyboard is on the screen: on the row of keys, or, without a row or with a near one
+    too, at depth ``v`` (where fingers rest) of the projective map ``h`` from the screen."""
+    import numpy as np
+
+    if row is not None and not near:
+        return row_project(row, u)
+    return homography(np.linalg.inv(np.asarray(h, float)).tolist(), u, F.lit(float(v)))
 
 
 def normal_x(pitch: Column, low: int, high: int) -> Column:

@@ -17,6 +17,11 @@ TITLE_NOISE = (
 )
 
 
+def stripped(s: Column) -> Column:
+    """A text without white space of any kind at its ends."""
+    return F.regexp_replace(s, r"(?U)^\s+|\s+$", "")
+
+
 def parsed_title(raw: Column) -> Column:
     """struct<artist, title, difficulty, genre> of a video's title.
 
@@ -24,13 +29,13 @@ def parsed_title(raw: Column) -> Column:
     Difficulty is empty if no word tells it.
     """
     t = F.replace(raw, F.lit("｜"), F.lit("|"))
-    t = F.when(F.contains(t, F.lit("|")), F.trim(F.substring_index(t, "|", 1))).otherwise(t)
+    t = F.when(F.contains(t, F.lit("|")), stripped(F.substring_index(t, "|", 1))).otherwise(t)
 
     def after(s: Column, mark: str) -> Column:
-        return F.trim(F.substring(s, F.instr(s, mark) + len(mark), F.length(s)))
+        return stripped(F.substring(s, F.instr(s, mark) + len(mark), F.length(s)))
 
     def before(s: Column, mark: str) -> Column:
-        return F.trim(F.substring_index(s, mark, 1))
+        return stripped(F.substring_index(s, mark, 1))
 
     has = lambda mark: F.contains(t, F.lit(mark))
     artist = F.when(has(" - "), before(t, " - ")).when(has(" by "), after(t, " by ")).when(has(": "), before(t, ": ")).otherwise("")
@@ -39,7 +44,7 @@ def parsed_title(raw: Column) -> Column:
     for word, level in reversed(DIFFICULTY.items()):
         hard = F.when(F.contains(F.lower(title), F.lit(word)), level).otherwise(hard)
     for noise in TITLE_NOISE:
-        title = F.trim(F.replace(F.replace(title, F.lit(noise), F.lit("")), F.lit(noise.lower()), F.lit("")))
+        title = stripped(F.replace(F.replace(title, F.lit(noise), F.lit("")), F.lit(noise.lower()), F.lit("")))
     return F.struct(artist.alias("artist"), title.alias("title"), hard.alias("difficulty"), F.lit("Piano").alias("genre"))
 
 
@@ -67,8 +72,13 @@ def watch_url(url: Column) -> Column:
 
 def unbraced(path: Column) -> Column:
     """A dropped path without the braces around it."""
-    return F.regexp_replace(F.trim(path), r"^\{(.*)\}$", "$1")
+    return F.regexp_replace(stripped(path), r"^\{(.*)\}$", "$1")
 
 
 def percent(share: Column) -> Column:
     return F.format_string("%.1f%%", share * 100.0)
+
+
+def utc_stamp(at: Column) -> Column:
+    """A moment as text, in UTC to the second: 2024-01-31T09:05:00Z."""
+    return F.date_format(F.to_utc_timestamp(at, F.current_timezone()), "yyyy-MM-dd'T'HH:mm:ss'Z'")

@@ -117,3 +117,23 @@ def cluster_hands(clustered: DataFrame, keys: list[str], pitch: str, flip: bool
     low = F.when(F.coalesce(mean(0), F.lit(float("inf"))) <= F.coalesce(mean(1), F.lit(float("inf"))), 0).otherwise(1)
     left, right = ("R", "L") if flip else ("L", "R")
     return clustered.withColumn("hand", F.when(F.col("cluster") == low, left).otherwise(right))
+
+
+def assigned_hands(notes: DataFrame, keys: list[str], ident: str, pitch: str = "pitch", flip: bool = False, grey: float = 0.05, apart: float = 0.5, middle: float = 60.0) -> DataFrame:
+    """Notes (keys, ident, pitch, r, g, b) with hand, confidence and degenerate, from two clusters of their hues.
+
+    Colours that are grey on average, or hues that don't part, tell nothing: then all notes of a key get one hand by
+    their median pitch, confidence 0, whatever ``flip`` says.
+    """
+    from ..functions.colour import hue_vector, is_separated_in_hue, saturation
+
+    c = [F.col(x) for x in "rgb"]
+    x, y = hue_vector(*c)
+    whole = notes.groupBy(*keys).agg(F.avg(saturation(*c)).alias("_sat"), F.median(pitch).alias("_mid"))
+    n = notes.withColumns({"_hx": x, "_hy": y})
+    both = two_means(n, keys, ["_hx", "_hy"], ident)
+    n = cluster_hands(n.join(both, [*keys, ident]), keys, pitch, flip).join(whole, keys)
+    plain = (F.col("_sat") < grey) | ~is_separated_in_hue(F.col("separation"), apart)
+    one = F.when(F.col("_mid") < middle, "L").otherwise("R")
+    out = n.withColumns({"degenerate": plain, "hand": F.when(plain, one).otherwise(F.col("hand")), "confidence": F.when(plain, 0.0).otherwise(F.col("separation") / (F.col("separation") + apart))})
+    return out.drop("_hx", "_hy", "_sat", "_mid", "cluster", "separation")

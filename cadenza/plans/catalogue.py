@@ -9,7 +9,9 @@ from pyspark.sql import functions as F
 
 from ..functions import colour, music, text
 from ..operators import matching, refine, release, signal, timeline
+from ..operators import notes as N
 from . import analogue as A
+from . import benchmark
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -36,13 +38,13 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 @query(A.with_tables("notes") + "SELECT song_id, note_idx, pitch, velocity, duration_sec FROM notes WHERE velocity >= 15 AND duration_sec >= 0.05")
 def filter_note_events(spark, d):
     """Notes of enough velocity and duration."""
-    return A.notes(spark, d).where((F.col("velocity") >= 15) & (F.col("duration_sec") >= 0.05)).select(*K, "note_idx", "pitch", "velocity", "duration_sec")
+    return N.audible(A.notes(spark, d)).select(*K, "note_idx", "pitch", "velocity", "duration_sec")
 
 
 @query(A.with_tables("notes") + """SELECT song_id, note_idx, start_sec, CASE WHEN finger BETWEEN 1 AND 5 THEN finger END AS finger FROM notes WHERE start_sec <= 30 AND confidence >= 0.2""")
 def trim_notes(spark, d):
     """Notes up to a time, of enough confidence, with wrist and palm matches as null fingers."""
-    return A.notes(spark, d).where((F.col("start_sec") <= 30) & (F.col("confidence") >= 0.2)).select(*K, "note_idx", "start_sec", music.playable_finger(F.col("finger")).alias("finger"))
+    return N.trimmed(A.notes(spark, d), 30, 0.2).select(*K, "note_idx", "start_sec", "finger")
 
 
 @query(A.with_tables("notes") + """SELECT song_id, greatest(0, min(pitch) // 12 * 12)::INTEGER AS low, least(127, ceil(max(pitch) / 12e0) * 12)::INTEGER AS high FROM notes GROUP BY song_id""")
@@ -173,18 +175,24 @@ def notes_in_pedal(spark, d):
     return timeline.range_join(n, p, K, "end", "ps", "pe", 2.0, "left_semi").select(*K, "note_idx")
 
 
-_AT = "q AS (SELECT song_id, note_idx AS query_id, start_sec + 4e-2 AS q_at FROM notes)"
-
-
-@query(A.with_tables("notes", "frames", "points") + f""", {_AT}, live AS (SELECT DISTINCT song_id, frame_idx, time_sec FROM points),
+#: Points at the times q (song_id, query_id, q_at), as tips (song_id, query_id, hand, finger, x, y).
+_TIPS = """, live AS (SELECT DISTINCT song_id, frame_idx, time_sec FROM points),
     lb AS (SELECT song_id, time_sec, max(frame_idx) AS frame_idx FROM live GROUP BY ALL), la AS (SELECT song_id, time_sec, min(frame_idx) AS frame_idx FROM live GROUP BY ALL),
     n AS (SELECT q.*, b.frame_idx AS bf, b.time_sec AS bt, a.frame_idx AS af, a.time_sec AS at2 FROM q
       ASOF LEFT JOIN lb b ON b.song_id = q.song_id AND q.q_at >= b.time_sec ASOF LEFT JOIN la a ON a.song_id = q.song_id AND q.q_at < a.time_sec),
-    m AS (SELECT *, CASE WHEN at2 - bt <= 0.2::DOUBLE THEN 'lerp' WHEN q_at - bt <= 0.15::DOUBLE AND (at2 IS NULL OR q_at - bt <= at2 - q_at) THEN 'before' WHEN at2 - q_at <= 0.15::DOUBLE THEN 'after' END AS mode FROM n),
-    s AS (SELECT m.song_id, m.query_id, p.hand, p.finger, 0 AS side, p.x, p.y, m.mode, m.q_at, m.bt, m.at2 FROM m JOIN points p ON p.song_id = m.song_id AND p.frame_idx = m.bf WHERE mode IN ('lerp', 'before')
-      UNION ALL SELECT m.song_id, m.query_id, p.hand, p.finger, 1, p.x, p.y, m.mode, m.q_at, m.bt, m.at2 FROM m JOIN points p ON p.song_id = m.song_id AND p.frame_idx = m.af WHERE mode IN ('lerp', 'after')),
-    g AS (SELECT song_id, query_id, hand, finger, max(x) FILTER (side = 0) AS x0, max(x) FILTER (side = 1) AS x1, max(y) FILTER (side = 0) AS y0, max(y) FILTER (side = 1) AS y1, max((q_at - bt) / (at2 - bt)) AS w FROM s GROUP BY ALL)
-    SELECT song_id, query_id, hand, finger, CASE WHEN x0 IS NULL THEN x1 WHEN x1 IS NULL THEN x0 ELSE x0 + w * (x1 - x0) END AS x, CASE WHEN y0 IS NULL THEN y1 WHEN y1 IS NULL THEN y0 ELSE y0 + w * (y1 - y0) END AS y FROM g""")
+    m AS (SELECT *, CASE WHEN at2 - bt <= 0.2::DOUBLE THEN 'lerp' WHEN q_at - bt <= 0.15::DOUBLE AND (at2 IS NULL OR q_at - bt <= at2 - q_at) THEN 'before'
+      WHEN at2 - q_at <= 0.15::DOUBLE THEN 'after' END AS mode FROM n),
+    sides AS (SELECT m.song_id, m.query_id, p.hand, p.finger, 0 AS side, {x} AS x, {y} AS y, m.q_at, m.bt, m.at2 FROM m JOIN points p ON p.song_id = m.song_id AND p.frame_idx = m.bf
+        WHERE mode IN ('lerp', 'before')
+      UNION ALL SELECT m.song_id, m.query_id, p.hand, p.finger, 1, {x}, {y}, m.q_at, m.bt, m.at2 FROM m JOIN points p ON p.song_id = m.song_id AND p.frame_idx = m.af
+        WHERE mode IN ('lerp', 'after')),
+    g AS (SELECT song_id, query_id, hand, finger, max(x) FILTER (side = 0) AS x0, max(x) FILTER (side = 1) AS x1, max(y) FILTER (side = 0) AS y0, max(y) FILTER (side = 1) AS y1,
+      max((q_at - bt) / (at2 - bt)) AS w FROM sides GROUP BY ALL),
+    tips AS (SELECT song_id, query_id, hand, finger, CASE WHEN x0 IS NULL THEN x1 WHEN x1 IS NULL THEN x0 ELSE x0 + w * (x1 - x0) END AS x,
+      CASE WHEN y0 IS NULL THEN y1 WHEN y1 IS NULL THEN y0 ELSE y0 + w * (y1 - y0) END AS y FROM g)"""
+
+
+@query(A.with_tables("notes", "frames", "points") + ", q AS (SELECT song_id, note_idx AS query_id, start_sec + 4e-2 AS q_at FROM notes)" + _TIPS.format(x="p.x", y="p.y") + "SELECT * FROM tips")
 def asof_two_sided(spark, d):
     """Fingertips at given times, interpolated between the frames on either side."""
     q = A.notes(spark, d).select(*K, F.col("note_idx").alias("query_id"), (F.col("start_sec") + 0.04).alias("at"))
@@ -273,14 +281,39 @@ def voice_refine(spark, d):
     return refine.by_voice(A.notes(spark, d)).select(*K, "note_idx", "hand")
 
 
-@query()
+@query(A.with_tables("notes") + _CLUSTER.format(tol=0.06) + """,
+    ps AS (SELECT song_id, cluster, list(pitch ORDER BY pitch, note_idx) AS ps FROM c GROUP BY ALL),
+    gaps AS (SELECT *, ps[len(ps)] - ps[1] > 18 AS wide, list_transform(range(1, len(ps)), lambda i: ps[i + 1] - ps[i]) AS gaps FROM ps),
+    cuts AS (SELECT *, CASE WHEN wide THEN list_position(gaps, list_max(gaps)) ELSE 0 END AS cut FROM gaps),
+    means AS (SELECT song_id, cluster, wide, cut, list_avg(CASE WHEN wide THEN ps[1:cut] ELSE ps END) AS lm, list_avg(CASE WHEN wide THEN ps[cut + 1:] ELSE ps END) AS rm FROM cuts),
+    ends AS (SELECT song_id, min(pitch) + (max(pitch) - min(pitch)) * 0.25e0 AS l, min(pitch) + (max(pitch) - min(pitch)) * 0.75e0 AS r FROM notes GROUP BY song_id),
+    fold AS (SELECT song_id, -1::BIGINT AS cluster, CASE WHEN r - l < 1 THEN l - 6 ELSE l END AS l, CASE WHEN r - l < 1 THEN r + 6 ELSE r END AS r, '' AS side FROM ends UNION ALL
+      SELECT song_id, cluster, CASE WHEN side <> 'R' THEN l + 0.25e0 * (lm - l) ELSE l END, CASE WHEN side <> 'L' THEN r + 0.25e0 * (rm - r) ELSE r END, side
+      FROM (SELECT f.song_id, m.cluster, f.l, f.r, m.lm, m.rm, CASE WHEN m.wide THEN 'B' WHEN abs(m.lm - f.l) <= abs(m.lm - f.r) THEN 'L' ELSE 'R' END AS side
+        FROM fold f JOIN means m ON m.song_id = f.song_id AND m.cluster = f.cluster + 1)),
+    placed AS (SELECT song_id, note_idx, cluster, pitch, row_number() OVER (PARTITION BY song_id, cluster ORDER BY pitch, note_idx) AS k FROM c),
+    prior AS (SELECT p.song_id, p.note_idx, CASE WHEN f.side <> 'B' THEN f.side WHEN p.k <= m.cut THEN 'L' ELSE 'R' END AS hand, least(1, abs(p.pitch - (f.l + f.r) / 2e0) / 12e0) AS strength
+      FROM placed p JOIN fold f ON f.song_id = p.song_id AND f.cluster = p.cluster JOIN means m ON m.song_id = p.song_id AND m.cluster = p.cluster)
+    SELECT n.song_id, n.note_idx, CASE WHEN n.confidence < 0.5 AND p.strength >= 0.5 THEN p.hand ELSE n.hand END AS hand FROM notes n JOIN prior p USING (song_id, note_idx)""")
 def prior_fuse(spark, d):
     """Labels fused with the prior of pitch alone (a fold over each song)."""
     n = A.notes(spark, d)
     return refine.fused(n, refine.hand_prior(n)).select(*K, "note_idx", "hand")
 
 
-@query()
+@query(A.with_tables("notes", "frames", "points") + """,
+    h AS (SELECT *, count(*) OVER w AS n, max(x) FILTER (hand = 'L') OVER w AS lx, max(x) FILTER (hand = 'R') OVER w AS rx FROM points WHERE finger = 0 WINDOW w AS (PARTITION BY song_id, frame_idx)),
+    u AS (SELECT song_id, frame_idx, struct_pack(hand := CASE WHEN n = 2 AND lx > rx THEN CASE WHEN hand = 'L' THEN 'R' ELSE 'L' END ELSE hand END, x := x) AS h FROM h),
+    f AS (SELECT f.song_id, f.frame_idx, row_number() OVER (PARTITION BY f.song_id ORDER BY f.frame_idx) AS i, coalesce(list(u.h) FILTER (u.h IS NOT NULL), []) AS hs
+      FROM frames f LEFT JOIN u USING (song_id, frame_idx) GROUP BY f.song_id, f.frame_idx),
+    a AS (SELECT *, list_concat(list_concat(coalesce(lead(hs, 1) OVER w, []), coalesce(lead(hs, 2) OVER w, [])), coalesce(lead(hs, 3) OVER w, [])) AS ahead
+      FROM f WINDOW w AS (PARTITION BY song_id ORDER BY i)),
+    v AS (SELECT DISTINCT song_id, -1::BIGINT AS frame_idx, 0::BIGINT AS i, []::STRUCT(hand VARCHAR, x DOUBLE)[] AS now, []::STRUCT(hand VARCHAR, x DOUBLE)[] AS p1, []::STRUCT(hand VARCHAR, x DOUBLE)[] AS p2 FROM f
+      UNION ALL SELECT song_id, frame_idx, i, CASE WHEN len(hs) = 1 AND len(list_filter(near, lambda o: o.hand <> hs[1].hand)) > 2 * len(list_filter(near, lambda o: o.hand = hs[1].hand))
+        THEN [struct_pack(hand := CASE WHEN hs[1].hand = 'L' THEN 'R' ELSE 'L' END, x := hs[1].x)] ELSE hs END, now, p1
+      FROM (SELECT a.song_id, a.frame_idx, a.i, a.hs, v.now, v.p1, list_filter(list_concat(list_concat(v.now, v.p1), list_concat(v.p2, a.ahead)), lambda o: abs(o.x - a.hs[1].x) < 100) AS near
+        FROM v JOIN a ON a.song_id = v.song_id AND a.i = v.i + 1))
+    SELECT song_id, frame_idx, h.hand AS hand, h.x AS x FROM (SELECT song_id, frame_idx, unnest(now) AS h FROM v)""")
 def hand_continuity(spark, d):
     """Hands whose labels are made to follow the frames around (a fold over each song)."""
     return refine.continuous(A.points(spark, d).where("finger = 0").select(*K, "frame_idx", "hand", "x"), A.frames(spark, d))
@@ -329,18 +362,14 @@ def reconcile_notes(spark, d):
     SELECT song_id, avg(two::INTEGER) AS rate FROM h GROUP BY song_id""")
 def dual_hand_rate(spark, d):
     """Share of frames, also empty ones, that show both hands."""
-    p = A.points(spark, d).groupBy(*K, "frame_idx").agg((F.countDistinct("hand") == 2).alias("both"))
-    f = A.frames(spark, d).join(p, [*K, "frame_idx"], "left")
-    return f.groupBy(*K).agg(F.coalesce(F.avg(F.coalesce("both", F.lit(False)).cast("int")), F.lit(0.0)).alias("rate"))
+    return N.dual_hand_rate(A.frames(spark, d), A.points(spark, d))
 
 
 @query(A.with_tables("notes", "frames", "points") + """, c AS (SELECT song_id, frame_idx, avg(wi) FILTER (hand = 'L') AS l, avg(wi) FILTER (hand = 'R') AS r FROM points GROUP BY ALL), s AS (SELECT song_id, abs(l - r) AS d FROM c WHERE l IS NOT NULL AND r IS NOT NULL)
     SELECT song_id, count(*) AS n, avg(d) AS mean, median(d) AS median, avg((d < 3)::INTEGER) AS close FROM s GROUP BY song_id""")
 def hand_spread(spark, d):
     """How far apart the hands are."""
-    side = lambda h: F.avg(F.when(F.col("hand") == h, F.col("wi")))
-    s = A.points(spark, d).groupBy(*K, "frame_idx").agg(side("L").alias("l"), side("R").alias("r")).where("l IS NOT NULL AND r IS NOT NULL").select(*K, F.abs(F.col("l") - F.col("r")).alias("d"))
-    return s.groupBy(*K).agg(F.count("*").alias("n"), F.avg("d").alias("mean"), F.median("d").alias("median"), F.avg((F.col("d") < 3).cast("int")).alias("close"))
+    return N.hand_spread(A.points(spark, d))
 
 
 @query(A.with_tables("notes", "frames", "points") + """, h AS (SELECT f.song_id, f.frame_idx, f.time_sec, count(DISTINCT p.hand) AS hands, min(p.hand) AS label FROM frames f LEFT JOIN points p USING (song_id, frame_idx) GROUP BY ALL), w AS (SELECT song_id, frame_idx, hand, avg(wi) AS wi FROM points WHERE finger = 6 GROUP BY ALL),
@@ -349,14 +378,7 @@ def hand_spread(spark, d):
     SELECT song_id, frame_idx, min(nwi) AS x_min, max(nwi) AS x_max, CASE WHEN max(hands) = 1 THEN max(label) END AS had_label FROM u GROUP BY ALL""")
 def recovery_targets(spark, d):
     """Frames with a hand missing where a note sounds that no tracked hand covers."""
-    p = A.points(spark, d)
-    h = A.frames(spark, d).select(*K, "frame_idx", "time_sec").join(p.groupBy(*K, "frame_idx").agg(F.countDistinct("hand").alias("hands"), F.min("hand").alias("label")), [*K, "frame_idx"], "left")
-    h = h.withColumn("hands", F.coalesce("hands", F.lit(0))).where("hands < 2")
-    n = A.notes(spark, d).select(*K, "note_idx", F.col("wi").alias("nwi"), (F.col("start_sec") - 0.03).alias("lo"), (F.col("start_sec") + F.col("duration_sec") + 0.03).alias("hi"))
-    due = timeline.range_join(h, n, K, "time_sec", "lo", "hi", 1.0)
-    own = p.where("finger = 6").select(*(F.col(c).alias(f"_{c}") for c in (*K, "frame_idx", "wi")))
-    on = (F.col("song_id") == F.col("_song_id")) & (F.col("frame_idx") == F.col("_frame_idx")) & (F.abs(F.col("_wi") - F.col("nwi")) <= 5)
-    return due.join(own, on, "left_anti").groupBy(*K, "frame_idx").agg(F.min("nwi").alias("x_min"), F.max("nwi").alias("x_max"), F.when(F.max("hands") == 1, F.max("label")).alias("had_label"))
+    return N.recovery_targets(A.frames(spark, d), A.points(spark, d), A.notes(spark, d))
 
 
 # --- signals
@@ -401,10 +423,7 @@ _SNAP = "(SELECT arg_min(p, abs(p - {a}) * 1000 + p) FROM (SELECT unnest(range(g
     SELECT song_id, sl::INTEGER AS snapped_low, sh::INTEGER AS snapped_high, CASE WHEN n >= 10 AND sl - 48 = sh - 96 AND abs(sl - 48) IN (12, 24) THEN sl - 48 ELSE 0 END::INTEGER AS shift FROM s""")
 def octave_correction(spark, d):
     """The octaves by which a calibration of keys 48 to 96 is off, judged by the notes."""
-    a = signal.percentile_anchors(A.notes(spark, d), K, "pitch")
-    a = a.select(*K, "n", music.snapped_edge(F.col("low_anchor")).alias("snapped_low"), music.snapped_edge(F.col("high_anchor")).alias("snapped_high"))
-    low, high = F.col("snapped_low") - 48, F.col("snapped_high") - 96
-    return a.select(*K, "snapped_low", "snapped_high", F.when((F.col("n") >= 10) & (low == high) & F.abs(low).isin(12, 24), low).otherwise(0).alias("shift"))
+    return N.octave_shift(signal.percentile_anchors(A.notes(spark, d), K, "pitch"), 48, 96).select(*K, "snapped_low", "snapped_high", "shift")
 
 
 @query("""WITH d AS (SELECT s_nationkey, s_acctbal AS v, count(*) AS c, sum(s_acctbal) AS s FROM supplier GROUP BY ALL), r AS (SELECT *, sum(c) OVER w AS n0, sum(s) OVER w AS s0, sum(c) OVER (PARTITION BY s_nationkey) AS n, sum(s) OVER (PARTITION BY s_nationkey) AS st, lead(v) OVER w AS nxt FROM d
@@ -443,22 +462,24 @@ def nearest_ref(spark, d):
     return A.samples(spark, d).where("time_sec = start_sec").select(*K, "note_idx", hand.alias("hand"), conf.alias("confidence"))
 
 
-@query(A.with_tables("notes", "samples") + """, l AS (SELECT *, sqrt((r - 128) ** 2 + (g - 128) ** 2 + (b - 128) ** 2) > 130 AS lit FROM samples), s AS (SELECT *, bool_or(lit AND time_sec >= start_sec) OVER (w ROWS UNBOUNDED PRECEDING) AS seen, NOT lit AND NOT coalesce(lead(lit, 1) OVER w, true) AS run FROM l
-      WINDOW w AS (PARTITION BY song_id, note_idx ORDER BY time_sec)) SELECT n.song_id, n.note_idx, min(s.time_sec) FILTER (s.seen AND s.run) AS lit_end FROM notes n JOIN s USING (song_id, note_idx) GROUP BY ALL""")
+@query(A.with_tables("notes", "samples") + """,
+    d AS (SELECT song_id, note_idx, pitch, s.start_sec, time_sec, 96 + r / 4e0 AS r, 96 + g / 4e0 AS g, 96 + b / 4e0 AS b FROM samples s JOIN notes USING (song_id, note_idx)),
+    k AS (SELECT pitch, median(r) AS r, median(g) AS g, median(b) AS b FROM d GROUP BY pitch),
+    l AS (SELECT d.*, sqrt((d.r - k.r) ** 2 + (d.g - k.g) ** 2 + (d.b - k.b) ** 2) > 40 AS lit FROM d JOIN k USING (pitch)),
+    s AS (SELECT *, bool_or(lit AND time_sec >= start_sec) OVER (w ROWS UNBOUNDED PRECEDING) AS seen,
+        NOT lit AND NOT coalesce(lead(lit, 1) OVER w, true) AND NOT coalesce(lead(lit, 2) OVER w, true) AS run FROM l WINDOW w AS (PARTITION BY song_id, note_idx ORDER BY time_sec))
+    SELECT song_id, note_idx, min(time_sec) FILTER (seen AND run) AS lit_end FROM s GROUP BY ALL""")
 def lit_ends(spark, d):
-    """When lit keys go dark: two samples in a row without light after the first lit one."""
-    s = A.samples(spark, d).withColumn("lit", colour.is_lit([F.col("r"), F.col("g"), F.col("b")], [F.lit(128.0)] * 3, 130.0))
-    w = Window.partitionBy(*K, "note_idx").orderBy("time_sec").rowsBetween(Window.unboundedPreceding, 0)
-    s = s.withColumn("seen", F.bool_or(F.col("lit") & (F.col("time_sec") >= F.col("start_sec"))).over(w))
-    s = timeline.first_run(s, [*K, "note_idx"], "time_sec", [], F.col("lit"), 2)
-    return s.groupBy(*K, "note_idx").agg(F.min(F.when(F.col("seen"), F.col("run_start"))).alias("lit_end"))
+    """When lit keys go dark: three samples in a row near the key's own unlit colour after the first lit one."""
+    s = A.samples(spark, d).join(A.notes(spark, d).select(*K, "note_idx", "pitch"), [*K, "note_idx"])
+    s = s.withColumns({c: 96 + F.col(c) / 4.0 for c in "rgb"})
+    return N.lit_end(s, N.key_baselines(s))
 
 
 @query(A.with_tables("notes", "samples") + "SELECT pitch, median(r) AS r, median(g) AS g, median(b) AS b FROM samples JOIN notes USING (song_id, note_idx) GROUP BY pitch")
 def key_baselines(spark, d):
     """Median colour per key."""
-    s = A.samples(spark, d).join(A.notes(spark, d).select(*K, "note_idx", "pitch"), [*K, "note_idx"])
-    return s.groupBy("pitch").agg(*(F.median(c).alias(c) for c in "rgb"))
+    return N.key_baselines(A.samples(spark, d).join(A.notes(spark, d).select(*K, "note_idx", "pitch"), [*K, "note_idx"]))
 
 
 @query(A.with_tables("notes") + """, e AS (SELECT song_id, note_idx, duration_sec, CASE WHEN event_id % 3 = 0 THEN NULL WHEN event_id % 3 = 1 THEN 0.5::DOUBLE * duration_sec ELSE 0.01::DOUBLE END AS lit FROM notes)
@@ -466,14 +487,22 @@ def key_baselines(spark, d):
 def trim_durations(spark, d):
     """Durations cut where the key goes dark, never below a twentieth of a second."""
     n = A.notes(spark, d).withColumn("lit", F.when(F.col("event_id") % 3 == 1, 0.5 * F.col("duration_sec")).when(F.col("event_id") % 3 == 2, 0.01))
-    cut = F.least("duration_sec", "lit")
-    return n.select(*K, "note_idx", F.when(F.col("lit").isNull() | (cut < 0.05), F.col("duration_sec")).otherwise(cut).alias("duration_sec"))
+    return n.select(*K, "note_idx", N.trimmed_duration(F.col("duration_sec"), F.col("lit")).alias("duration_sec"))
 
 
 # --- matching and scores
 
 
-@query()
+@query(A.with_tables("notes", "frames", "points") + _CLUSTER.format(tol=0.03) + ", q AS (SELECT song_id, cluster AS query_id, min(start_sec) AS q_at FROM c JOIN notes USING (song_id, note_idx) GROUP BY ALL)"
+    + _TIPS.format(x="p.wi", y="0e0") + """,
+    cand AS (SELECT *, row_number() OVER (PARTITION BY song_id, query_id ORDER BY hand, finger) AS cand_pos FROM tips),
+    pairs AS (SELECT *, row_number() OVER (PARTITION BY song_id, cluster ORDER BY d, note_pos, cand_pos) AS r FROM (
+      SELECT c.song_id, c.cluster, c.note_idx AS note_pos, t.cand_pos, t.hand, t.finger, abs(n.wi - t.x) AS d FROM c JOIN notes n USING (song_id, note_idx) JOIN cand t ON t.song_id = c.song_id AND t.query_id = c.cluster)),
+    fold AS (SELECT DISTINCT song_id, cluster, 0::BIGINT AS r, []::BIGINT[] AS ns, []::BIGINT[] AS cs, false AS taken FROM pairs UNION ALL
+      SELECT song_id, cluster, r, CASE WHEN free THEN list_append(ns, note_pos) ELSE ns END, CASE WHEN free THEN list_append(cs, cand_pos) ELSE cs END, free
+      FROM (SELECT p.song_id, p.cluster, p.r, p.note_pos, p.cand_pos, f.ns, f.cs, NOT list_contains(f.ns, p.note_pos) AND NOT list_contains(f.cs, p.cand_pos) AS free
+        FROM fold f JOIN pairs p ON p.song_id = f.song_id AND p.cluster = f.cluster AND p.r = f.r + 1))
+    SELECT song_id, cluster, note_pos, cand_pos, hand, finger, d AS distance, exp(-d / 0.8::DOUBLE) AS confidence, len(f.ns) - 1 AS pick_rank FROM fold f JOIN pairs p USING (song_id, cluster, r) WHERE f.taken""")
 def greedy_chords(spark, d):
     """One-to-one matches of chords' notes and fingertips (a greedy fold)."""
     c = timeline.anchored_clusters(A.notes(spark, d), K, "start_sec", ["note_idx"], 0.03)
@@ -481,7 +510,8 @@ def greedy_chords(spark, d):
     tips = timeline.interpolated_points(at, A.frames(spark, d).select(*K, "frame_idx", "time_sec"), A.points(spark, d).select(*K, "frame_idx", "hand", "finger", F.col("wi").alias("x"), F.lit(0.0).alias("y")))
     tips = tips.withColumnRenamed("query_id", "cluster").withColumn("cand_pos", F.row_number().over(Window.partitionBy(*K, "cluster").orderBy("hand", "finger")))
     notes = c.select(*K, "cluster", F.col("note_idx").alias("note_pos"), F.col("wi").alias("nx"), F.lit(0.0).alias("ny"))
-    return matching.chord_matches(notes, tips, [*K, "cluster"], 0.8)
+    m = matching.chord_matches(notes, tips, [*K, "cluster"], 0.8)
+    return m.withColumns({c: F.col(c).cast("long") for c in ("cluster", "cand_pos", "pick_rank")})
 
 
 def _truth_and_pred(spark, d):
@@ -491,12 +521,37 @@ def _truth_and_pred(spark, d):
     return truth, pred
 
 
-@query()
+#: Truth notes with what they are matched to, as m.
+_MATCH = """,
+    t AS (SELECT song_id, pitch, note_idx AS pos, start_sec AS onset_sec, hand, CASE WHEN finger BETWEEN 1 AND 5 THEN finger END AS finger, row_number() OVER (PARTITION BY song_id, pitch ORDER BY note_idx) AS r
+      FROM notes WHERE event_id % 2 = 0),
+    p AS (SELECT song_id, pitch, note_idx AS pos, start_sec + 0.04::DOUBLE AS onset_sec, CASE WHEN event_id % 5 = 0 THEN 'L' ELSE hand END AS hand, finger FROM notes WHERE event_id % 3 <> 0),
+    near AS (SELECT t.song_id, t.pitch, t.r, list(p.pos ORDER BY abs(p.onset_sec - t.onset_sec), p.pos) FILTER (p.pos IS NOT NULL) AS ps
+      FROM t LEFT JOIN p ON p.song_id = t.song_id AND p.pitch = t.pitch AND abs(p.onset_sec - t.onset_sec) <= 0.1::DOUBLE GROUP BY ALL),
+    fold AS (SELECT DISTINCT song_id, pitch, 0::BIGINT AS r, []::BIGINT[] AS used, NULL::BIGINT AS got FROM t UNION ALL
+      SELECT song_id, pitch, r, CASE WHEN got IS NULL THEN used ELSE list_append(used, got) END, got
+      FROM (SELECT n.song_id, n.pitch, n.r, f.used, list_filter(coalesce(n.ps, []), lambda x: NOT list_contains(f.used, x))[1] AS got
+        FROM fold f JOIN near n ON n.song_id = f.song_id AND n.pitch = f.pitch AND n.r = f.r + 1)),
+    m AS (SELECT t.song_id, t.pitch, t.pos, t.onset_sec, t.hand, t.finger, f.got AS pred_pos, p.onset_sec AS pred_onset_sec, p.hand AS pred_hand, p.finger AS pred_finger
+      FROM t JOIN fold f USING (song_id, pitch, r) LEFT JOIN p ON p.song_id = t.song_id AND p.pitch = t.pitch AND p.pos = f.got)"""
+
+
+@query(A.with_tables("notes") + _MATCH + "SELECT * FROM m")
 def greedy_match(spark, d):
     """Truth notes with their nearest predictions, each used once (a greedy fold)."""
     return matching.joined_notes(*_truth_and_pred(spark, d), K)
 
 
+@query(A.with_tables("notes") + _MATCH + """,
+    n AS (SELECT coalesce(song_id, 'all') AS song_id, count(*) AS labeled, count(pred_hand) AS matched, count(*) FILTER (hand = pred_hand) AS hand_correct, count(*) FILTER (hand = 'R' AND pred_hand = 'L') AS r_as_l,
+      count(*) FILTER (hand = 'L' AND pred_hand = 'R') AS l_as_r, count(*) FILTER (pred_hand IS NOT NULL AND finger IS NOT NULL) AS finger_labeled, count(*) FILTER (pred_hand IS NOT NULL AND finger = pred_finger) AS finger_correct
+      FROM m GROUP BY ROLLUP (song_id))
+    SELECT *, matched / labeled::DOUBLE AS coverage, coalesce(hand_correct / nullif(matched, 0)::DOUBLE, 0) AS hand_accuracy, coalesce(finger_correct / nullif(finger_labeled, 0)::DOUBLE, 0) AS finger_accuracy FROM n""")
+def benchmark_scores(spark, d):
+    """Predictions matched to corrected notes and scored, per song and over all."""
+    return benchmark.scored(*_truth_and_pred(spark, d), K)
+
+
 @query("""WITH p AS (SELECT doc_id, source, quality, toxic FROM labels JOIN documents USING (doc_id)), c AS (SELECT coalesce(source, '?') AS source, count(*) AS labeled, count(*) FILTER (quality = 1) AS matched, count(*) FILTER (quality = 1 AND toxic = 1) AS hand_correct,
       count(*) FILTER (quality = 1 AND toxic = 0) AS r_as_l FROM p GROUP BY ROLLUP (source))
     SELECT CASE WHEN labeled = (SELECT count(*) FROM p) THEN 'all' ELSE source END AS source, labeled, matched, hand_correct, r_as_l, matched / labeled::DOUBLE AS coverage, coalesce(hand_correct / nullif(matched, 0)::DOUBLE, 0) AS hand_accuracy FROM c""")
@@ -517,9 +572,9 @@ def first_seen_dedup(spark, d):
     SELECT pos, url, CASE WHEN NOT has AND k = 1 THEN 'manual' ELSE 'reuse' END AS plan FROM f""")
 def plan_first_manual(spark, d):
     """The first source of a channel without stored settings is set up by hand, all others reuse them."""
-    s = read(spark, d, "pages").select(F.col("page_id").alias("pos"), "url", F.split_part(F.split_part("url", F.lit("//"), F.lit(2)), F.lit("/"), F.lit(1)).alias("channel"), (F.col("page_id") % 4 == 0).alias("saved"))
-    w = Window.partitionBy("channel")
-    return s.select("pos", "url", F.when(~F.bool_or("saved").over(w) & (F.row_number().over(w.orderBy("pos")) == 1), "manual").otherwise("reuse").alias("plan"))
+    channel = F.split_part(F.split_part("url", F.lit("//"), F.lit(2)), F.lit("/"), F.lit(1))
+    s = read(spark, d, "pages").select(F.col("page_id").alias("pos"), "url", channel.alias("channel"), (F.col("page_id") % 4 == 0).alias("saved"))
+    return N.first_manual(s).select("pos", "url", "plan")
 
 
 @query(A.with_tables("notes") + """, t AS (SELECT song_id, onset_tick, pitch, min(note_idx) AS note_idx FROM notes WHERE event_id % 4 = 0 GROUP BY ALL) SELECT n.song_id, n.note_idx, n.onset_tick, CASE WHEN t.pitch IS NULL THEN n.onset_tick + 480 ELSE greatest(n.onset_tick + 1, least(n.onset_tick + 480, n.onset_tick + 120)) END AS off_tick
