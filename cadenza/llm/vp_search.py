@@ -234,8 +234,12 @@ def nearest(vectors: DataFrame, k: int = 20, every: int = 20, relax: float = 1.0
     rows = rows.where(usable(F.col("id"), F.col("v"))).withColumn("dims", F.size("v"))
     length = F.aggregate("v", F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double"))
     lengths = {r["dims"]: (r["n"], r["most"]) for r in rows.groupBy("dims").agg(F.count("*").alias("n"), F.max(length).alias("most")).collect()}
+    # about twice the sample by hash, so that no task sends more than its share; of a repeated key one row
+    total = sum(n for n, _ in lengths.values())
+    bound = min((1 << 63) - 1, -(1 << 63) + (2 * sample_rows << 64) // max(1, total))
+    small = rows.where(F.xxhash64("id") <= bound).groupBy("dims", "id").agg(F.min("v").alias("v"))
     taken: dict[int, list] = {}
-    for r in rows.orderBy(F.xxhash64("id"), "id").limit(sample_rows).select("dims", "id", "v").collect():
+    for r in small.orderBy(F.xxhash64("id"), "id", "dims").limit(sample_rows).collect():
         taken.setdefault(r["dims"], []).append((r["id"], r["v"]))
     cells = {
         d: Cells(np.asarray([v for _, v in own], np.float64), np.asarray([i for i, _ in own], np.int64), lengths[d][1] * (1 + 1e-12), min(-(-lengths[d][0] // shard_rows), max(1, len(own) // 4)))
