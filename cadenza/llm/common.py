@@ -165,8 +165,8 @@ def components(links: DataFrame, scratch: Scratch, name: str = "cc") -> DataFram
 
     Rounds of large-star and small-star: every node links its neighbours to the smallest one it knows, until no
     link changes. Each partition first shrinks its links to a forest. A round is one job, whose links are written to
-    the shared folder; a node of any degree is handled by partial aggregates, and by joins of two exchanges, which
-    adaptive execution splits where a node has too many links for one task. Nodes without links don't appear. Empty
+    the shared folder. A node's links are aggregated in part before they meet and joined as a stream, so no task holds
+    them, but those of the forest that lead to one node pass through one task. Nodes without links don't appear. Empty
     links give an empty result.
     """
     digest = F.count("*").alias("rows"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("sum")
@@ -175,10 +175,10 @@ def components(links: DataFrame, scratch: Scratch, name: str = "cc") -> DataFram
     edges, was = scratch.counted(edges, f"{name}0", *digest)
     for step in range(1, 60):
         # large star: a link leads on to the smallest neighbour of its smaller end, if that has any
-        low = edges.groupBy(F.col("a").alias("n")).agg(F.min("b").alias("m")).repartition("n")
+        low = edges.groupBy(F.col("a").alias("n")).agg(F.min("b").alias("m"))
         large = edges.join(low, F.col("b") == F.col("n"), "left").select("a", F.coalesce("m", "b").alias("b")).distinct()
         # small star: a node and its smaller neighbours go to the smallest
-        least = large.groupBy(F.col("a").alias("n")).agg(F.min("b").alias("m")).repartition("n")
+        least = large.groupBy(F.col("a").alias("n")).agg(F.min("b").alias("m"))
         small = large.join(least, F.col("a") == F.col("n"))
         small = small.select(F.explode(F.array(F.struct(F.col("a"), F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("e"))
         edges, now = scratch.counted(small.select("e.a", "e.b").where("a <> b").distinct(), f"{name}{step}", *digest)
