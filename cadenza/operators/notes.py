@@ -81,6 +81,32 @@ def without_neighbours(recovered: DataFrame, tracked: DataFrame, reach: float) -
     return recovered.join(own, on, "left_anti")
 
 
+def merged_recoveries(recovered: DataFrame, tracked: DataFrame, reach: float = 60.0) -> DataFrame:
+    """Hands that a second look found (song_id, frame_idx, pos, hand, x) and the first (song_id, frame_idx, hand, x) lacks.
+
+    In order of ``pos`` a hand within ``reach`` of a tracked one, or of one taken before, is the same hand. The first one
+    taken where exactly one hand is tracked is that one's other hand, whatever its label says; later ones keep theirs.
+    """
+    far = without_neighbours(recovered.where("x IS NOT NULL"), tracked, reach)
+    found = far.groupBy(*KEY, "frame_idx").agg(F.array_sort(F.collect_list(F.struct("pos", "hand", "x"))).alias("_all"))
+    same = lambda taken, r: F.exists(taken, lambda t: F.abs(t["x"] - r["x"]) < reach)
+    taken = F.aggregate("_all", F.slice("_all", 1, 0), lambda t, r: F.when(same(t, r), t).otherwise(F.concat(t, F.array(r))))
+    own = tracked.groupBy(*KEY, "frame_idx").agg(F.count("*").alias("_n"), F.min("hand").alias("_label"))
+    out = found.join(own, [*KEY, "frame_idx"], "left").select(*KEY, "frame_idx", "_n", "_label", F.posexplode(taken).alias("_i", "r"))
+    other = F.when(F.col("_label") == "L", "R").otherwise("L")
+    hand = F.when((F.col("_i") == 0) & (F.col("_n") == 1), other).otherwise(F.col("r.hand"))
+    return out.select(*KEY, "frame_idx", "r.pos", hand.alias("hand"), "r.x")
+
+
+def added_hands(coarse: DataFrame, tracked: DataFrame, reach: float = 80.0) -> DataFrame:
+    """At most one hand a frame (song_id, frame_idx, hand, x) of coarse ones (lx, rx): the left, else the right one, that
+    no tracked hand is within ``reach`` of."""
+    both = F.array(F.struct(F.lit("L").alias("hand"), F.col("lx").alias("x")), F.struct(F.lit("R").alias("hand"), F.col("rx").alias("x")))
+    c = coarse.select(*KEY, "frame_idx", F.explode(both).alias("c")).select(*KEY, "frame_idx", "c.hand", "c.x").where("x IS NOT NULL")
+    one = without_neighbours(c, tracked, reach).groupBy(*KEY, "frame_idx").agg(F.min(F.struct("hand", "x")).alias("c"))
+    return one.select(*KEY, "frame_idx", "c.hand", "c.x")
+
+
 def octave_shift(anchors: DataFrame, low: int, high: int, least: int = 10) -> DataFrame:
     """The octaves by which a calibration of the keys ``low`` to ``high`` is off, judged by anchors (low_anchor,
     high_anchor, n) of at least so many notes: adds snapped_low, snapped_high, shift (12 or 24 up or down, else 0)."""

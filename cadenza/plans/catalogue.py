@@ -516,16 +516,17 @@ def greedy_chords(spark, d):
 
 def _truth_and_pred(spark, d):
     n = A.notes(spark, d)
-    truth = n.where("event_id % 2 = 0").select(*K, "pitch", F.col("note_idx").alias("pos"), F.col("start_sec").alias("onset_sec"), "hand", music.playable_finger(F.col("finger")).alias("finger"))
-    pred = n.where("event_id % 3 <> 0").select(*K, "pitch", F.col("note_idx").alias("pos"), (F.col("start_sec") + 0.04).alias("onset_sec"), F.when(F.col("event_id") % 5 == 0, "L").otherwise(F.col("hand")).alias("hand"), "finger")
+    truth = n.select(*K, "pitch", F.col("note_idx").alias("pos"), F.col("start_sec").alias("onset_sec"), "hand", music.playable_finger(F.col("finger")).alias("finger"))
+    wrong = (F.col("pitch") + (F.col("event_id") % 3 == 0).cast("int")).alias("pitch")
+    pred = n.select(*K, wrong, F.col("note_idx").alias("pos"), (F.col("start_sec") + 0.04).alias("onset_sec"), F.when(F.col("event_id") % 5 == 0, "L").otherwise(F.col("hand")).alias("hand"), "finger")
     return truth, pred
 
 
 #: Truth notes with what they are matched to, as m.
 _MATCH = """,
     t AS (SELECT song_id, pitch, note_idx AS pos, start_sec AS onset_sec, hand, CASE WHEN finger BETWEEN 1 AND 5 THEN finger END AS finger, row_number() OVER (PARTITION BY song_id, pitch ORDER BY note_idx) AS r
-      FROM notes WHERE event_id % 2 = 0),
-    p AS (SELECT song_id, pitch, note_idx AS pos, start_sec + 0.04::DOUBLE AS onset_sec, CASE WHEN event_id % 5 = 0 THEN 'L' ELSE hand END AS hand, finger FROM notes WHERE event_id % 3 <> 0),
+      FROM notes),
+    p AS (SELECT song_id, pitch + (event_id % 3 = 0)::INTEGER AS pitch, note_idx AS pos, start_sec + 0.04::DOUBLE AS onset_sec, CASE WHEN event_id % 5 = 0 THEN 'L' ELSE hand END AS hand, finger FROM notes),
     near AS (SELECT t.song_id, t.pitch, t.r, list(p.pos ORDER BY abs(p.onset_sec - t.onset_sec), p.pos) FILTER (p.pos IS NOT NULL) AS ps
       FROM t LEFT JOIN p ON p.song_id = t.song_id AND p.pitch = t.pitch AND abs(p.onset_sec - t.onset_sec) <= 0.1::DOUBLE GROUP BY ALL),
     fold AS (SELECT DISTINCT song_id, pitch, 0::BIGINT AS r, []::BIGINT[] AS used, NULL::BIGINT AS got FROM t UNION ALL
@@ -577,12 +578,12 @@ def plan_first_manual(spark, d):
     return N.first_manual(s).select("pos", "url", "plan")
 
 
-@query(A.with_tables("notes") + """, t AS (SELECT song_id, onset_tick, pitch, min(note_idx) AS note_idx FROM notes WHERE event_id % 4 = 0 GROUP BY ALL) SELECT n.song_id, n.note_idx, n.onset_tick, CASE WHEN t.pitch IS NULL THEN n.onset_tick + 480 ELSE greatest(n.onset_tick + 1, least(n.onset_tick + 480, n.onset_tick + 120)) END AS off_tick
-    FROM notes n LEFT JOIN t USING (song_id, onset_tick, pitch)""")
+@query(A.with_tables("notes") + """, t AS (SELECT song_id, onset_tick, pitch, min((event_id % 5) / 4e0) AS share FROM notes GROUP BY ALL) SELECT n.song_id, n.note_idx, n.onset_tick, greatest(n.onset_tick + 1, least(n.onset_tick + 480, n.onset_tick + (share * 480)::BIGINT)) AS off_tick
+    FROM notes n JOIN t USING (song_id, onset_tick, pitch)""")
 def trimmed_ticks(spark, d):
-    """Note-off ticks moved earlier by a share of the note's span, for the notes that are trimmed."""
+    """Note-off ticks moved earlier to a share of the note's span, from none to all of it."""
     n = A.notes(spark, d)
-    t = n.where("event_id % 4 = 0").select(*K, "onset_tick", "pitch", F.lit(0.25).alias("share")).distinct()
+    t = n.groupBy(*K, "onset_tick", "pitch").agg(F.min((F.col("event_id") % 5) / F.lit(4.0)).alias("share"))
     from ..sources.midi import trimmed_off
 
     out = n.join(t, [*K, "onset_tick", "pitch"], "left")

@@ -122,7 +122,7 @@ def _white(p: str) -> str:
 
 @query(A.with_tables("notes", "frames", "points") + ", " + _SPLIT + f""", h AS (SELECT song_id, frame_idx, min(hand) AS hand, avg(wi) AS wi FROM points WHERE finger = 6 GROUP BY ALL HAVING count(*) = 1),
     m AS (SELECT h.*, cut_low, cut_high, h.wi <= {_white('round_even((cut_low + cut_high) / 2e0, 0)::INTEGER')} AS low FROM h JOIN sp USING (song_id, frame_idx))
-    SELECT song_id, frame_idx, CASE WHEN hand = 'L' THEN 'R' ELSE 'L' END AS hand, avg({_white('s.pitch')}) AS wi FROM m JOIN s USING (song_id, frame_idx) WHERE CASE WHEN low THEN s.pitch >= cut_high ELSE s.pitch <= cut_low END GROUP BY ALL""")
+    SELECT song_id, frame_idx, CASE WHEN hand = 'L' THEN 'R' ELSE 'L' END AS hand, {_white('round_even(avg(s.pitch), 0)::INTEGER')} AS wi FROM m JOIN s USING (song_id, frame_idx) WHERE CASE WHEN low THEN s.pitch >= cut_high ELSE s.pitch <= cut_low END GROUP BY ALL""")
 def merged_hands(spark, d):
     """Hands to add where one tracked hand can't play what sounds."""
     s, keys = _sounding(spark, d), [*K, "frame_idx"]
@@ -130,7 +130,7 @@ def merged_hands(spark, d):
     return keyboard.missing_hands(one, s, keyboard.hand_splits(s, keys), keys)
 
 
-_BLOBS = """bl AS (SELECT song_id, note_idx // 2 AS frame_idx, (event_id * 17 % 1000)::DOUBLE AS cx, (event_id * 23 % 997)::DOUBLE AS area, (event_id * 17 % 1000)::DOUBLE - 60 AS x, (100 + event_id * 7 % 500)::DOUBLE AS w, CASE WHEN event_id % 4 = 0 THEN (event_id * 17 % 1000)::DOUBLE + 5 END AS valley, event_id FROM notes WHERE event_id % 3 <> 0)"""
+_BLOBS = """bl AS (SELECT song_id, note_idx * 2 // 3 AS frame_idx, (event_id * 17 % 1000)::DOUBLE AS cx, (event_id * 23 % 997)::DOUBLE AS area, (event_id * 17 % 1000)::DOUBLE - 60 AS x, (100 + event_id * 7 % 500)::DOUBLE AS w, CASE WHEN event_id % 4 = 0 THEN (event_id * 17 % 1000)::DOUBLE + 5 END AS valley, event_id FROM notes)"""
 
 
 @query(A.with_tables("notes") + ", " + _BLOBS + """, r AS (SELECT *, row_number() OVER (PARTITION BY song_id, frame_idx ORDER BY area DESC, cx) AS k FROM bl), f AS (SELECT song_id, frame_idx, count(*) AS n, min(cx) AS lo, max(cx) AS hi, max(cx) FILTER (k = 1) AS c1, max(x) FILTER (k = 1) AS x1, max(w) FILTER (k = 1) AS w1, max(valley) FILTER (k = 1) AS v1 FROM r WHERE k <= 2 GROUP BY ALL),
@@ -139,20 +139,20 @@ _BLOBS = """bl AS (SELECT song_id, note_idx // 2 AS frame_idx, (event_id * 17 %
     SELECT song_id, frame_idx, CASE WHEN n = 2 THEN lo WHEN w1 >= 420 THEN (x1 + cut) / 2 WHEN isl THEN c1 END AS lx, CASE WHEN n = 2 THEN hi WHEN w1 >= 420 THEN (cut + x1 + w1) / 2 WHEN NOT isl THEN c1 END AS rx FROM c""")
 def blob_hands(spark, d):
     """Coarse hands from blobs, with what earlier frames showed."""
-    n = A.notes(spark, d).where("event_id % 3 <> 0")
+    n = A.notes(spark, d)
     cx = ((F.col("event_id") * 17) % 1000).cast("double")
-    b = n.select(*K, F.expr("note_idx DIV 2").alias("frame_idx"), cx.alias("cx"), ((F.col("event_id") * 23) % 997).cast("double").alias("area"), (cx - 60).alias("x"), (100 + (F.col("event_id") * 7) % 500).cast("double").alias("w"), F.when(F.col("event_id") % 4 == 0, cx + 5).alias("valley"))
+    b = n.select(*K, F.expr("note_idx * 2 DIV 3").alias("frame_idx"), cx.alias("cx"), ((F.col("event_id") * 23) % 997).cast("double").alias("area"), (cx - 60).alias("x"), (100 + (F.col("event_id") * 7) % 500).cast("double").alias("w"), F.when(F.col("event_id") % 4 == 0, cx + 5).alias("valley"))
     return keyboard.blob_hands(b, K, 1000.0)
 
 
-@query(A.with_tables("notes") + """, e AS (SELECT song_id, note_idx AS i, (event_id * 37 % 101)::DOUBLE AS strength FROM notes), o AS (SELECT song_id, start_sec AS t FROM notes WHERE event_id % 5 = 0), p AS (SELECT song_id, max(strength) AS peak, max(i) AS last FROM e GROUP BY song_id),
+@query(A.with_tables("notes") + """, e AS (SELECT song_id, note_idx AS i, (event_id * 37 % 101)::DOUBLE AS strength FROM notes), o AS (SELECT song_id, start_sec AS t FROM notes), p AS (SELECT song_id, max(strength) AS peak, max(i) AS last FROM e GROUP BY song_id),
     j AS (SELECT o.song_id, o.t, e.strength, p.peak FROM o JOIN p USING (song_id) LEFT JOIN e ON e.song_id = o.song_id AND e.i = least(ceil(o.t / 0.25::DOUBLE - 0.5::DOUBLE), p.last)::BIGINT)
     SELECT song_id, coalesce(min(t) FILTER (strength >= 0.3::DOUBLE * peak), min(t)) AS onset FROM j GROUP BY song_id""")
 def first_significant_onset(spark, d):
     """The first onset that is loud enough."""
     n = A.notes(spark, d)
     e = n.select(*K, F.col("note_idx").alias("i"), ((F.col("event_id") * 37) % 101).cast("double").alias("strength"))
-    return keyboard.significant_onset(n.where("event_id % 5 = 0").select(*K, F.col("start_sec").alias("t")), e, K, step=0.25)
+    return keyboard.significant_onset(n.select(*K, F.col("start_sec").alias("t")), e, K, step=0.25)
 
 
 @query(A.with_tables("notes") + """, m AS (SELECT song_id, note_idx // 50 AS blob, 100 + (note_idx // 50 % 7) * 30 AS x0, 100 + (note_idx // 50 % 7) * 30 + 50 AS x1, note_idx % 50 AS k, (event_id * 41 % 60)::INTEGER AS n FROM notes), b AS (SELECT *, row_number() OVER (PARTITION BY song_id, blob ORDER BY n, k) AS r FROM m WHERE k >= 10 AND k < 40)
