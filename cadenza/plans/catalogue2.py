@@ -7,9 +7,10 @@ from pyspark.sql import functions as F
 
 from ..functions import music, text
 from ..operators import keyboard, timeline
+from ..operators import notes as N
 from ..sources import media
 from . import analogue as A
-from .catalogue import ORACLE, QUERIES, K, query, read  # noqa: F401
+from .catalogue import _REFS, ORACLE, QUERIES, K, _d, query, read  # noqa: F401
 
 
 @query("""WITH s AS (SELECT page_id AS pos, CASE WHEN page_id % 3 = 0 THEN '' ELSE url END AS url, CASE WHEN page_id % 6 = 0 THEN NULL ELSE 'v' || (page_id % 40)::VARCHAR END AS id, CASE WHEN page_id % 2 = 0 THEN '' ELSE 'c' || (page_id % 5)::VARCHAR END AS channel_id, 'u' || (page_id % 7)::VARCHAR AS uploader_id, CASE WHEN page_id % 4 = 0 THEN NULL ELSE 't' END AS title FROM pages),
@@ -133,16 +134,63 @@ def merged_hands(spark, d):
 _BLOBS = """bl AS (SELECT song_id, note_idx * 2 // 3 AS frame_idx, (event_id * 17 % 1000)::DOUBLE AS cx, (event_id * 23 % 997)::DOUBLE AS area, (event_id * 17 % 1000)::DOUBLE - 60 AS x, (100 + event_id * 7 % 500)::DOUBLE AS w, CASE WHEN event_id % 4 = 0 THEN (event_id * 17 % 1000)::DOUBLE + 5 END AS valley, event_id FROM notes)"""
 
 
+def _blobs(spark, d):
+    n = A.notes(spark, d)
+    cx = ((F.col("event_id") * 17) % 1000).cast("double")
+    return n.select(*K, F.expr("note_idx * 2 DIV 3").alias("frame_idx"), cx.alias("cx"), ((F.col("event_id") * 23) % 997).cast("double").alias("area"), (cx - 60).alias("x"), (100 + (F.col("event_id") * 7) % 500).cast("double").alias("w"), F.when(F.col("event_id") % 4 == 0, cx + 5).alias("valley"))
+
+
 @query(A.with_tables("notes") + ", " + _BLOBS + """, r AS (SELECT *, row_number() OVER (PARTITION BY song_id, frame_idx ORDER BY area DESC, cx) AS k FROM bl), f AS (SELECT song_id, frame_idx, count(*) AS n, min(cx) AS lo, max(cx) AS hi, max(cx) FILTER (k = 1) AS c1, max(x) FILTER (k = 1) AS x1, max(w) FILTER (k = 1) AS w1, max(valley) FILTER (k = 1) AS v1 FROM r WHERE k <= 2 GROUP BY ALL),
     l AS (SELECT *, last_value(CASE WHEN n = 2 THEN lo END IGNORE NULLS) OVER w AS pl, last_value(CASE WHEN n = 2 THEN hi END IGNORE NULLS) OVER w AS pr FROM f WINDOW w AS (PARTITION BY song_id ORDER BY frame_idx ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
     c AS (SELECT *, coalesce(v1, (pl + pr) / 2, x1 + w1 / 2) AS cut, CASE WHEN pl IS NOT NULL AND pr IS NOT NULL THEN abs(c1 - pl) <= abs(c1 - pr) ELSE c1 < 500 END AS isl FROM l)
     SELECT song_id, frame_idx, CASE WHEN n = 2 THEN lo WHEN w1 >= 420 THEN (x1 + cut) / 2 WHEN isl THEN c1 END AS lx, CASE WHEN n = 2 THEN hi WHEN w1 >= 420 THEN (cut + x1 + w1) / 2 WHEN NOT isl THEN c1 END AS rx FROM c""")
 def blob_hands(spark, d):
     """Coarse hands from blobs, with what earlier frames showed."""
+    return keyboard.blob_hands(_blobs(spark, d), K, 1000.0)
+
+
+_TRACKED = "tr AS (SELECT song_id, frame_idx, hand, x FROM points WHERE finger = 6)"
+
+
+def _tracked(spark, d):
+    return A.points(spark, d).where("finger = 6").select(*K, "frame_idx", "hand", "x")
+
+
+@query(A.with_tables("notes", "frames", "points") + ", " + _BLOBS + ", " + _TRACKED + """,
+    b AS (SELECT *, row_number() OVER (PARTITION BY song_id, frame_idx ORDER BY area DESC, cx) AS k FROM bl),
+    f AS (SELECT song_id, frame_idx, count(*) AS n, min(cx) AS lo, max(cx) AS hi, max(cx) FILTER (k = 1) AS c1, max(x) FILTER (k = 1) AS x1, max(w) FILTER (k = 1) AS w1, max(valley) FILTER (k = 1) AS v1 FROM b WHERE k <= 2 GROUP BY ALL),
+    t AS (SELECT song_id, frame_idx, count(*) AS seen, min(x) AS tl, max(x) AS th FROM tr GROUP BY ALL),
+    j AS (SELECT song_id, frame_idx, f.* EXCLUDE (song_id, frame_idx), seen, CASE WHEN seen >= 2 THEN tl END AS tl, CASE WHEN seen >= 2 THEN th END AS th FROM f FULL JOIN t USING (song_id, frame_idx)),
+    l AS (SELECT *, last_value(tl IGNORE NULLS) OVER w AS pl, last_value(th IGNORE NULLS) OVER w AS pr FROM j WINDOW w AS (PARTITION BY song_id ORDER BY frame_idx ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+    c AS (SELECT *, coalesce(v1, (pl + pr) / 2, x1 + w1 / 2) AS cut, CASE WHEN pl IS NOT NULL AND pr IS NOT NULL THEN abs(c1 - pl) <= abs(c1 - pr) ELSE c1 < 500 END AS isl FROM l WHERE n IS NOT NULL AND coalesce(seen, 0) < 2),
+    h AS (SELECT song_id, frame_idx, 'L' AS hand, CASE WHEN n = 2 THEN lo WHEN w1 >= 420 THEN (x1 + cut) / 2 WHEN isl THEN c1 END AS x FROM c
+      UNION ALL SELECT song_id, frame_idx, 'R', CASE WHEN n = 2 THEN hi WHEN w1 >= 420 THEN (cut + x1 + w1) / 2 WHEN NOT isl THEN c1 END FROM c),
+    g AS (SELECT * FROM h WHERE x IS NOT NULL AND NOT EXISTS (SELECT 1 FROM tr WHERE tr.song_id = h.song_id AND tr.frame_idx = h.frame_idx AND abs(tr.x - h.x) < 80))
+    SELECT song_id, frame_idx, arg_min(hand, hand) AS hand, arg_min(x, hand) AS x FROM g GROUP BY ALL""")
+def blob_additions(spark, d):
+    """One coarse hand from blobs in frames that track fewer than two."""
+    t = _tracked(spark, d)
+    return N.added_hands(keyboard.blob_hands(_blobs(spark, d), K, 1000.0, tracked=t), t)
+
+
+_RECOVERED = """rc AS (SELECT song_id, note_idx AS frame_idx, 0 AS pos, 'L' AS hand, (event_id * 31 % 900)::DOUBLE AS x FROM notes
+      UNION ALL SELECT song_id, note_idx, 1, CASE WHEN event_id % 2 = 0 THEN 'L' ELSE 'R' END, ((event_id * 31 + event_id % 11 * 20) % 900)::DOUBLE FROM notes)"""
+
+
+@query(A.with_tables("notes", "frames", "points") + ", " + _RECOVERED + ", " + _TRACKED + """,
+    far AS (SELECT * FROM rc WHERE NOT EXISTS (SELECT 1 FROM tr WHERE tr.song_id = rc.song_id AND tr.frame_idx = rc.frame_idx AND abs(tr.x - rc.x) < 60)),
+    kept AS (SELECT * FROM far b WHERE pos = 0 OR NOT EXISTS (SELECT 1 FROM far a WHERE a.song_id = b.song_id AND a.frame_idx = b.frame_idx AND a.pos = 0 AND abs(a.x - b.x) < 60)),
+    own AS (SELECT song_id, frame_idx, count(*) AS n, min(hand) AS label FROM tr GROUP BY ALL)
+    SELECT song_id, frame_idx, pos, CASE WHEN n = 1 AND row_number() OVER (PARTITION BY song_id, frame_idx ORDER BY pos) = 1 THEN CASE WHEN label = 'L' THEN 'R' ELSE 'L' END ELSE hand END AS hand, x FROM kept LEFT JOIN own USING (song_id, frame_idx)""")
+def recovered_hands(spark, d):
+    """Hands of a second look that the first lacks."""
     n = A.notes(spark, d)
-    cx = ((F.col("event_id") * 17) % 1000).cast("double")
-    b = n.select(*K, F.expr("note_idx * 2 DIV 3").alias("frame_idx"), cx.alias("cx"), ((F.col("event_id") * 23) % 997).cast("double").alias("area"), (cx - 60).alias("x"), (100 + (F.col("event_id") * 7) % 500).cast("double").alias("w"), F.when(F.col("event_id") % 4 == 0, cx + 5).alias("valley"))
-    return keyboard.blob_hands(b, K, 1000.0)
+    found = [
+        F.struct(F.lit(0).alias("pos"), F.lit("L").alias("hand"), ((F.col("event_id") * 31) % 900).cast("double").alias("x")),
+        F.struct(F.lit(1).alias("pos"), F.when(F.col("event_id") % 2 == 0, "L").otherwise("R").alias("hand"), ((F.col("event_id") * 31 + F.col("event_id") % 11 * 20) % 900).cast("double").alias("x")),
+    ]
+    r = n.select(*K, F.col("note_idx").alias("frame_idx"), F.explode(F.array(*found)).alias("f")).select(*K, "frame_idx", "f.*")
+    return N.merged_recoveries(r, _tracked(spark, d))
 
 
 @query(A.with_tables("notes") + """, e AS (SELECT song_id, note_idx AS i, (event_id * 37 % 101)::DOUBLE AS strength FROM notes), o AS (SELECT song_id, start_sec AS t FROM notes), p AS (SELECT song_id, max(strength) AS peak, max(i) AS last FROM e GROUP BY song_id),
@@ -256,8 +304,31 @@ def semi_anti(spark, d):
 @query()
 def whole_song_analysis(spark, d):
     """Every pass in order, from fingertips to key releases (composed of operators that have oracles of their own)."""
-    from .pipeline import analyse
+    from .pipeline import SecondLooks, analyse
 
     pedal = timeline.islands(A.pedal_events(spark, d), K, "time_sec", ["event_id"], F.col("value") >= 64)
     notes = A.notes(spark, d).select(*K, "note_idx", "onset_tick", "pitch", "start_sec", "duration_sec", "velocity", "wi")
-    return analyse(notes, A.frames(spark, d).select(*K, "frame_idx", "time_sec"), A.points(spark, d), pedal).withColumn("flags", F.array_join("flags", ","))
+    return analyse(notes, A.frames(spark, d).select(*K, "frame_idx", "time_sec"), A.points(spark, d), pedal, looks=SecondLooks(to_x=lambda wi: wi * 20.0)).withColumn("flags", F.array_join("flags", ","))
+
+
+_CUT = f"""
+    d AS (SELECT song_id, note_idx, pitch, s.start_sec, time_sec, 96 + r / 4e0 AS r, 96 + g / 4e0 AS g, 96 + b / 4e0 AS b FROM samples s JOIN notes USING (song_id, note_idx)),
+    k AS (SELECT pitch, median(r) AS r, median(g) AS g, median(b) AS b FROM d GROUP BY pitch),
+    l AS (SELECT d.*, sqrt((d.r - k.r) ** 2 + (d.g - k.g) ** 2 + (d.b - k.b) ** 2) > 40 AS lit FROM d JOIN k USING (pitch)),
+    s AS (SELECT *, bool_or(lit AND time_sec >= start_sec) OVER (w ROWS UNBOUNDED PRECEDING) AS seen,
+        NOT lit AND NOT coalesce(lead(lit, 1) OVER w, true) AND NOT coalesce(lead(lit, 2) OVER w, true) AS run FROM l WINDOW w AS (PARTITION BY song_id, note_idx ORDER BY time_sec)),
+    e AS (SELECT song_id, note_idx, min(time_sec) FILTER (seen AND run) AS lit_end FROM s GROUP BY ALL),
+    h AS (SELECT song_id, note_idx, least({_d(_REFS['LH_white'])}, {_d(_REFS['LH_black'])}) AS l, least({_d(_REFS['RH_white'])}, {_d(_REFS['RH_black'])}) AS r FROM d WHERE time_sec = start_sec),
+    c AS (SELECT n.*, h.l, h.r, least(duration_sec, lit_end - start_sec) AS cut FROM notes n JOIN h USING (song_id, note_idx) JOIN e USING (song_id, note_idx))"""
+
+
+@query(A.with_tables("notes", "samples") + "," + _CUT + """
+    SELECT song_id, note_idx, onset_tick, pitch, CASE WHEN l <= r THEN 'L' ELSE 'R' END AS hand, round(CASE WHEN l + r = 0 THEN 1 ELSE greatest(l, r) / (l + r) END, 4) AS confidence, start_sec,
+      CASE WHEN cut >= 0.05::DOUBLE THEN cut ELSE duration_sec END AS duration_sec, CASE WHEN cut >= 0.05::DOUBLE AND cut <> duration_sec THEN round(cut, 4) END AS trimmed_sec FROM c""")
+def render_analysis(spark, d):
+    """A rendered video's notes: hands by picked colours, durations until keys go dark."""
+    from .render import analyse_render
+
+    s = A.samples(spark, d).withColumns({c: 96 + F.col(c) / 4.0 for c in "rgb"})
+    n = A.notes(spark, d)
+    return analyse_render(n, s, N.key_baselines(s.join(n.select(*K, "note_idx", "pitch"), [*K, "note_idx"])), _REFS)
