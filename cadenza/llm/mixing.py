@@ -183,11 +183,14 @@ def mixed_documents(docs: DataFrame, mixed: DataFrame, key: str = "doc_id", text
     key and size, null keys too, are all taken as the first of them; ``n_chars``, if there is such a column, is counted
     anew."""
     short_batches(docs.sparkSession)
+    # names that no column has
+    own = "_" * (1 + max(map(len, docs.columns)))
+    at, words, chosen, size = (f"{own}{n}" for n in ("key", "words", "plan", "size"))
     # one plan for each key and size, so that the join neither drops nor repeats rows
-    plan = mixed.where("taken > 0").groupBy(F.col(key).alias("__mix_key"), F.col("size").alias("__mix_words")).agg(F.min(F.struct("rounds", "parts")).alias("__mix_plan"))
-    plan = plan.select("__mix_key", "__mix_words", F.col("__mix_plan.rounds").alias("__mix_rounds"), F.col("__mix_plan.parts").alias("__mix_parts"))
-    own = F.regexp_count(F.coalesce(docs[text], F.lit("")), F.lit(WORD)).cast("long")
-    rows = docs.withColumn("__mix_size", own).join(plan, docs[key].eqNullSafe(F.col("__mix_key")) & (F.col("__mix_size") == F.col("__mix_words"))).drop("__mix_key", "__mix_words", "__mix_size")
+    plan = mixed.where("taken > 0").groupBy(F.col(key).alias(at), F.col("size").alias(words)).agg(F.min(F.struct("rounds", "parts")).alias(chosen))
+    plan = plan.select(at, words, F.col(f"{chosen}.rounds").alias(f"{own}rounds"), F.col(f"{chosen}.parts").alias(f"{own}parts"))
+    counted = F.regexp_count(F.coalesce(docs[text], F.lit("")), F.lit(WORD)).cast("long")
+    rows = docs.withColumn(size, counted).join(plan, docs[key].eqNullSafe(F.col(at)) & (F.col(size) == F.col(words))).drop(at, words, size)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

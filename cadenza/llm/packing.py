@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import unicodedata
 import zlib
 from collections.abc import Iterator
@@ -14,11 +15,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import short_batches, texts_of
-from .token_counts import vocabulary
+from .token_counts import PLAIN_MERGES, plain_specials, understood, vocabulary
 
 WINDOW = 2048
-#: Fixed value: the word pre-tokeniser's pattern.
-WORDS = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
+#: How texts are normalised before words are taken.
+NORMALISED = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]}
 #: Distinct words whose ids a worker keeps; beyond it the memory is emptied and refilled.
 KEPT_WORDS = 600_000
 
@@ -36,14 +37,24 @@ class _Places(dict):
 
 
 class WordIds:
-    """Ids of texts under a word-level BPE: each distinct word is encoded once, by the library, and kept."""
+    """Ids of texts under a word-level BPE: each distinct word is encoded once, by the library, and kept. Words are cut by
+    the file's own pattern; files with other settings than it understands are refused."""
 
     def __init__(self, path: str) -> None:
         from tokenizers import Tokenizer
 
+        with open(path, encoding="utf-8") as f:
+            spec = json.load(f)
+        understood(path, spec, {"normalizer": NORMALISED, "truncation": None, "padding": None})
+        cut, *rest = (spec["pre_tokenizer"] or {}).get("pretokenizers") or [{"type": None}]
+        understood(path, cut, {"type": "Split", "behavior": "Removed", "invert": True})
+        understood(path, {"after": rest}, {"after": [{"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}]})
+        understood(path, spec["model"], PLAIN_MERGES)
+        self.words = regex.compile(cut["pattern"]["Regex"])
         self.lib = Tokenizer.from_file(path)
-        self.specials = {t.content: i for i, t in self.lib.get_added_tokens_decoder().items()}
-        self.split = regex.compile("|".join(map(regex.escape, self.specials))) if self.specials else None
+        names = plain_specials(path, spec["added_tokens"])
+        self.specials = {name: self.lib.token_to_id(name) for name in names}
+        self.split = regex.compile("|".join(map(regex.escape, names))) if names else None
         self._empty()
 
     def _empty(self) -> None:
@@ -103,7 +114,7 @@ class WordIds:
                 if isinstance(part, int):
                     row.append(part)
                 else:
-                    words = WORDS.findall(unicodedata.normalize("NFC", part).replace("Σ", "σ").lower())
+                    words = self.words.findall(unicodedata.normalize("NFC", part).replace("Σ", "σ").lower())
                     row.append(np.fromiter(map(look, words), np.int64, len(words)))
             rows.append(row)
         if self.at.new:

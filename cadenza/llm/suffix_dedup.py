@@ -481,7 +481,8 @@ def without_repeats(docs: DataFrame, length: int = 100, key: str = "doc_id", tex
     spark = docs.sparkSession
     short_batches(spark)
     scratch = Scratch(spark, "suffix-dedup")
-    rows = docs.select(docs[key].cast("long").alias("id"), docs[text].alias("t"), F.struct(F.lit(0).alias("__none"), *(docs[c] for c in carry)).alias("carry"))
+    filler = "_" * (1 + max(map(len, carry), default=0))  # keeps the struct from being empty, and is nobody's name
+    rows = docs.select(docs[key].cast("long").alias("id"), docs[text].alias("t"), F.struct(F.lit(0).alias(filler), *(docs[c] for c in carry)).alias("carry"))
     runs, parts = removed_runs(rows.select("id", "t").where("id IS NOT NULL AND t IS NOT NULL"), length, scratch)
     names = ["d", "first", "number"]
 

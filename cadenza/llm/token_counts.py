@@ -34,15 +34,37 @@ def byte_letters() -> dict[str, int]:
     return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(rest)}
 
 
+#: Settings of a vocabulary's merges that change what they give, and the values that are understood here.
+PLAIN_MERGES = {"type": "BPE", "dropout": None, "unk_token": None, "continuing_subword_prefix": None, "byte_fallback": False, "ignore_merges": False}
+
+
+def understood(path: str, found: dict, want: dict) -> None:
+    """Refuse a tokenizer file whose settings would be read wrongly."""
+    odd = {k: found.get(k) for k, v in want.items() if found.get(k, v) != v}
+    if odd:
+        raise ValueError(f"{path}: tokenizer settings that are not supported: {odd}")
+
+
+def plain_specials(path: str, added: list[dict]) -> list[str]:
+    """Special strings, longest first, as the library finds them: anywhere, exactly as written."""
+    for t in added:
+        understood(path, t, {"single_word": False, "lstrip": False, "rstrip": False, "normalized": False})
+    return sorted((t["content"] for t in added), key=len, reverse=True)
+
+
 class PrefixCounter:
-    """Exact token counts at all prefixes, for a byte-level BPE of the ``tokenizers`` library."""
+    """Exact token counts at all prefixes, for a byte-level BPE of the ``tokenizers`` library. Files with other settings
+    than it understands are refused."""
 
     def __init__(self, path: str) -> None:
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
+        understood(path, spec, {"normalizer": None, "truncation": None, "padding": None})
+        understood(path, spec["pre_tokenizer"] or {"type": None}, {"type": "ByteLevel", "add_prefix_space": False, "use_regex": True})
+        understood(path, spec["model"], {**PLAIN_MERGES, "end_of_word_suffix": None})
         letters = byte_letters()
         raw = lambda token: bytes(letters[c] for c in token)
-        self.specials = [t["content"] for t in spec["added_tokens"]]
+        self.specials = plain_specials(path, spec["added_tokens"])
         self.tokens = {raw(t) for t in spec["model"]["vocab"]}
         self.longest = max(map(len, self.tokens))
         self.ranks = {}
