@@ -101,6 +101,19 @@ c AS (SELECT a, min(b) AS m FROM reach GROUP BY a)
 SELECT s.doc_id, len(s.s)::BIGINT AS n_shingles, least(s.doc_id, coalesce(c.m, s.doc_id)) AS component_id FROM s LEFT JOIN c ON c.a = s.doc_id
 """
 
+ORACLE["op7_suffix_array_dedup"] = """
+WITH t AS (SELECT doc_id, encode(coalesce(text, '')) AS b FROM documents),
+s AS (SELECT doc_id, i, b[i + 1 : i + 100] AS s FROM (SELECT doc_id, b, unnest(range(0, octet_length(b) - 99)) AS i FROM t)),
+g AS (SELECT doc_id, i FROM (SELECT doc_id, i, row_number() OVER (PARTITION BY s ORDER BY doc_id, i) AS nth FROM s) WHERE nth > 1),
+n AS (SELECT doc_id, i, CASE WHEN i <= lag(i) OVER (PARTITION BY doc_id ORDER BY i) + 100 THEN 0 ELSE 1 END AS new FROM g),
+r AS (SELECT doc_id, min(i) AS lo, max(i) + 100 AS hi FROM (SELECT doc_id, i, sum(new) OVER (PARTITION BY doc_id ORDER BY i) AS run FROM n) GROUP BY doc_id, run),
+p AS (SELECT doc_id, lo, coalesce(lag(hi) OVER (PARTITION BY doc_id ORDER BY lo), 0) AS since, hi FROM r),
+k AS (SELECT t.doc_id, count(p.lo) AS n_spans, coalesce(sum(p.hi - p.lo), 0) AS n_removed,
+      coalesce(string_agg(hex(t.b[p.since + 1 : p.lo]), '' ORDER BY p.lo), '') AS head, coalesce(max(p.hi), 0) AS last FROM t LEFT JOIN p USING (doc_id) GROUP BY t.doc_id)
+SELECT t.doc_id, octet_length(t.b)::BIGINT AS n_bytes, k.n_removed::BIGINT AS n_removed, k.n_spans::BIGINT AS n_spans,
+  sha256(unhex(k.head || hex(t.b[k.last + 1 : octet_length(t.b)]))) AS kept_sha256 FROM t JOIN k USING (doc_id)
+"""
+
 # The pages' articles are flat and use five character references, which SQL can undo.
 _DECODED = "b"
 for _name, _char in (("&quot;", '"'), ("&#x27;", "''"), ("&lt;", "<"), ("&gt;", ">"), ("&amp;", "&")):

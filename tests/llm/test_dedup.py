@@ -156,6 +156,6 @@ def test_near_vectors(spark):
     assert embedding_dedup.near_vectors(d.limit(0)).count() == 0
 
 
-@pytest.mark.parametrize("name", ["op2_embedding_near_dedup"])
+@pytest.mark.parametrize("name", ["op2_embedding_near_dedup", "op7_suffix_array_dedup"])
 def test_oracles(spark, sf_dir, name):
     same(QUERIES[name](spark, sf_dir), ORACLE[name], connect(sf_dir))
