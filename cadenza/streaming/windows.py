@@ -1,4 +1,4 @@
-"""Streaming forms of the windowed means and of runs, for tables that grow."""
+"""Windowed means, sessions and runs for tables that grow."""
 
 from __future__ import annotations
 
@@ -10,12 +10,20 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupStateTimeout
 
 
-def streamed_means(events: DataFrame, keys: list[str], at: str, value: str, window: str = "10 minutes", late: str = "10 minutes") -> DataFrame:
-    """Mean and number of values per window; rows more than ``late`` behind the newest are dropped, so state stays bounded."""
-    w = events.withWatermark(at, late).groupBy(F.window(at, window), *keys).agg(F.avg(value).alias("mean"), F.count(value).alias("n"))
+def streamed_means(events: DataFrame, keys: list[str], at: str, value: str, window: str = "10 minutes", late: str = "10 minutes", slide: str | None = None) -> DataFrame:
+    """Mean and number of values per window, each ``slide`` later than the one before (no overlap if None); rows more
+    than ``late`` behind the newest are dropped, so state stays bounded. A table that doesn't grow keeps all its rows."""
+    w = events.withWatermark(at, late).groupBy(F.window(at, window, slide or window), *keys).agg(F.avg(value).alias("mean"), F.count(value).alias("n"))
     return w.select(F.col("window.start").alias("window_start"), *keys, "mean", "n")
 
 
+def streamed_sessions(events: DataFrame, keys: list[str], at: str, value: str, gap: str = "10 minutes", late: str = "10 minutes") -> DataFrame:
+    """Sessions per key, which end when nothing comes for ``gap``: session_start, session_end (last row and gap), keys,
+    mean, n. Late rows as in ``streamed_means``."""
+    w = events.withWatermark(at, late).groupBy(F.session_window(at, gap).alias("_session"), *keys).agg(F.avg(value).alias("mean"), F.count(value).alias("n"))
+    return w.select(F.col("_session.start").alias("session_start"), F.col("_session.end").alias("session_end"), *keys, "mean", "n")
+
+
 def streamed_runs(events: DataFrame, key: str, at: str, value: str, below: float, length: int = 3) -> DataFrame:
     """Starts of runs of ``length`` values in a row below a limit, per key: key, run_start. State is a count and a time."""
 

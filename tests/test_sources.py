@@ -3,7 +3,7 @@ import json
 from pyspark.sql import functions as F
 
 from cadenza.sources import media, midi
-from cadenza.streaming.windows import streamed_means, streamed_runs
+from cadenza.streaming.windows import streamed_means, streamed_runs, streamed_sessions
 
 
 def vlq(n):
@@ -72,3 +72,33 @@ def test_streams(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert spark.table("runs").count() == 8
+
+
+def test_sliding_and_session_streams(spark, tmp_path):
+    minutes = [0, 1, 2, 30, 31, 90]
+    d = spark.createDataFrame([("u", m, float(m)) for m in minutes] + [("v", 5, None)], "k string, m int, value double")
+    d = d.selectExpr("k", "timestamp_seconds(1704067200 + m * 60) AS ts", "value")
+    d.repartition(1).write.parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(d.schema).parquet(str(tmp_path / "in"))
+
+    def told(frame, name):
+        q = frame.writeStream.format("memory").queryName(name).outputMode("complete").start()
+        q.processAllAvailable()
+        q.stop()
+        return sorted(map(tuple, spark.table(name).collect()), key=str)
+
+    for streamed, name, options in ((streamed_means, "sliding", {"slide": "5 minutes"}), (streamed_sessions, "sessions", {"gap": "10 minutes"})):
+        got = told(streamed(stream, ["k"], "ts", "value", **options), name)
+        assert got == sorted(map(tuple, streamed(d, ["k"], "ts", "value", **options).collect()), key=str)  # as over a table at rest
+        assert streamed(d.limit(0), ["k"], "ts", "value", **options).count() == 0
+    assert sorted((r.k, r.n, r.mean) for r in spark.table("sessions").collect() if r.k == "u") == [("u", 1, 90.0), ("u", 2, 30.5), ("u", 3, 1.0)]
+    assert sum(r.n for r in spark.table("sliding").collect()) == 2 * len(minutes)
+
+
+def test_functions_in_sql(spark):
+    from cadenza.functions import registered
+
+    registered.register(spark)
+    assert [tuple(r) for r in spark.sql("SELECT * FROM keys_between(59, 61)").collect()] == [(59, "B3"), (60, "C4"), (61, "C#4")]
+    assert spark.sql("SELECT * FROM keys_between(5, 4)").count() == spark.sql("SELECT * FROM keys_between(NULL, 4)").count() == 0
+    assert spark.sql("SELECT note_name(CAST(NULL AS INT)), is_black_key(70)").first()[:] == (None, True)
