@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import embedding_dedup, html_extract, license_scan, mixing, ngram_join, packing, quality, suffix_dedup, token_counts, vp_search
+from . import collocations, embedding_dedup, html_extract, license_scan, mixing, ngram_join, packing, quality, suffix_dedup, token_counts, vp_search, warc
 from .common import table
 
 
@@ -51,7 +51,15 @@ def op10_vantage_point_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vp_search.nearest(table(spark, sf_dir, "embeddings"))
 
 
-QUERIES = {f.__name__: f for f in (op1_ngram_jaccard_join, op2_embedding_near_dedup, op3_token_counts, op4_license_scan, op5_quality_classifier, op6_packing, op7_suffix_array_dedup, op8_html_main_text, op9_source_mix, op10_vantage_point_search)}
+def op11_phrase_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(table(spark, sf_dir, "documents"))
+
+
+def op12_warc_archive(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.archived(table(spark, sf_dir, "pages"))
+
+
+QUERIES = {f.__name__: f for f in (op1_ngram_jaccard_join, op2_embedding_near_dedup, op3_token_counts, op4_license_scan, op5_quality_classifier, op6_packing, op7_suffix_array_dedup, op8_html_main_text, op9_source_mix, op10_vantage_point_search, op11_phrase_collocations, op12_warc_archive)}
 
 #: DuckDB SQL for the queries that SQL can express.
 ORACLE: dict[str, str] = {}
@@ -123,3 +131,27 @@ WITH a AS (SELECT page_id, url, regexp_extract(coalesce(html, ''), '(?s)<article
 b AS (SELECT page_id, url, list_filter(list_transform(regexp_split_to_array(a, '</?(?:p|h1)>'), lambda b: trim(regexp_replace(regexp_replace({_DECODED.replace("(b,", "(regexp_replace(b, '<[^>]*>', '', 'g'),")}, '\s+', ' ', 'g'), '^ | $', '', 'g'))), lambda x: x <> '') AS b FROM a)
 SELECT page_id, url, array_to_string(b, chr(10)) AS text, length(array_to_string(b, chr(10)))::BIGINT AS n_chars FROM b
 """
+
+ORACLE["op11_phrase_collocations"] = r"""
+WITH p AS (SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS p FROM documents),
+w AS (SELECT lang, regexp_extract_all(p, '[^\x20\x09]+') AS w FROM p),
+t AS (SELECT lang, sum(len(w))::HUGEINT AS n FROM w GROUP BY lang),
+g AS (SELECT lang, k, unnest(list_transform(range(1, len(w) - k + 2), lambda i: array_to_string(w[i:i + k - 1], ' '))) AS phrase FROM w, (SELECT unnest(range(1, 6)) AS k) WHERE len(w) >= k),
+f AS (SELECT lang, phrase, k, count(*)::HUGEINT AS f FROM g GROUP BY lang, phrase, k HAVING count(*) >= 100),
+s AS (SELECT *, string_split(phrase, ' ') AS w FROM f),
+inside AS (SELECT DISTINCT lang, f, unnest([array_to_string(w[1:k - 1], ' '), array_to_string(w[2:k], ' ')]) AS phrase FROM s WHERE k > 2),
+c AS (SELECT s.* FROM s ANTI JOIN inside USING (lang, phrase, f) WHERE k > 1),
+cut AS (SELECT lang, phrase, f AS a, w, k, unnest(range(1, k)) AS j FROM c),
+v AS (SELECT cut.lang, cut.phrase, a, j, l.f AS l, r.f AS r, t.n, (1000 * a * t.n) // (l.f * r.f) AS score FROM cut JOIN t ON t.lang = cut.lang
+      JOIN f l ON l.lang = cut.lang AND l.phrase = array_to_string(w[1:j], ' ') JOIN f r ON r.lang = cut.lang AND r.phrase = array_to_string(w[j + 1:cut.k], ' ')),
+b AS (SELECT *, row_number() OVER (PARTITION BY lang, phrase ORDER BY score, j) AS nth FROM v),
+r AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM b WHERE nth = 1)
+SELECT lang, rank::BIGINT AS rank, phrase, a::BIGINT AS a, l::BIGINT AS l, r::BIGINT AS r, n::BIGINT AS n, score::BIGINT AS score FROM r WHERE rank <= 2000
+"""
+
+ORACLE["op12_warc_archive"] = """
+WITH p AS (SELECT page_id, octet_length(encode(coalesce(html, '')))::BIGINT AS n, sha1(coalesce(html, '')) AS d, coalesce(html, '') AS h FROM pages),
+r AS (SELECT *, max(page_id) OVER (PARTITION BY h) AS top FROM p)
+SELECT page_id, n AS payload_bytes, d AS payload_digest, CASE WHEN n >= 1000 AND page_id < top THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN n >= 1000 AND page_id < top THEN top END AS refers_to FROM r
+"""
