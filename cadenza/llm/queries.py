@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import collocations, embedding_dedup, html_extract, license_scan, mixing, ngram_join, packing, quality, suffix_dedup, token_counts, vp_search, warc
+from . import collocations, embedding_dedup, html_extract, lexical_search, license_scan, mixing, ngram_join, packing, quality, suffix_dedup, token_counts, vp_search, warc
 from .common import table
 
 
@@ -59,7 +59,11 @@ def op12_warc_archive(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.archived(table(spark, sf_dir, "pages"))
 
 
-QUERIES = {f.__name__: f for f in (op1_ngram_jaccard_join, op2_embedding_near_dedup, op3_token_counts, op4_license_scan, op5_quality_classifier, op6_packing, op7_suffix_array_dedup, op8_html_main_text, op9_source_mix, op10_vantage_point_search, op11_phrase_collocations, op12_warc_archive)}
+def op13_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical_search.ranked(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+QUERIES = {f.__name__: f for f in (op1_ngram_jaccard_join, op2_embedding_near_dedup, op3_token_counts, op4_license_scan, op5_quality_classifier, op6_packing, op7_suffix_array_dedup, op8_html_main_text, op9_source_mix, op10_vantage_point_search, op11_phrase_collocations, op12_warc_archive, op13_lexical_search)}
 
 #: DuckDB SQL for the queries that SQL can express.
 ORACLE: dict[str, str] = {}
@@ -155,3 +159,15 @@ r AS (SELECT *, max(page_id) OVER (PARTITION BY h) AS top FROM p)
 SELECT page_id, n AS payload_bytes, d AS payload_digest, CASE WHEN n >= 1000 AND page_id < top THEN 'revisit' ELSE 'response' END AS record_type,
   CASE WHEN n >= 1000 AND page_id < top THEN top END AS refers_to FROM r
 """
+
+_TERMS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')"
+ORACLE["op13_lexical_search"] = f"""
+WITH d AS (SELECT doc_id, {_TERMS} AS w FROM documents), s AS (SELECT count(*) AS n_docs, sum(len(w))::BIGINT AS n_terms FROM d WHERE len(w) > 0),
+m AS (SELECT doc_id, 10 + (90 * len(w) * n_docs) // n_terms AS m FROM d, s WHERE len(w) > 0),
+q AS (SELECT DISTINCT item_id, unnest({_TERMS}) AS term FROM benchmark),
+p AS (SELECT doc_id, term, count(*) AS tf FROM (SELECT doc_id, unnest(w) AS term FROM d) WHERE term IN (SELECT term FROM q) GROUP BY doc_id, term),
+w AS (SELECT term, floor(1000 * ln((2 * any_value(n_docs) + 2)::DOUBLE / (2 * count(*) + 1)))::BIGINT AS w FROM p, s GROUP BY term),
+r AS (SELECT item_id, doc_id, sum(w * ((1000000000 * tf) // (1000 * tf + 8 * m)))::BIGINT AS score FROM q JOIN p USING (term) JOIN w USING (term) JOIN m USING (doc_id) GROUP BY item_id, doc_id),
+k AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM r WHERE score > 0)
+SELECT item_id, rank::INTEGER AS rank, doc_id, score FROM k WHERE rank <= 10
+"""
