@@ -1,7 +1,7 @@
 import pytest
 
 import __spark_entry__ as entry
-from cadenza.plans import catalogue2
+from cadenza.plans import catalogue3
 from tests.duck import connect, same
 
 
@@ -10,9 +10,9 @@ def duck(sf_dir):
     return connect(sf_dir)
 
 
-@pytest.mark.parametrize("name", sorted(catalogue2.ORACLE))
+@pytest.mark.parametrize("name", sorted(catalogue3.ORACLE))
 def test_query_equals_oracle(spark, sf_dir, duck, name):
-    same(catalogue2.QUERIES[name](spark, sf_dir), catalogue2.ORACLE[name], duck)
+    same(catalogue3.QUERIES[name](spark, sf_dir), catalogue3.ORACLE[name], duck)
 
 
 def test_entry(spark):
