@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..operators import landmarks, pictures
 from ..sources import midi, midi_source
 from ..sources.shared import SharedTables
 from . import analogue as A
@@ -49,3 +50,117 @@ def midi_pedal_written(spark, d):
     """Stretches of pedal as they come back from MIDI files."""
     events, song, tables = _song_events(spark, d)
     return midi.pedal_segments(tables.write(events)).select(song, "start_sec", "end_sec")
+
+
+# --- colours out of pictures
+
+
+#: Pixel c of place (x, y) of a frame is (7 event_id + 13 x + 29 y + 53 c) mod 256.
+_WIDE, _HIGH = 16, 6
+
+
+def _rasters(spark, d):
+    n = _WIDE * _HIGH * 3
+    value = lambda i: (F.col("event_id") * 7 + F.floor(i / 3) % _WIDE * 13 + F.floor(i / (3 * _WIDE)) * 29 + i % 3 * 53) % 256
+    text = F.array_join(F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda i: F.lpad(F.hex(value(i)), 2, "0")), "")
+    return A.frames(spark, d).select(*K, "frame_idx", "time_sec", F.lit(_WIDE).alias("width"), F.lit(_HIGH).alias("height"), F.unhex(text).alias("pixels"))
+
+
+def _samples(spark, d):
+    n = A.notes(spark, d)
+    places = n.select(*K, "pitch").distinct().select(*K, "pitch", ((F.col("pitch") % 23) - 2.5).alias("x"), ((F.col("pitch") % 9) - 1.0).alias("y"))
+    return pictures.note_samples(_rasters(spark, d), n.select(*K, "note_idx", "pitch", "start_sec"), places, K)
+
+
+_PATCH = f"""met AS (SELECT n.song_id, n.note_idx, n.pitch, n.start_sec, f.time_sec, f.event_id FROM notes n JOIN frames f ON f.song_id = n.song_id AND f.time_sec BETWEEN n.start_sec - 5e-2 AND n.start_sec + 4e0),
+    box AS (SELECT p AS pitch, greatest(0, round_even(p % 23 - 2.5e0, 0)::BIGINT - 3) AS x0, least({_WIDE}, round_even(p % 23 - 2.5e0, 0)::BIGINT + 4) AS x1,
+        greatest(0, p % 9 - 1 - 3) AS y0, least({_HIGH}, p % 9 - 1 + 4) AS y1 FROM (SELECT DISTINCT pitch AS p FROM notes)),
+    shade AS (SELECT e, pitch, avg((7 * e + 13 * x + 29 * y) % 256) AS r, avg((7 * e + 13 * x + 29 * y + 53) % 256) AS g, avg((7 * e + 13 * x + 29 * y + 106) % 256) AS b
+        FROM (SELECT unnest(range(256)) AS e), box, (SELECT unnest(range({_WIDE})) AS x), (SELECT unnest(range({_HIGH})) AS y) WHERE x >= x0 AND x < x1 AND y >= y0 AND y < y1 GROUP BY e, pitch),
+    sampled AS (SELECT song_id, note_idx, start_sec, time_sec, coalesce(r, 0) AS r, coalesce(g, 0) AS g, coalesce(b, 0) AS b FROM met LEFT JOIN shade ON shade.e = met.event_id % 256 AND shade.pitch = met.pitch)"""
+
+
+@query(A.with_tables("notes", "frames") + "," + _PATCH + """
+    SELECT song_id, note_idx, count(*) AS n, min(time_sec) - any_value(start_sec) AS first_at, max(time_sec) - any_value(start_sec) AS last_at, sum(r) AS r, sum(g) AS g, sum(b) AS b FROM sampled GROUP BY song_id, note_idx""")
+def picture_samples(spark, d):
+    """What each note's key shows in the pictures from just before its onset to four seconds later."""
+    s = _samples(spark, d)
+    return s.groupBy(*K, "note_idx").agg(F.count("*").alias("n"), (F.min("time_sec") - F.first("start_sec")).alias("first_at"), (F.max("time_sec") - F.first("start_sec")).alias("last_at"), F.sum("r").alias("r"), F.sum("g").alias("g"), F.sum("b").alias("b"))
+
+
+@query(A.with_tables("notes", "frames") + "," + _PATCH + """, o AS (SELECT *, row_number() OVER (PARTITION BY song_id, note_idx ORDER BY time_sec, r, g, b) AS k FROM sampled) SELECT song_id, note_idx, r, g, b FROM o WHERE k = 1""")
+def picture_onsets(spark, d):
+    """Each note's first sample of all."""
+    return pictures.onset_colours(_samples(spark, d), K)
+
+
+# --- landmarks
+
+
+def _nested(spark, d):
+    """Frames with hands as a tracker lists them: 21 landmarks each, of every seventh hand the first nine only."""
+    f = A.frames(spark, d)
+    mark = lambda s: lambda i: F.struct((((F.col("event_id") * s + i * 31) % 1000) / F.lit(1000.0)).alias("x"), (((F.col("event_id") * (s + 2) + i * 17) % 1000) / F.lit(1000.0)).alias("y"))
+    marks = lambda s: F.transform(F.sequence(F.lit(0), F.when(F.col("event_id") % 7 == s % 7, 8).otherwise(20)), mark(s))
+    hand = lambda label, s: F.struct(F.lit(label).alias("label"), marks(s).alias("landmarks"))
+    hands = F.when(F.col("event_id") % 4 == 0, F.array().cast(landmarks.HANDS)).when(F.col("event_id") % 4 == 1, F.array(hand("Left", 3))).otherwise(F.array(hand("Right", 5), hand("Left", 11)))
+    crop = {"cx": F.lit(40.0), "cy": F.lit(20.0), "cw": (600 + F.col("event_id") % 3).cast("double"), "ch": F.lit(300.0)}
+    return f.select(*K, "frame_idx", "time_sec", hands.alias("hands"), *(c.alias(n) for n, c in crop.items()))
+
+
+_MARKS = """, h AS (SELECT f.*, v.pos, v.label, v.s, 600 + event_id % 3 AS cw FROM frames f, (VALUES (1, 0, 'Left', 3), (2, 0, 'Right', 5), (2, 1, 'Left', 11), (3, 0, 'Right', 5), (3, 1, 'Left', 11)) v(k, pos, label, s) WHERE event_id % 4 = v.k),
+    m AS (SELECT h.*, i, 40 + (event_id * s + i * 31) % 1000 / 1e3 * cw AS x, 20 + (event_id * (s + 2) + i * 17) % 1000 / 1e3 * 300 AS y FROM h, (SELECT unnest(range(21)) AS i) WHERE i <= CASE WHEN event_id % 7 = s % 7 THEN 8 ELSE 20 END),
+    p AS (SELECT song_id, frame_idx, time_sec, pos, CASE WHEN label = 'Left' THEN 'L' ELSE 'R' END AS hand, CASE i WHEN 0 THEN 0 ELSE i // 4 END AS finger, x, y FROM m WHERE i IN (0, 4, 8, 12, 16, 20)
+        UNION ALL SELECT song_id, frame_idx, time_sec, pos, CASE WHEN label = 'Left' THEN 'L' ELSE 'R' END, 6, avg(x), avg(y) FROM m WHERE i IN (5, 9, 13, 17) GROUP BY song_id, frame_idx, time_sec, pos, label HAVING count(*) = 4)"""
+
+
+@query(A.with_tables("notes", "frames") + _MARKS + " SELECT * FROM p")
+def landmark_points(spark, d):
+    """Nested landmarks as points in the picture."""
+    return landmarks.points(_nested(spark, d), K)
+
+
+@query(A.with_tables("notes", "frames") + _MARKS + """ SELECT song_id, frame_idx, pos, hand, coalesce(max(x) FILTER (finger = 6), max(x) FILTER (finger = 0), avg(x) FILTER (finger BETWEEN 1 AND 5)) AS x,
+    coalesce(max(y) FILTER (finger = 6), max(y) FILTER (finger = 0), avg(y) FILTER (finger BETWEEN 1 AND 5)) AS y FROM p WHERE finger <> 0 OR frame_idx % 2 = 0 GROUP BY song_id, frame_idx, pos, hand""")
+def landmark_hands(spark, d):
+    """Where hands are: palm, else wrist, else the tips' mean (every other frame here has lost its wrists)."""
+    return landmarks.hand_places(landmarks.points(_nested(spark, d), K).where("finger <> 0 OR frame_idx % 2 = 0"), K)
+
+
+# --- lines of pixels
+
+
+#: A picture a song; what is dark in it depends on how many events the song has.
+_LINE, _LINES = 240, 60
+
+
+def _lines(spark, d):
+    n = A.events(spark, d).groupBy(F.concat(F.lit("s"), F.expr("user_id DIV 4").cast("string")).alias("song_id")).agg(F.count("*").cast("int").alias("n"))
+    y = n.withColumn("y", F.explode(F.sequence(F.lit(0), F.lit(_LINES - 1))))
+    step, wide = 9 + (F.col("y") + F.col("n")) % 4, 3 + F.col("n") % 4
+    grey = F.transform(F.sequence(F.lit(0), F.lit(_LINE - 1)), lambda x: F.when((x + F.col("y") * (F.col("n") % 3)) % step < wide + F.floor(x / 60) % 2, 30 + F.col("n") % 50).otherwise(90 + x % 100))
+    return y.select(*K, "y", grey.alias("grey"))
+
+
+_ROWS = f"""WITH s AS (SELECT 's' || (user_id // 4)::VARCHAR AS song_id, count(*) AS n FROM events GROUP BY user_id // 4),
+    px AS (SELECT song_id, y, x, (x + y * (n % 3)) % (9 + (y + n) % 4) < 3 + n % 4 + x // 60 % 2 AS dark FROM s, (SELECT unnest(range({_LINES})) AS y), (SELECT unnest(range({_LINE})) AS x)),
+    d AS (SELECT *, x - row_number() OVER (PARTITION BY song_id, y ORDER BY x) AS run FROM px WHERE dark),
+    sp AS (SELECT song_id, y, min(x) AS a, max(x) + 1 AS b FROM d GROUP BY song_id, y, run),
+    ok AS (SELECT * FROM sp WHERE b - a BETWEEN 2 AND {_LINE // 12} AND y >= {int(_LINES * 0.35)} AND y < {int(_LINES * 0.95)}),
+    c AS (SELECT song_id, y, count(*) AS n, stddev_pop(b - a) / avg(b - a) AS cv FROM ok GROUP BY song_id, y HAVING count(*) >= 15 AND stddev_pop(b - a) / avg(b - a) <= 0.55e0),
+    i AS (SELECT a.song_id, a.y, sum((a.dark AND b.dark)::INT) / sum((a.dark OR b.dark)::INT) AS iou FROM px a JOIN px b ON a.song_id = b.song_id AND a.x = b.x AND b.y = a.y + 15 GROUP BY a.song_id, a.y),
+    r AS (SELECT c.*, coalesce(i.iou, 0) AS iou FROM c LEFT JOIN i USING (song_id, y)),
+    best AS (SELECT *, row_number() OVER (PARTITION BY song_id ORDER BY round(iou, 12) DESC, n DESC, round(cv, 12), y) AS k FROM r)"""
+
+
+@query(_ROWS + " SELECT song_id, y, n, cv, iou FROM best WHERE k = 1")
+def black_key_rows(spark, d):
+    """The line of each picture that crosses the black keys, by spans alone."""
+    return pictures.key_rows(_lines(spark, d), K, _LINE, _LINES)
+
+
+@query(_ROWS + " SELECT ok.song_id, row_number() OVER (PARTITION BY ok.song_id ORDER BY a) - 1 AS idx, (a + b) / 2e0 AS x, ok.y::DOUBLE AS y FROM ok JOIN best ON best.song_id = ok.song_id AND best.y = ok.y AND k = 1")
+def black_key_centres(spark, d):
+    """Centres of the black keys on these lines."""
+    lines = _lines(spark, d)
+    return pictures.key_centres(lines, pictures.key_rows(lines, K, _LINE, _LINES), K, _LINE)
