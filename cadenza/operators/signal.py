@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame, Window
+import math
+
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
+from ..sources.shared import SharedTables
+
 
 def window_means(rows: DataFrame, keys: list[str], at: str, value: str, width: float) -> DataFrame:
     """Mean and number of values per window that has any: keys, window_start, mean, n."""
@@ -17,15 +19,16 @@ def window_means(rows: DataFrame, keys: list[str], at: str, value: str, width: f
 def onset_density(times: DataFrame, keys: list[str], at: str, duration: float | None = None, width: float = 0.05) -> DataFrame:
     """Histogram with empty bins as 0: keys, bin, n. Times before 0 don't count.
 
-    Without ``duration`` bins reach to the largest time of all keys; with it, times past its last bin don't count.
+    Without ``duration`` bins reach to the key's own largest time (a key without times from 0 on has one); with it, times
+    past its last bin don't count.
     """
     own = times.where(F.col(at) >= 0).withColumn("bin", (F.col(at) / F.lit(float(width))).cast("int"))
-    every = times.select(*keys).distinct()
     if duration is None:
-        every = every.crossJoin(F.broadcast(own.agg(F.coalesce(F.max("bin"), F.lit(0)).alias("_last"))))
+        bins = F.when(F.col(at) >= 0, (F.col(at) / F.lit(float(width))).cast("int"))
+        every = times.groupBy(*keys).agg(F.coalesce(F.max(bins), F.lit(0)).alias("_last"))
     else:
-        bins = max(1, int(np.ceil(duration / width)))
-        own, every = own.where(F.col("bin") < bins), every.withColumn("_last", F.lit(bins - 1))
+        bins = max(1, math.ceil(duration / width))
+        own, every = own.where(F.col("bin") < bins), times.select(*keys).distinct().withColumn("_last", F.lit(bins - 1))
     own = own.groupBy(*keys, "bin").agg(F.count("*").alias("n"))
     every = every.withColumn("bin", F.explode(F.sequence(F.lit(0), F.col("_last")))).drop("_last")
     return every.join(own, [*keys, "bin"], "left").withColumn("n", F.coalesce("n", F.lit(0)))
@@ -88,27 +91,48 @@ def otsu_threshold(rows: DataFrame, keys: list[str], value: str) -> DataFrame:
 def two_means(rows: DataFrame, keys: list[str], values: list[str], ident: str, rounds: int = 20) -> DataFrame:
     """Two clusters per key: keys, ident, cluster, separation (distance of the centres).
 
-    Starts from the first row and the one farthest from it; ties go to cluster 0; an empty cluster keeps its centre.
-    A key's rows are clustered together in one Arrow batch, as the start depends on their order.
+    Starts from the first row and the one farthest from it (the first such one); ties go to cluster 0; an empty cluster
+    keeps its centre. What passes from round to round is a row of centres per key, written to the shared folder: a round
+    deals the rows to their nearer centre and takes both means by aggregates, and the rounds end when no centre moves
+    any more, or after ``rounds``. Rows that lack a value are in no cluster.
     """
-
-    def fold(p: pd.DataFrame) -> pd.DataFrame:
-        p = p.sort_values(ident)
-        x = p[values].to_numpy(float)
-        c = np.stack([x[0], x[np.argmax(((x - x[0]) ** 2).sum(axis=1))]])
-        own = np.zeros(len(x), int)
-        for i in range(rounds):
-            new = (np.linalg.norm(x - c[1], axis=1) < np.linalg.norm(x - c[0], axis=1)).astype(int)
-            if i and np.array_equal(new, own):
-                break
-            own = new
-            for k in (0, 1):
-                if (own == k).any():
-                    c[k] = x[own == k].mean(axis=0)
-        return p[[*keys, ident]].assign(cluster=own, separation=float(np.linalg.norm(c[0] - c[1])))
-
-    kinds = ", ".join(f"{k} {rows.schema[k].dataType.simpleString()}" for k in [*keys, ident])
-    return rows.select(*keys, ident, *values).groupBy(*keys).applyInPandas(fold, f"{kinds}, cluster int, separation double")
+    tables = SharedTables(rows.sparkSession, "means")
+    n = len(values)
+    rows = rows.select(*keys, ident, F.array(*(F.col(v).cast("double") for v in values)).alias("_v"), *(F.col(v).alias(f"_own{i}") for i, v in enumerate(values))).dropna(subset=[f"_own{i}" for i in range(n)]).select(*keys, ident, "_v")
+    rows = tables.write(rows, "rows")
+    away = lambda c: F.sqrt(sum((F.col("_v")[i] - F.col(c)[i]) * (F.col("_v")[i] - F.col(c)[i]) for i in range(n)))
+    same_key = lambda d: _same(keys, d)
+    start = rows.groupBy(*keys).agg(F.min(F.struct(ident, "_v"))["_v"].alias("_c0"))
+    met = rows.join(same_key(start), _on(keys)).drop(*(f"_of_{k}" for k in keys))
+    state = met.groupBy(*keys).agg(F.first("_c0").alias("_c0"), F.min(F.struct((-away("_c0")).alias("d"), ident, "_v"))["_v"].alias("_c1"))
+    state = tables.write(state.withColumn("_moved", F.lit(True)), "0")
+    near = lambda: F.when(away("_c1") < away("_c0"), 1).otherwise(0)
+    for step in range(1, rounds + 1):
+        live = state.where("_moved")  # keys whose centres stand are done
+        dealt = rows.join(same_key(live), _on(keys)).drop(*(f"_of_{k}" for k in keys)).withColumn("_k", near())
+        mean = lambda k: F.array(*(F.coalesce(F.avg(F.when(F.col("_k") == k, F.col("_v")[i])), F.first(f"_c{k}")[i]) for i in range(n)))
+        new = dealt.groupBy(*keys).agg(mean(0).alias("_n0"), mean(1).alias("_n1"), F.first("_c0").alias("_c0"), F.first("_c1").alias("_c1"))
+        new = new.select(*keys, F.col("_n0").alias("_c0"), F.col("_n1").alias("_c1"), ((F.col("_n0") != F.col("_c0")) | (F.col("_n1") != F.col("_c1"))).alias("_moved"))
+        moved = Observation()
+        new = tables.write(state.where("NOT _moved").unionByName(new).observe(moved, F.count_if("_moved").alias("n")), str(step))
+        tables.drop(str(step - 1))
+        state = new
+        if not moved.get["n"]:
+            break
+    gap = F.sqrt(sum((F.col("_c0")[i] - F.col("_c1")[i]) * (F.col("_c0")[i] - F.col("_c1")[i]) for i in range(n)))
+    out = rows.join(same_key(state), _on(keys))
+    return out.select(*keys, ident, near().alias("cluster"), gap.alias("separation"))
+
+
+def _same(keys: list[str], d: DataFrame) -> DataFrame:
+    return d.withColumnsRenamed({k: f"_of_{k}" for k in keys})
+
+
+def _on(keys: list[str]) -> Column:
+    on = F.lit(True)
+    for k in keys:
+        on &= F.col(k).eqNullSafe(F.col(f"_of_{k}"))
+    return on
 
 
 def cluster_hands(clustered: DataFrame, keys: list[str], pitch: str, flip: bool = False) -> DataFrame:

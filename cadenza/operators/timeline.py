@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .folds import numbered_clusters
+
 
 def bucket(at: Column, width: float) -> Column:
     return F.floor(at / F.lit(float(width))).cast("long")
@@ -126,22 +128,10 @@ def interpolated_points(queries: DataFrame, frames: DataFrame, points: DataFrame
 def anchored_clusters(rows: DataFrame, keys: list[str], at: str, order: list[str], tolerance: float, out: str = "cluster") -> DataFrame:
     """Number clusters from 0 per timeline; a row joins while it is at most ``tolerance`` after its cluster's FIRST row.
 
-    A gap of more than the tolerance always cuts, so the fold runs inside stretches without such a gap, however long
-    the timeline; it is a SQL fold over the stretch's times.
+    Each cluster's first row depends on the one before, so a timeline's rows pass in order through a task that holds one
+    time; the work is linear however dense they are. Rows without a time are in no cluster.
     """
-    w = Window.partitionBy(*keys).orderBy(at, *order)
-    cut = rows.withColumn("_gap", F.coalesce((F.col(at) - F.lag(at).over(w)) > tolerance, F.lit(True)).cast("long"))
-    cut = cut.withColumn("_stretch", F.sum("_gap").over(w.rowsBetween(Window.unboundedPreceding, 0))).drop("_gap")
-    times = cut.groupBy(*keys, "_stretch").agg(F.array_sort(F.collect_set(at)).alias("_ts"))
-    start = F.array().cast("array<double>")
-    # the first time of each cluster of the stretch
-    firsts = F.aggregate("_ts", start, lambda acc, t: F.when((F.size(acc) == 0) | ((t - F.element_at(acc, -1)) > tolerance), F.concat(acc, F.array(t))).otherwise(acc))
-    firsts = times.select(*(F.col(k).alias(f"_{k}") for k in keys), F.col("_stretch").alias("_s"), firsts.alias("_firsts"))
-    on = F.col("_stretch") == F.col("_s")
-    for k in keys:
-        on &= F.col(k).eqNullSafe(F.col(f"_{k}"))
-    got = cut.join(firsts, on).withColumn("_first", F.array_max(F.filter("_firsts", lambda f: f <= F.col(at)))).drop("_s", "_firsts", "_stretch", *(f"_{k}" for k in keys))
-    return got.withColumn(out, F.dense_rank().over(Window.partitionBy(*keys).orderBy("_first")) - 1).drop("_first")
+    return numbered_clusters(rows, keys, at, order, tolerance, out)
 
 
 def islands(rows: DataFrame, keys: list[str], at: str, order: list[str], on: Column) -> DataFrame:

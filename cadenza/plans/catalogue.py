@@ -384,9 +384,11 @@ def recovery_targets(spark, d):
 # --- signals
 
 
-@query(A.with_tables("notes") + ", b AS (SELECT song_id, trunc(start_sec / 0.05::DOUBLE)::INTEGER AS bin FROM notes WHERE start_sec >= 0) SELECT s.song_id, r.bin::INTEGER AS bin, count(b.bin) AS n FROM (SELECT DISTINCT song_id FROM notes) s CROSS JOIN (SELECT unnest(range(max(bin) + 1)) AS bin FROM b) r LEFT JOIN b ON b.song_id = s.song_id AND b.bin = r.bin GROUP BY ALL")
+@query(A.with_tables("notes") + """, b AS (SELECT song_id, trunc(start_sec / 0.05::DOUBLE)::INTEGER AS bin FROM notes WHERE start_sec >= 0),
+    r AS (SELECT song_id, unnest(range(max(bin) + 1)) AS bin FROM b GROUP BY song_id)
+    SELECT r.song_id, r.bin::INTEGER AS bin, count(b.bin) AS n FROM r LEFT JOIN b ON b.song_id = r.song_id AND b.bin = r.bin GROUP BY ALL""")
 def onset_density(spark, d):
-    """Histogram of onsets up to the last one of all songs, empty bins too."""
+    """Histogram of each song's onsets up to its last one, empty bins too."""
     return signal.onset_density(A.notes(spark, d), K, "start_sec")
 
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import landmarks, pictures
+from ..operators import landmarks, pictures, signal
 from ..sources import midi, midi_source
 from ..sources.shared import SharedTables
 from . import analogue as A
@@ -164,3 +164,32 @@ def black_key_centres(spark, d):
     """Centres of the black keys on these lines."""
     lines = _lines(spark, d)
     return pictures.key_centres(lines, pictures.key_rows(lines, K, _LINE, _LINES), K, _LINE)
+
+
+# --- two means, by rounds
+
+
+_HUES = """, s AS (SELECT s.song_id, s.note_idx, n.pitch, r, g, b, atan2((g - b) * sqrt(3e0) / 2, r - (g + b) / 2) AS a FROM samples s JOIN notes n ON n.song_id = s.song_id AND n.note_idx = s.note_idx WHERE s.time_sec = s.start_sec),
+    v AS MATERIALIZED (SELECT *, cos(a) AS x, sin(a) AS y FROM s),
+    f AS (SELECT song_id, arg_min(x, note_idx) AS x0, arg_min(y, note_idx) AS y0 FROM v GROUP BY song_id),
+    o AS (SELECT v.song_id, x0, y0, x, y, row_number() OVER (PARTITION BY v.song_id ORDER BY (x - x0) ** 2 + (y - y0) ** 2 DESC, note_idx) AS k FROM v JOIN f USING (song_id)),
+    c0 AS MATERIALIZED (SELECT song_id, x0, y0, x AS x1, y AS y1 FROM o WHERE k = 1)"""
+_NEARER = "sqrt((x - x1) ** 2 + (y - y1) ** 2) < sqrt((x - x0) ** 2 + (y - y0) ** 2)"
+for _i in range(1, 21):
+    _HUES += f""",
+    c{_i} AS MATERIALIZED (SELECT v.song_id, coalesce(avg(x) FILTER (NOT ({_NEARER})), any_value(x0)) AS x0, coalesce(avg(y) FILTER (NOT ({_NEARER})), any_value(y0)) AS y0,
+        coalesce(avg(x) FILTER ({_NEARER}), any_value(x1)) AS x1, coalesce(avg(y) FILTER ({_NEARER}), any_value(y1)) AS y1 FROM v JOIN c{_i - 1} USING (song_id) GROUP BY v.song_id)"""
+_HUES += f""",
+    k AS (SELECT v.*, CASE WHEN {_NEARER} THEN 1 ELSE 0 END AS cluster, sqrt((x0 - x1) ** 2 + (y0 - y1) ** 2) AS separation FROM v JOIN c20 USING (song_id)),
+    m AS (SELECT song_id, coalesce(avg(pitch) FILTER (cluster = 0), 'inf'::DOUBLE) <= coalesce(avg(pitch) FILTER (cluster = 1), 'inf'::DOUBLE) AS low0 FROM k GROUP BY song_id)"""
+ORACLE["colour_clusters"] = A.with_tables("notes", "samples") + _HUES + " SELECT k.song_id, note_idx, cluster, separation, CASE WHEN (cluster = 0) = low0 THEN 'L' ELSE 'R' END AS hand FROM k JOIN m USING (song_id)"
+
+
+@query(A.with_tables("notes", "samples") + _HUES + """, w AS (SELECT song_id, avg(CASE WHEN greatest(r, g, b) > 0 THEN (greatest(r, g, b) - least(r, g, b)) / greatest(r, g, b) ELSE 0 END) AS sat, median(pitch) AS mid FROM v GROUP BY song_id),
+    j AS (SELECT k.*, low0, mid, sat < 0.3e0 OR NOT separation >= 0.5e0 AS degenerate FROM k JOIN m USING (song_id) JOIN w USING (song_id))
+    SELECT song_id, note_idx, degenerate, CASE WHEN degenerate THEN CASE WHEN mid < 60 THEN 'L' ELSE 'R' END WHEN (cluster = 0) = low0 THEN 'L' ELSE 'R' END AS hand,
+        CASE WHEN degenerate THEN 0 ELSE separation / (separation + 0.5e0) END AS confidence FROM j""")
+def hands_by_colour(spark, d):
+    """Each note's hand from its colour, with the fallback of songs whose colours tell nothing."""
+    s = A.samples(spark, d).where("time_sec = start_sec").join(A.notes(spark, d).select(*K, "note_idx", "pitch"), [*K, "note_idx"])
+    return signal.assigned_hands(s.select(*K, "note_idx", "pitch", "r", "g", "b"), K, "note_idx", grey=0.3).select(*K, "note_idx", "degenerate", "hand", "confidence")
