@@ -4,11 +4,15 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import landmarks, pictures, signal
+from ..functions import tables as sql_tables
+from ..operators import landmarks, pictures, signal, sketches
 from ..sources import midi, midi_source
+from ..sources.store import KeyedStore
 from ..sources.shared import SharedTables
 from . import analogue as A
-from .catalogue import ORACLE, QUERIES, K, query  # noqa: F401
+from ..streaming import joins
+from . import catalogue2  # noqa: F401  (its queries come first)
+from .catalogue import ORACLE, QUERIES, K, query, read  # noqa: F401
 
 
 # --- MIDI folders, written and read back
@@ -193,3 +197,106 @@ def hands_by_colour(spark, d):
     """Each note's hand from its colour, with the fallback of songs whose colours tell nothing."""
     s = A.samples(spark, d).where("time_sec = start_sec").join(A.notes(spark, d).select(*K, "note_idx", "pitch"), [*K, "note_idx"])
     return signal.assigned_hands(s.select(*K, "note_idx", "pitch", "r", "g", "b"), K, "note_idx", grey=0.3).select(*K, "note_idx", "degenerate", "hand", "confidence")
+
+
+# --- streams
+
+
+def _ran(out, tables, name):
+    """A stream's rows, after it has read what there is."""
+    q = out.writeStream.format("parquet").option("path", f"{tables.root}/{name}").option("checkpointLocation", f"{tables.root}/{name}-state").trigger(availableNow=True).start()
+    q.awaitTermination()
+    return tables.spark.read.schema(out.schema).parquet(f"{tables.root}/{name}")
+
+
+def _streamed(spark, d):
+    """Notes and frames with points as streams; each ends with a row far ahead, which lets the watermarks pass all others."""
+    tables = SharedTables(spark, "streams")
+    at = lambda c: F.timestamp_micros(F.round(F.col(c) * 1e6).cast("long"))
+    n = A.notes(spark, d).select("song_id", "note_idx", "pitch", at("start_sec").alias("on_at"), (at("start_sec") + F.make_dt_interval(secs=F.col("duration_sec").cast("decimal(18,6)"))).alias("off_at"))
+    f = A.points(spark, d).select("song_id", "frame_idx", at("time_sec").alias("at")).distinct()
+    far = F.lit("2030-01-01 00:00:00").cast("timestamp")
+    one = spark.range(1)
+    n = n.unionByName(one.select(F.lit("~").alias("song_id"), F.lit(None).cast("long").alias("note_idx"), F.lit(None).cast("int").alias("pitch"), far.alias("on_at"), far.alias("off_at")))
+    f = f.unionByName(one.select(F.lit("~~").alias("song_id"), F.lit(None).cast("long").alias("frame_idx"), far.alias("at")))
+    notes, frames = tables.write(n.coalesce(1), "notes"), tables.write(f.coalesce(1), "frames")
+    stream = lambda df, name: spark.readStream.schema(df.schema).parquet(f"{tables.root}/{name}")
+    return stream(notes, "notes"), stream(frames, "frames"), tables
+
+
+_MICROS = """, n AS (SELECT song_id, note_idx, pitch, round(start_sec * 1e6)::BIGINT AS lo, round(start_sec * 1e6)::BIGINT + round(duration_sec * 1e6)::BIGINT AS hi FROM notes),
+    f AS (SELECT DISTINCT song_id, frame_idx, round(time_sec * 1e6)::BIGINT AS t FROM points)"""
+
+
+@query(A.with_tables("notes", "frames", "points") + _MICROS + " SELECT f.song_id, frame_idx, count(*) AS n, min(pitch) AS low, max(pitch) AS high FROM f JOIN n ON n.song_id = f.song_id AND t BETWEEN lo AND hi GROUP BY ALL")
+def streamed_sounding(spark, d):
+    """What sounds at each frame, from a join of two streams."""
+    notes, frames, tables = _streamed(spark, d)
+    met = _ran(joins.streamed_range_join(frames, notes, K, "at", "on_at", "off_at", "2 SECONDS"), tables, "met")
+    return met.groupBy(*K, "frame_idx").agg(F.count("*").alias("n"), F.min("pitch").alias("low"), F.max("pitch").alias("high"))
+
+
+@query(A.with_tables("notes", "frames", "points") + _MICROS + " SELECT song_id, note_idx FROM n WHERE NOT EXISTS (SELECT 1 FROM f WHERE f.song_id = n.song_id AND t BETWEEN lo - 150000 AND lo + 150000)")
+def streamed_occlusion(spark, d):
+    """Notes without a tracked point near their onset, from two streams."""
+    notes, frames, tables = _streamed(spark, d)
+    unseen = joins.streamed_unseen(notes, frames, K, "on_at", "at", "0.15 SECONDS")
+    return _ran(unseen, tables, "unseen").where("song_id NOT LIKE '~%'").select(*K, "note_idx")
+
+
+# --- sketches
+
+
+@query("""WITH e AS (SELECT event_type, user_id, value FROM events), g AS (SELECT event_type, count(*) AS n, count(DISTINCT user_id) AS exact FROM e GROUP BY event_type UNION ALL SELECT NULL, count(*), count(DISTINCT user_id) FROM e)
+    SELECT coalesce(event_type, 'all') AS event_type, n, exact, true AS distinct_within, true AS median_within, true AS frequent_within FROM g""")
+def sketch_bounds(spark, d):
+    """Sketches per kind of event and day, rolled up to kinds and to all, held against exact values and stated bounds."""
+    e = A.events(spark, d).withColumn("day", F.to_date("ts"))
+    fine = sketches.sketched(e, ["event_type", "day"], F.col("value"), F.col("user_id"))
+    total = sketches.rolled_up(fine, []).withColumn("event_type", F.lit("all"))
+    told = sketches.estimates(sketches.rolled_up(fine, ["event_type"]).unionByName(total), top=3)
+    told = told.select("event_type", "n", "n_distinct", F.get("quantiles", 0).alias("median"), F.col("frequent"))
+    both = e.select("event_type", "user_id", "value").unionByName(e.select(F.lit("all").alias("event_type"), "user_id", "value"))
+    met = both.join(told.select("event_type", "median"), "event_type")
+    share = lambda c: F.avg(c.cast("double"))
+    exact = met.groupBy("event_type").agg(F.countDistinct("user_id").alias("exact"), share(F.col("value") < F.col("median")).alias("below"), share(F.col("value") <= F.col("median")).alias("upto"))
+    counts = both.groupBy("event_type", F.col("user_id").cast("string").alias("item")).agg(F.count("*").alias("c"))
+    often = told.select("event_type", F.explode("frequent").alias("f")).select("event_type", F.col("f.item").alias("item"), F.col("f.count").alias("told"))
+    often = often.join(counts, ["event_type", "item"]).join(told.select("event_type", "n"), "event_type")
+    often = often.groupBy("event_type").agg(F.min(F.abs(F.col("told") - F.col("c")) <= F.greatest(F.lit(1.0), F.col("n") * 0.01)).alias("frequent_within"))
+    off = sketches.rank_error()
+    return told.join(exact, "event_type").join(often, "event_type").select(
+        "event_type", "n", "exact", (F.abs(F.col("n_distinct") - F.col("exact")) <= F.greatest(F.lit(1.0), sketches.distinct_error() * F.col("exact"))).alias("distinct_within"),
+        ((F.col("below") <= 0.5 + off) & (F.col("upto") >= 0.5 - off)).alias("median_within"), "frequent_within")
+
+
+# --- functions in SQL
+
+
+@query(A.with_tables("notes") + """, g AS (SELECT song_id, start_sec, pitch, CASE WHEN start_sec - lag(start_sec) OVER (PARTITION BY song_id ORDER BY start_sec) > 0.5e0 THEN 1 ELSE 0 END AS cut FROM notes),
+    r AS (SELECT song_id, start_sec, sum(cut) OVER (PARTITION BY song_id ORDER BY start_sec ROWS UNBOUNDED PRECEDING) AS run FROM g), s AS (SELECT song_id, min(start_sec) AS first, max(start_sec) AS last, count(*) AS n FROM r GROUP BY song_id, run),
+    m AS (SELECT song_id, median(pitch) AS mid FROM notes GROUP BY song_id), a AS (SELECT n.song_id, median(abs(pitch - mid)) AS deviation FROM notes n JOIN m ON m.song_id = n.song_id GROUP BY n.song_id)
+    SELECT s.song_id, first, last, n, deviation FROM s JOIN a USING (song_id)""")
+def table_functions(spark, d):
+    """A table function over ordered partitions and an aggregate of our own, both called from SQL."""
+    sql_tables.register(spark)
+    A.notes(spark, d).createOrReplaceTempView("cadenza_notes")
+    return spark.sql("""
+        WITH s AS (SELECT * FROM stretches(TABLE(SELECT song_id, start_sec FROM cadenza_notes) PARTITION BY song_id ORDER BY (start_sec), 'start_sec', 0.5)),
+        a AS (SELECT song_id, median_deviation(pitch) AS deviation FROM cadenza_notes GROUP BY song_id)
+        SELECT s.song_id, s.first, s.last, s.n, a.deviation FROM s JOIN a ON a.song_id = s.song_id""")
+
+
+# --- stores
+
+
+@query(ORACLE["settings_upsert"])
+def store_upserts(spark, d):
+    """Settings that are stored and then replaced in part, read back from the store."""
+    tables = SharedTables(spark, "store")
+    s = read(spark, d, "customer").groupBy(F.concat(F.lit("k"), (F.col("c_custkey") % 50).cast("string")).alias("key")).agg(F.min("c_acctbal").alias("value"))
+    f = read(spark, d, "supplier").groupBy(F.concat(F.lit("k"), (F.col("s_suppkey") % 30).cast("string")).alias("key")).agg(F.max("s_acctbal").alias("value"))
+    store = KeyedStore(spark, f"{tables.root}/settings", s.schema)
+    store.upsert(s)
+    store.upsert(f)
+    return store.read()
