@@ -6,9 +6,10 @@ phrase ends. Shifting it by one position and ANDing it with another bitmap gives
 position lets no phrase through, so phrases stay inside their pieces. Popcounts are a shard's counts; their sums over
 all shards are exact.
 
-There are three rounds: words, pairs of words that are frequent everywhere, and then, from pairs that are frequent
+There are two rounds: all words and pairs of words where the texts are read, and then, from pairs that are frequent
 everywhere, all longer phrases depth first. A phrase that is frequent has only frequent parts, so nothing is lost; what
-a shard may extend comes to it by a join, never by a broadcast list.
+a shard may extend comes to it by a shuffle, never by a broadcast list. Pairs aren't held back for rare words: on large
+corpora nearly all words of a text are frequent, and a round of their own would shuffle all bitmaps for little.
 """
 
 from __future__ import annotations
@@ -26,7 +27,7 @@ from pyspark.sql import functions as F
 from .common import Scratch, short_batches
 from .words import SpaceWords
 
-#: Rows of a round's table: a phrase of a shard, or (code -1) the shard's bitmaps, with n its words.
+#: Rows of the first round: a pair of a shard, or (code -1) the pairs' bitmaps, with n the shard's words, or (-2) a word.
 SHARD = "shard long, lang string, code int, phrase string, n long, blob binary"
 _SCHEMA = pa.schema([("shard", pa.int64()), ("lang", pa.string()), ("code", pa.int32()), ("phrase", pa.string()), ("n", pa.int64()), ("blob", pa.binary())])
 _COUNTS = pa.schema([("lang", pa.string()), ("phrase", pa.string()), ("n", pa.int64())])
@@ -168,13 +169,21 @@ def word_bitmaps(words: pa.Array, new: np.ndarray, ahead: int, most: int) -> tup
     return coded.dictionary, Bitmaps.of(code * places + (at >> 3), bits, places)
 
 
-def _rows(shard: int, lang: str, phrases: pa.Array, n: np.ndarray, own: int, maps: Bitmaps) -> pa.RecordBatch:
-    k = len(phrases)
+#: Rows of a batch that a shard sends.
+SENT = 100_000
+
+
+def _rows(shard: int, lang: str, words: pa.Array, n_words: np.ndarray, pairs: pa.Array, n_pairs: np.ndarray, own: int, maps: Bitmaps) -> Iterator[pa.RecordBatch]:
+    codes = np.concatenate([np.arange(len(pairs)), np.full(len(words), -2), [-1]]).astype(np.int32)
     # words are cut at ASCII bytes only, so they are whole characters wherever the text is
-    phrases = pa.concat_arrays([phrases.cast(pa.binary()).view(pa.string()), pa.nulls(1, pa.string())])
-    return pa.RecordBatch.from_arrays([
-        pa.array(np.full(k + 1, shard)), pa.array([lang] * (k + 1), pa.string()), pa.array(np.append(np.arange(k), -1).astype(np.int32)), phrases,
-        pa.array(np.append(n, own)), pa.array([None] * k + [maps.packed()], pa.binary())], schema=_SCHEMA)
+    phrases = pa.concat_arrays([*(p.cast(pa.binary()).view(pa.string()) for p in (pairs, words)), pa.nulls(1, pa.string())])
+    n = np.concatenate([n_pairs, n_words, [own]])
+    for at in range(0, len(codes), SENT):
+        k = len(codes[at : at + SENT])
+        last = at + k == len(codes)
+        yield pa.RecordBatch.from_arrays([
+            pa.array(np.full(k, shard)), pa.array([lang] * k, pa.string()), pa.array(codes[at : at + k]), phrases.slice(at, k), pa.array(n[at : at + k]),
+            pa.array([None] * (k - last) + [maps.packed()] * last, pa.binary())], schema=_SCHEMA)
 
 
 def _shards(size: int, most: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
@@ -182,13 +191,17 @@ def _shards(size: int, most: int) -> Callable[[Iterator[pa.RecordBatch]], Iterat
         task, number = TaskContext.get().partitionId() << 32, 0
         streams: dict[str, _Stream] = {}
 
-        def flush(lang: str) -> pa.RecordBatch:
+        def flush(lang: str) -> Iterator[pa.RecordBatch]:
             nonlocal number
             words, new, ahead = streams[lang].shard(size)
             known, maps = word_bitmaps(words, new, ahead, most)
             code, place = maps.split()
+            n_words = popcounts(code, place, maps.bits, len(known), _prelude(most))
+            a, b, out = joined(Right(code, place, maps.bits, None, maps.places), code, place, maps.bits, None, len(known))
+            pairs = pc.binary_join_element_wise(known.take(pa.array(a)), known.take(pa.array(b)), pa.scalar(b" ", known.type))
+            n_pairs = popcounts(*out.split(), out.bits, len(a), _prelude(most))
             number += 1
-            return _rows(task + number, lang, known, popcounts(code, place, maps.bits, len(known), _prelude(most)), len(words) - ahead, maps)
+            return _rows(task + number, lang, known, n_words, pairs, n_pairs, len(words) - ahead, out)
 
         split = SpaceWords()
         for batch in batches:
@@ -201,17 +214,17 @@ def _shards(size: int, most: int) -> Callable[[Iterator[pa.RecordBatch]], Iterat
                         continue
                     stream.add(words, new)
                     while stream.size >= size:
-                        yield flush(lang)
+                        yield from flush(lang)
             while sum(s.size for s in streams.values()) > 2 * size:  # many languages
-                yield flush(max(streams, key=lambda k: streams[k].size))
+                yield from flush(max(streams, key=lambda k: streams[k].size))
         for lang, stream in streams.items():
             while stream.size:
-                yield flush(lang)
+                yield from flush(lang)
 
     return run
 
 
-def _known(blob: pa.Table, known: pa.Table) -> tuple[Bitmaps, np.ndarray, np.ndarray, np.ndarray, np.ndarray, pa.Array]:
+def _known(blob: pa.Table, known: pa.Table) -> tuple[Bitmaps, np.ndarray, np.ndarray, np.ndarray, pa.Array]:
     """A shard's bitmaps of the phrases that are frequent everywhere: bitmaps, code, place, bits (codes renumbered), and
     the phrases by code."""
     maps = Bitmaps.unpacked(blob["blob"][0].as_py())
@@ -221,22 +234,7 @@ def _known(blob: pa.Table, known: pa.Table) -> tuple[Bitmaps, np.ndarray, np.nda
     number[old] = np.arange(len(old))
     code = number[code]
     kept = code >= 0
-    return maps, code[kept], place[kept], maps.bits[kept], old, known["phrase"].combine_chunks().cast(pa.string())
-
-
-def _pairs(most: int) -> Callable[[pa.Table, pa.Table], pa.Table]:
-    def run(blob: pa.Table, known: pa.Table) -> pa.Table:
-        if not len(known):
-            return _SCHEMA.empty_table()
-        maps, code, place, bits, _, words = _known(blob, known)
-        right = Right(code, place, bits, None, maps.places)
-        a, b, out = joined(right, code, place, bits, None, len(words))
-        c, p = out.split()
-        phrases = pc.binary_join_element_wise(words.take(pa.array(a)), words.take(pa.array(b)), " ")
-        n = popcounts(c, p, out.bits, len(a), _prelude(most))
-        return pa.Table.from_batches([_rows(blob["shard"][0].as_py(), blob["lang"][0].as_py(), phrases, n, 0, out)])
-
-    return run
+    return maps, code[kept], place[kept], maps.bits[kept], known["phrase"].combine_chunks().cast(pa.string())
 
 
 def _longer(most: int) -> Callable[[pa.Table, pa.Table], pa.Table]:
@@ -245,7 +243,7 @@ def _longer(most: int) -> Callable[[pa.Table, pa.Table], pa.Table]:
     def run(blob: pa.Table, known: pa.Table) -> pa.Table:
         if not len(known):
             return _COUNTS.empty_table()
-        maps, code, place, bits, _, pairs = _known(blob, known)
+        maps, code, place, bits, pairs = _known(blob, known)
         order = np.argsort(code * maps.places + place)
         code, place, bits = code[order], place[order], bits[order]
         both = pc.split_pattern(pairs, " ")
@@ -285,23 +283,20 @@ def phrase_counts(docs: DataFrame, scratch: Scratch, least: int = 100, most: int
         raise ValueError("phrases of two words or more, a least count and shards of one or more are needed")
     short_batches(docs.sparkSession)
     source = docs.select(F.coalesce(F.col(lang).cast("string"), F.lit("und")).alias("lang"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    summed = lambda t: t.groupBy("lang", "phrase").agg(F.sum("n").alias("f")).where(F.col("f") >= least)
-
-    def round_of(table: DataFrame, frequent: DataFrame, run, schema: str) -> DataFrame:
-        known = table.where("code >= 0").join(frequent.select("lang", "phrase"), ["lang", "phrase"]).select(F.col("shard").alias("of"), "code", "phrase")
-        blobs = table.where("code = -1").select("shard", "lang", "blob")
-        return blobs.groupBy("shard").cogroup(known.groupBy("of")).applyInArrow(run, schema)
-
-    words = scratch.write(source.mapInArrow(_shards(shard, most), SHARD), "words")
-    frequent = [scratch.write(summed(words.where("code >= 0")), "f1")]
-    total = scratch.write(words.where("code = -1").groupBy("lang").agg(F.sum("n").alias("n")), "total")
-    pairs = scratch.write(round_of(words, frequent[0], _pairs(most), SHARD), "pairs")
-    scratch.drop("words")
-    frequent.append(scratch.write(summed(pairs.where("code >= 0")), "f2"))
+    often = F.col("f") >= least
+    first = scratch.write(source.mapInArrow(_shards(shard, most), SHARD), "first", "zstd")
+    total = scratch.write(first.where("code = -1").groupBy("lang").agg(F.sum("n").alias("n")), "total")
+    frequent = [scratch.write(first.where("code = -2").groupBy("lang", "phrase").agg(F.sum("n").alias("f")).where(often), "words")]
+    # a pair's counts are summed where its rows meet, a row a shard at most, so that they are shuffled once
+    pairs = first.where("code >= 0").select("shard", "lang", "code", "phrase", "n").withColumn("f", F.sum("n").over(Window.partitionBy("lang", "phrase"))).where(often).drop("n")
+    pairs = scratch.write(pairs, "pairs", "zstd")
+    frequent.append(scratch.write(pairs.select("lang", "phrase", "f").distinct(), "two"))
     if most > 2:
-        longer = round_of(pairs, frequent[1], _longer(most), "lang string, phrase string, n long")
-        frequent.append(scratch.write(summed(longer), "f3"))
-    scratch.drop("pairs")
+        blobs = first.where("code = -1").select("shard", "lang", "blob")
+        known = pairs.select(F.col("shard").alias("of"), "code", "phrase")
+        longer = blobs.groupBy("shard").cogroup(known.groupBy("of")).applyInArrow(_longer(most), "lang string, phrase string, n long")
+        frequent.append(scratch.write(longer.groupBy("lang", "phrase").agg(F.sum("n").alias("f")).where(often), "longer"))
+    scratch.drop("first", "pairs")
     every = frequent[0]
     for f in frequent[1:]:
         every = every.unionByName(f)

@@ -73,14 +73,15 @@ class Scratch:
         kept = self.write(df.observe(seen, *aggregates), name)
         return kept, seen.get
 
-    def write(self, df: DataFrame, name: str) -> DataFrame:
+    def write(self, df: DataFrame, name: str, codec: str | None = None) -> DataFrame:
+        """Store a frame and read it back; ``codec`` is Parquet's, the session's if not told."""
         path = f"{self.root}/{name}"
         # the table stands for its plan from now on, so the plan's shuffle files go as soon as it is written
         key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
         before = self.spark.conf.get(key, "false")
         self.spark.conf.set(key, "true")
         try:
-            df.write.mode("overwrite").parquet(path)
+            df.write.mode("overwrite").options(**({"compression": codec} if codec else {})).parquet(path)
         finally:
             self.spark.conf.set(key, before)
         return self.spark.read.schema(df.schema).parquet(path)
