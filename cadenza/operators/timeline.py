@@ -115,10 +115,12 @@ def interpolated_points(queries: DataFrame, frames: DataFrame, points: DataFrame
     near = near.where(F.col("mode").isNotNull())
     span = F.col("after_at") - F.col("before_at")
     near = near.withColumn("w", F.when(F.col("mode") == "before", 0.0).when(F.col("mode") == "after", 1.0).otherwise(F.coalesce(F.try_divide(F.col(at) - F.col("before_at"), span), F.lit(0.0))))
-    side = lambda frame, modes, s: (
-        near.where(F.col("mode").isin(modes)).select(*keys, query_id, "w", F.col(frame).alias("frame_idx"))
-        .join(points, [*keys, "frame_idx"]).select(*keys, query_id, "w", F.lit(s).alias("side"), "hand", "finger", "x", "y"))
-    all_points = side("before_id", ["lerp", "before"], 0).union(side("after_id", ["lerp", "after"], 1))
+    # a query and a frame it looks at, one or two rows a query, so that points are joined once
+    looks = F.array_compact(F.array(
+        F.when(F.col("mode").isin("lerp", "before"), F.struct(F.col("before_id").alias("frame_idx"), F.lit(0).alias("side"))),
+        F.when(F.col("mode").isin("lerp", "after"), F.struct(F.col("after_id").alias("frame_idx"), F.lit(1).alias("side")))))
+    near = near.select(*keys, query_id, "w", F.explode(looks).alias("l")).select(*keys, query_id, "w", "l.frame_idx", "l.side")
+    all_points = near.join(points, [*keys, "frame_idx"]).select(*keys, query_id, "w", "side", "hand", "finger", "x", "y")
     v = lambda c, s: F.max(F.when(F.col("side") == s, F.col(c)))
     got = all_points.groupBy(*keys, query_id, "hand", "finger").agg(F.max("w").alias("w"), v("x", 0).alias("x0"), v("x", 1).alias("x1"), v("y", 0).alias("y0"), v("y", 1).alias("y1"))
     mixed = lambda a, b: F.when(F.col(a).isNull(), F.col(b)).when(F.col(b).isNull(), F.col(a)).otherwise(F.col(a) + F.col("w") * (F.col(b) - F.col(a)))

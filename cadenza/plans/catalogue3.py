@@ -6,13 +6,14 @@ from pyspark.sql import functions as F
 
 from ..functions import tables as sql_tables
 from ..operators import landmarks, pictures, signal, sketches
+from ..operators import notes as N
 from ..sources import midi, midi_source
 from ..sources.store import KeyedStore
 from ..sources.shared import SharedTables
 from . import analogue as A
 from ..streaming import joins
-from . import catalogue2  # noqa: F401  (its queries come first)
-from .catalogue import ORACLE, QUERIES, K, query, read  # noqa: F401
+from . import catalogue2, files, render  # noqa: F401  (its queries come first)
+from .catalogue import _REFS, ORACLE, QUERIES, K, _d, query, read  # noqa: F401
 
 
 # --- MIDI folders, written and read back
@@ -300,3 +301,39 @@ def store_upserts(spark, d):
     store.upsert(s)
     store.upsert(f)
     return store.read()
+
+
+# --- renders and whole folders
+
+
+@query(A.with_tables("notes", "frames") + "," + _PATCH + f""",
+    d AS (SELECT s.*, n.pitch FROM sampled s JOIN notes n ON n.song_id = s.song_id AND n.note_idx = s.note_idx), k AS (SELECT pitch, median(r) AS r, median(g) AS g, median(b) AS b FROM d GROUP BY pitch),
+    l AS (SELECT d.*, sqrt((d.r - k.r) ** 2 + (d.g - k.g) ** 2 + (d.b - k.b) ** 2) > 40 AS lit, row_number() OVER (PARTITION BY song_id, note_idx ORDER BY time_sec, d.r, d.g, d.b) AS nth FROM d JOIN k ON k.pitch = d.pitch),
+    s AS (SELECT *, bool_or(lit AND time_sec >= start_sec) OVER (w ROWS UNBOUNDED PRECEDING) AS seen,
+        NOT lit AND NOT coalesce(lead(lit, 1) OVER w, true) AND NOT coalesce(lead(lit, 2) OVER w, true) AS run FROM l WINDOW w AS (PARTITION BY song_id, note_idx ORDER BY time_sec)),
+    e AS (SELECT song_id, note_idx, min(time_sec) FILTER (seen AND run) AS lit_end FROM s GROUP BY ALL),
+    h AS (SELECT song_id, note_idx, least({_d(_REFS['LH_white'])}, {_d(_REFS['LH_black'])}) AS l, least({_d(_REFS['RH_white'])}, {_d(_REFS['RH_black'])}) AS r FROM l AS d WHERE nth = 1),
+    c AS (SELECT n.*, h.l, h.r, least(duration_sec, lit_end - start_sec) AS cut FROM notes n JOIN h ON h.song_id = n.song_id AND h.note_idx = n.note_idx JOIN e ON e.song_id = n.song_id AND e.note_idx = n.note_idx)
+    SELECT song_id, note_idx, onset_tick, pitch, CASE WHEN l <= r THEN 'L' ELSE 'R' END AS hand, round(CASE WHEN l + r = 0 THEN 1 ELSE greatest(l, r) / (l + r) END, 4) AS confidence, start_sec,
+      CASE WHEN cut >= 0.05::DOUBLE THEN cut ELSE duration_sec END AS duration_sec, CASE WHEN cut >= 0.05::DOUBLE AND cut <> duration_sec THEN round(cut, 4) END AS trimmed_sec FROM c""")
+def picture_render(spark, d):
+    """A rendered video's notes from its pictures: hands by the first sample of all, durations until keys go dark."""
+    tables = SharedTables(spark, "render")
+    s, n = tables.write(_samples(spark, d), "samples"), A.notes(spark, d)
+    base = N.key_baselines(s.join(n.select(*K, "note_idx", "pitch"), [*K, "note_idx"]))
+    return render.analyse_render(n, s, base, _REFS)
+
+
+@query(A.with_tables("notes") + "SELECT song_id, count(*) AS notes, true AS same_fingering, true AS same_midi, 'DISCLAIMER.txt,fingering.json,manifest.json,song.mid' AS names FROM notes GROUP BY song_id")
+def folder_analysis(spark, d):
+    """Songs from a MIDI folder and nested landmarks to fingerings, cut MIDI and bundles, all read again."""
+    _, _, tables = _song_events(spark, d)
+    out = f"{tables.root}/out"
+    files.analyse_folder(spark, f"{tables.root}/songs", _nested(spark, d), lambda x, y: 21 + (x - 40) / 12.0, out, disclaimer="No warranty.")
+    song = lambda ending: F.regexp_extract("path", rf"([^/]*)\.{ending}$", 1).alias("song_id")
+    read_files = lambda kind, ending: spark.read.format("binaryFile").load(f"{out}/{kind}").select(song(ending), "content")
+    notes = midi.read_notes(tables.write(spark.read.format("midi").load(f"{out}/midi"))).groupBy(song("mid")).agg(F.count("*").alias("notes"))
+    zips = read_files("bundles", "zip").mapInPandas(files.opened, "song_id string, names string, fingering string, midi binary")
+    loose = read_files("fingerings", "json").select("song_id", F.col("content").alias("text")).join(read_files("midi", "mid").select("song_id", F.col("content").alias("mid")), "song_id")
+    told = lambda c: F.from_json(c.cast("string"), "version INT, notes ARRAY<STRUCT<onset_tick: BIGINT, pitch: INT, hand: STRING, finger: INT, start_sec: DOUBLE, corrected_end_sec: DOUBLE>>")
+    return zips.join(loose, "song_id").join(notes, "song_id").select("song_id", "notes", (told(F.col("fingering")) == told(F.col("text"))).alias("same_fingering"), (F.col("midi") == F.col("mid")).alias("same_midi"), "names")

@@ -7,30 +7,24 @@ from pyspark.sql import functions as F
 
 from ..functions.colour import nearest_reference
 from ..operators import notes as N
-from ..operators import signal
+from ..operators import pictures, signal
 
 KEY = ["song_id"]
 #: A key that was never sampled counts as this grey.
 UNKNOWN_KEY = 200.0
 
 
-def onset_colours(samples: DataFrame) -> DataFrame:
-    """Each note's first sample at or after its onset: song_id, note_idx, r, g, b."""
-    s = samples.where("time_sec >= start_sec").groupBy(*KEY, "note_idx").agg(F.min(F.struct("time_sec", "r", "g", "b")).alias("s"))
-    return s.select(*KEY, "note_idx", "s.r", "s.g", "s.b")
-
-
 def analyse_render(notes: DataFrame, samples: DataFrame, baselines: DataFrame, references: dict[str, tuple[float, float, float]] | None = None, flip: bool = False, threshold: float = 40.0) -> DataFrame:
     """Hand and confidence by colour, and durations cut where keys go dark, for every note.
 
     ``notes``: song_id, note_idx, onset_tick, pitch, start_sec, duration_sec. ``samples``: song_id, note_idx, time_sec, r,
-    g, b at the note's key. ``baselines``: pitch, r, g, b of unlit keys. With ``references``, picked colours, a note gets
+    g, b at the note's key, which may begin just before its onset: the first sample of all is its colour. ``baselines``: pitch, r, g, b of unlit keys. With ``references``, picked colours, a note gets
     the nearest one's hand, else two clusters of a song's hues tell. Notes without a colour get the first reference's
     hand, or else by pitch, at confidence 0. ``trimmed_sec`` is null where the duration stays.
     """
     n = notes.select(*KEY, "note_idx", "onset_tick", "pitch", "start_sec", "duration_sec")
     s = samples.select(*KEY, "note_idx", "time_sec", "r", "g", "b").join(n.select(*KEY, "note_idx", "pitch", "start_sec"), [*KEY, "note_idx"])
-    coloured = n.join(onset_colours(s), [*KEY, "note_idx"], "left")
+    coloured = n.join(pictures.onset_colours(s, KEY), [*KEY, "note_idx"], "left")
     if references is not None:
         hand, sure = nearest_reference([F.col(c) for c in "rgb"], references, flip)
         hands = coloured.select(*KEY, "note_idx", hand.alias("hand"), sure.alias("confidence"))
