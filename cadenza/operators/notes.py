@@ -74,6 +74,30 @@ def recovery_targets(frames: DataFrame, points: DataFrame, notes: DataFrame, cov
     return out.withColumn("_n", F.row_number().over(Window.partitionBy(*KEY).orderBy("frame_idx"))).where(F.col("_n") <= most).drop("_n")
 
 
+def recovery_crops(targets: DataFrame, to_x, width: int, top: int, bottom: int, key_width: float, margin_keys: float = 4.0) -> DataFrame:
+    """Where to look again: targets (song_id, frame_idx, x_min, x_max in white keys) with the crop's cx1, cx2, cy1, cy2.
+
+    ``to_x`` turns white keys into screen positions; the crop is the band from ``top`` to ``bottom`` around them, wider by
+    four keys and by 60 pixels at least. Crops of less than 20 pixels either way are left out.
+    """
+    margin = max(60.0, margin_keys * key_width)
+    a, b = to_x(F.col("x_min")), to_x(F.col("x_max"))
+    out = targets.withColumns({
+        "cx1": F.greatest(F.lit(0), (F.least(a, b) - margin).cast("int")), "cx2": F.least(F.lit(width), (F.greatest(a, b) + margin).cast("int")), "cy1": F.lit(top), "cy2": F.lit(bottom)})
+    return out.where("cx2 - cx1 >= 20 AND cy2 - cy1 >= 20")
+
+
+def recovery_counts(targets: DataFrame, looked: DataFrame, merged: DataFrame, tracked: DataFrame) -> DataFrame:
+    """What a second look came to, a row a song that had targets: problem_frames (``targets``), reran (``looked``),
+    hands_recovered (``merged``) and frames_now_dual: frames looked at that show both hands with the new ones."""
+    k = [*KEY, "frame_idx"]
+    n = lambda d, name: d.groupBy(*KEY).agg(F.count("*").alias(name))
+    hands = tracked.select(*k, "hand").unionByName(merged.select(*k, "hand")).groupBy(*k).agg(F.count("*").alias("_n")).where("_n >= 2")
+    again = looked.select(*k).distinct()
+    out = n(targets.select(*k).distinct(), "problem_frames").join(n(again, "reran"), KEY, "left").join(n(merged.join(again, k, "left_semi"), "hands_recovered"), KEY, "left")
+    return out.join(n(again.join(hands, k, "left_semi"), "frames_now_dual"), KEY, "left").fillna(0)
+
+
 def without_neighbours(recovered: DataFrame, tracked: DataFrame, reach: float) -> DataFrame:
     """Recovered hands (song_id, frame_idx, x) that no tracked hand of their frame is within ``reach`` of."""
     own = tracked.select(*(F.col(c).alias(f"_{c}") for c in (*KEY, "frame_idx", "x")))

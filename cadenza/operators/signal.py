@@ -44,7 +44,10 @@ def estimated_offset(presses: DataFrame, onsets: DataFrame, keys: list[str], at:
     hist = lambda d, name: d.where(F.col(at) >= 0).groupBy(*keys, (F.col(at) / F.lit(float(width))).cast("int").alias("bin")).agg(F.count("*").alias(name))
     a, b = hist(presses, "p"), hist(onsets, "o").withColumnRenamed("bin", "ob")
     shifts = a.select(*keys).distinct().join(b.select(*keys).distinct(), keys).withColumn("shift", F.explode(F.sequence(F.lit(-steps), F.lit(steps)))).withColumn("product", F.lit(0).cast("long"))
-    met = b.withColumn("shift", F.explode(F.sequence(F.lit(-steps), F.lit(steps)))).withColumn("bin", F.col("ob") + F.col("shift")).join(a, [*keys, "bin"])
+    # bins that are at most so many apart are in the same or in neighbouring stretches of that length
+    stretch = F.floor(F.col("ob") / F.lit(max(1, steps)))
+    near = b.withColumn("stretch", F.explode(F.array(stretch - 1, stretch, stretch + 1)))
+    met = near.join(a.withColumn("stretch", F.floor(F.col("bin") / F.lit(max(1, steps)))), [*keys, "stretch"]).withColumn("shift", F.col("bin") - F.col("ob")).where(F.abs("shift") <= steps)
     met = met.select(*keys, "shift", (F.col("p") * F.col("o")).alias("product"))
     total = shifts.select(*keys, "shift", "product").union(met).groupBy(*keys, "shift").agg(F.sum("product").alias("score"))
     best = total.groupBy(*keys).agg(F.min(F.struct((-F.col("score")).alias("s"), "shift")).alias("b"))

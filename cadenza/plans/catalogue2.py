@@ -184,13 +184,17 @@ _RECOVERED = """rc AS (SELECT song_id, note_idx AS frame_idx, 0 AS pos, 'L' AS h
     SELECT song_id, frame_idx, pos, CASE WHEN n = 1 AND row_number() OVER (PARTITION BY song_id, frame_idx ORDER BY pos) = 1 THEN CASE WHEN label = 'L' THEN 'R' ELSE 'L' END ELSE hand END AS hand, x FROM kept LEFT JOIN own USING (song_id, frame_idx)""")
 def recovered_hands(spark, d):
     """Hands of a second look that the first lacks."""
+    return N.merged_recoveries(_found(spark, d), _tracked(spark, d))
+
+
+def _found(spark, d):
+    """Two hands that a second look found in each frame."""
     n = A.notes(spark, d)
     found = [
         F.struct(F.lit(0).alias("pos"), F.lit("L").alias("hand"), ((F.col("event_id") * 31) % 900).cast("double").alias("x")),
         F.struct(F.lit(1).alias("pos"), F.when(F.col("event_id") % 2 == 0, "L").otherwise("R").alias("hand"), ((F.col("event_id") * 31 + F.col("event_id") % 11 * 20) % 900).cast("double").alias("x")),
     ]
-    r = n.select(*K, F.col("note_idx").alias("frame_idx"), F.explode(F.array(*found)).alias("f")).select(*K, "frame_idx", "f.*")
-    return N.merged_recoveries(r, _tracked(spark, d))
+    return n.select(*K, F.col("note_idx").alias("frame_idx"), F.explode(F.array(*found)).alias("f")).select(*K, "frame_idx", "f.*")
 
 
 @query(A.with_tables("notes") + """, e AS (SELECT song_id, note_idx AS i, (event_id * 37 % 101)::DOUBLE AS strength FROM notes), o AS (SELECT song_id, start_sec AS t FROM notes), p AS (SELECT song_id, max(strength) AS peak, max(i) AS last FROM e GROUP BY song_id),

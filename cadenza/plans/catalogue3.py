@@ -337,3 +337,46 @@ def folder_analysis(spark, d):
     loose = read_files("fingerings", "json").select("song_id", F.col("content").alias("text")).join(read_files("midi", "mid").select("song_id", F.col("content").alias("mid")), "song_id")
     told = lambda c: F.from_json(c.cast("string"), "version INT, notes ARRAY<STRUCT<onset_tick: BIGINT, pitch: INT, hand: STRING, finger: INT, start_sec: DOUBLE, corrected_end_sec: DOUBLE>>")
     return zips.join(loose, "song_id").join(notes, "song_id").select("song_id", "notes", (told(F.col("fingering")) == told(F.col("text"))).alias("same_fingering"), (F.col("midi") == F.col("mid")).alias("same_midi"), "names")
+
+
+# --- rows of keys, second looks
+
+
+ORACLE["keyboard_rows"] = f"""WITH {catalogue2._CENTROIDS},
+    anchors AS (SELECT n_nationkey, ({catalogue2._white('pitch')} - {catalogue2._white('36')}) / ({catalogue2._white('96')} - {catalogue2._white('36')}) AS u, x, 3e2 AS y FROM k),
+    moments AS (SELECT n_nationkey, var_pop(u) AS uu, covar_pop(x, u) AS xu, covar_pop(y, u) AS yu, covar_pop(u * x, u) AS uxu, covar_pop(u * y, u) AS uyu, covar_pop(x, u * x) AS xux, covar_pop(y, u * y) AS yuy,
+        var_pop(u * x) AS uxux, var_pop(u * y) AS uyuy, avg(u) AS mu, avg(x) AS mx, avg(y) AS my, avg(u * x) AS mux, avg(u * y) AS muy FROM anchors GROUP BY n_nationkey),
+    slant AS (SELECT *, -((xux - xu * uxu / uu) + (yuy - yu * uyu / uu)) / ((uxux - uxu * uxu / uu) + (uyuy - uyu * uyu / uu)) AS e FROM moments),
+    fitted AS (SELECT *, (xu + e * uxu) / uu AS a, (yu + e * uyu) / uu AS c FROM slant)
+    SELECT n_nationkey, round(a, 6) AS a, round(mx + e * mux - a * mu, 6) AS b, round(c, 6) AS c, round(my + e * muy - c * mu, 6) AS d, round(e, 6) AS e FROM fitted"""
+
+_TARGETS = """, h AS (SELECT f.song_id, f.frame_idx, f.time_sec, count(DISTINCT p.hand) AS hands FROM frames f LEFT JOIN points p ON p.song_id = f.song_id AND p.frame_idx = f.frame_idx GROUP BY ALL),
+    w AS (SELECT song_id, frame_idx, hand, avg(wi) AS wi FROM points WHERE finger = 6 GROUP BY ALL),
+    u AS (SELECT h.*, n.wi AS nwi FROM h JOIN notes n ON n.song_id = h.song_id AND h.time_sec >= n.start_sec - 0.03::DOUBLE AND h.time_sec <= n.start_sec + n.duration_sec + 0.03::DOUBLE
+        WHERE hands < 2 AND NOT EXISTS (SELECT 1 FROM w WHERE w.song_id = h.song_id AND w.frame_idx = h.frame_idx AND abs(w.wi - n.wi) <= 5)),
+    ta AS (SELECT song_id, frame_idx, min(nwi) AS x_min, max(nwi) AS x_max FROM u GROUP BY ALL)"""
+
+
+@query(A.with_tables("notes", "frames", "points") + _TARGETS + """, c AS (SELECT song_id, frame_idx, greatest(0, trunc(x_min * 20 - 80)::INTEGER) AS cx1, least(900, trunc(x_max * 20 + 80)::INTEGER) AS cx2, 200 AS cy1, 420 AS cy2 FROM ta)
+    SELECT * FROM c WHERE cx2 - cx1 >= 20""")
+def recovery_crops(spark, d):
+    """Where a second look for missing hands looks."""
+    t = N.recovery_targets(A.frames(spark, d), A.points(spark, d), A.notes(spark, d))
+    return N.recovery_crops(t, lambda wi: wi * 20.0, 900, 200, 420, 20.0).select(*K, "frame_idx", "cx1", "cx2", "cy1", "cy2")
+
+
+@query(A.with_tables("notes", "frames", "points") + ", " + catalogue2._RECOVERED + ", " + catalogue2._TRACKED + _TARGETS + """,
+    lo AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY song_id ORDER BY frame_idx) AS k FROM ta) WHERE k <= 40),
+    far AS (SELECT rc.* FROM rc WHERE NOT EXISTS (SELECT 1 FROM tr WHERE tr.song_id = rc.song_id AND tr.frame_idx = rc.frame_idx AND abs(tr.x - rc.x) < 60)),
+    kept AS (SELECT * FROM far b WHERE pos = 0 OR NOT EXISTS (SELECT 1 FROM far a WHERE a.song_id = b.song_id AND a.frame_idx = b.frame_idx AND a.pos = 0 AND abs(a.x - b.x) < 60)),
+    me AS (SELECT kept.* FROM kept JOIN lo ON lo.song_id = kept.song_id AND lo.frame_idx = kept.frame_idx),
+    du AS (SELECT song_id, frame_idx FROM (SELECT song_id, frame_idx FROM tr UNION ALL SELECT song_id, frame_idx FROM me) GROUP BY ALL HAVING count(*) >= 2)
+    SELECT song_id, (SELECT count(*) FROM ta t WHERE t.song_id = s.song_id) AS problem_frames, (SELECT count(*) FROM lo t WHERE t.song_id = s.song_id) AS reran, (SELECT count(*) FROM me t WHERE t.song_id = s.song_id) AS hands_recovered,
+      (SELECT count(*) FROM lo t JOIN du ON du.song_id = t.song_id AND du.frame_idx = t.frame_idx WHERE t.song_id = s.song_id) AS frames_now_dual FROM (SELECT DISTINCT song_id FROM ta) s""")
+def recovery_counts(spark, d):
+    """What a second look at up to forty frames a song came to."""
+    frames, points, notes = A.frames(spark, d), A.points(spark, d), A.notes(spark, d)
+    t, looked = N.recovery_targets(frames, points, notes), N.recovery_targets(frames, points, notes, most=40)
+    found = catalogue2._found(spark, d).join(looked.select(*K, "frame_idx"), [*K, "frame_idx"], "left_semi")
+    tracked = catalogue2._tracked(spark, d)
+    return N.recovery_counts(t, looked, N.merged_recoveries(found, tracked), tracked)

@@ -52,5 +52,27 @@ def test_homography(spark):
     got = one(spark, u, v)
     assert abs(got[0] - 0.5) < 1e-9 and abs(got[1] - 0.5) < 1e-9
     row = music.fit_row([0.0, 0.5, 1.0], [10.0, 60.0, 110.0], [5.0, 5.0, 5.0])
-    assert row is None or abs(row[0] - 100) < 1e-6
+    assert all(abs(a - b) < 1e-6 for a, b in zip(row, [100, 10, 0, 5, 0], strict=True))
+    assert music.fit_row([0.0, 1.0], [0.0, 1.0], [0.0, 0.0]) is None and music.fit_row([0.5] * 4, [1.0] * 4, [2.0] * 4) is None
     assert keyboard.crop_box([100.0, 0.0, 0.0, 500.0, 0.0], 1920, 1080)[0] == 100
+
+
+def test_row_fits_are_least_squares(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(7)
+    rows, want = [], {}
+    for k in range(6):
+        a, b, c, d, e = rng.uniform(200, 1800), rng.uniform(0, 100), rng.uniform(-50, 50), rng.uniform(100, 900), rng.uniform(-0.3, 0.5)
+        u = np.sort(rng.uniform(0, 1, 36))
+        w = e * u + 1
+        x, y = (a * u + b) / w + rng.normal(0, k, 36), (c * u + d) / w + rng.normal(0, k, 36)
+        want[k] = music.fit_row(u.tolist(), x.tolist(), y.tolist())
+        rows += [(k, *map(float, p)) for p in zip(u, x, y, strict=True)]
+        if not k:
+            assert np.allclose(want[0], [a, b, c, d, e])
+    rows += [(90, 0.1, 1.0, 1.0), (90, 0.2, 2.0, 1.0), (91, 0.5, 1.0, 2.0), (91, 0.5, 2.0, 3.0), (91, 0.5, 3.0, 4.0), (92, None, 1.0, 1.0)]
+    got = {r.k: r.row for r in keyboard.row_fits(spark.createDataFrame(rows, "k int, u double, x double, y double"), ["k"]).collect()}
+    assert set(got) == set(want)
+    for k, row in want.items():
+        assert np.allclose(got[k], row, rtol=1e-6, atol=1e-6)
