@@ -7,10 +7,13 @@ are compared too: those that begin and end with a bigram of the template, as no
 
 from __future__ import annotations
 
+import math
 import re
-from bisect import bisect_left
+from array import array
+from bisect import bisect_left, insort
 from collections import Counter
 from collections.abc import Iterable, Iterator
+from heapq import heappop, heappush
 from pathlib import Path
 
 import numpy as np
@@ -119,33 +122,62 @@ class Scanner:
                 best = dice, name
         return best
 
-    def ends(self, pairs: list[str], before: np.ndarray, low: int, high: int, name: str, shared: int) -> Iterator[tuple[int, float, str, int, int]]:
-        """Per bigram of the template in low to high the closest span from there: bigrams shared, Dice, name, first and last word + 1."""
+    def ends(self, pairs: list[str], before: np.ndarray, after: np.ndarray, low: int, high: int, name: str) -> Iterator[tuple[int, float, str, int, int]]:
+        """Per bigram of the template in low to high the closest span from there: bigrams shared, Dice, name, first and last word + 1.
+
+        Only places where a bigram comes up for the first time since the start change a span's Dice. They are kept in
+        order from start to start: a start leaves, the next place of its bigram comes in. So a start costs what the
+        template holds, however often the text repeats itself. Where all bigrams up to the next start come again
+        before any span can match, both starts have the same closest end.
+        """
         mine, t = self.whole[name], self.threshold
         b = len(mine)
-        most = b * (2 - t) / t
+        most = int(b * (2 - t) / t) + 1
         mark = np.fromiter((p in mine for p in pairs[low:high]), bool, high - low)
-        starts = np.flatnonzero(mark)
-        for k, i in enumerate(starts.tolist()):
-            if (len(starts) - k) * (2 - t) < b * t - 1e-9:
-                break
-            length = 2 * int(most) + 2
-            while True:
-                new = before[low + i : min(low + i + length, high)] < low + i
-                size, hit = np.cumsum(new), np.cumsum(new & mark[i : i + length])
-                if low + i + length >= high or size[-1] > most or hit[-1] == shared:
-                    break
-                length *= 2
-            dice = 2 * hit / (size + b)
-            j = int(dice.argmax())
-            if dice[j] >= t:
-                yield int(hit[j]), float(dice[j]), name, low + i, low + i + j + 2
+        # distinct bigrams of the template from each place on
+        left = np.cumsum((mark & (after[low:high] >= high))[::-1])[::-1]
+        useful = np.flatnonzero(mark & (left * (2 - t) >= b * t - 1e-9))
+        if not len(useful):
+            return
+        i = low + int(useful[0])
+        new = i + np.flatnonzero(before[i:high] < i)
+        near, rest, at, later = array("q", new[: 2 * most].tolist()), new[2 * most :].tolist(), 0, []
+        nexts, marked = after[low : low + int(useful[-1]) + 1].tolist(), mark.tolist()
+        following = np.append(useful[1:], len(nexts)).tolist()[::-1]
+        fewest, rising, same = math.ceil(b * t / (2 - t) - 1e-9), np.arange(1, most + 1) + b, []
+        for i in range(i, low + len(nexts)):
+            again = nexts[i - low]
+            if marked[i - low]:
+                same.append(i)
+                then = following.pop()
+                if then == len(nexts) or len(near) < fewest or max(nexts[i - low : then]) >= near[fewest - 1]:
+                    places = np.frombuffer(near, np.int64, min(len(near), most))
+                    hit = np.cumsum(mark[places - low])
+                    dice = 2 * hit / rising[: len(hit)]
+                    j = int(dice.argmax())
+                    if dice[j] >= t:
+                        yield from ((int(hit[j]), float(dice[j]), name, k, int(places[j]) + 2) for k in same)
+                    del places
+                    same.clear()
+            near.pop(0)
+            if again < high:
+                if near and again < near[-1]:
+                    insort(near, again)
+                else:
+                    heappush(later, again)
+            if len(near) < most:
+                while len(near) < 2 * most and (at < len(rest) or later):
+                    if at < len(rest) and not (later and later[0] < rest[at]):
+                        near.append(rest[at])
+                        at += 1
+                    else:
+                        near.append(heappop(later))
 
     def spans(self, words: list[str]) -> list[tuple[int, float, str, int, int]]:
         """Spans that match and don't overlap: of a template the closest, of several those that share most, then the closest."""
         pairs = list(map(" ".join, zip(words, words[1:], strict=False)))
         taken: list[tuple[int, float, str, int, int]] = []
-        todo, before = [(0, len(pairs))], None
+        todo, before, after = [(0, len(pairs))], None, None
         while todo:
             low, high = todo.pop()
             known = self.held.intersection(pairs[low:high])
@@ -159,6 +191,9 @@ class Scanner:
                 for i, p in enumerate(pairs):
                     before[i] = last.get(p, -1)
                     last[p] = i
+                after = np.full(len(pairs), len(pairs), np.int64)
+                again = np.flatnonzero(before >= 0)
+                after[before[again]] = again
 
             def apart(found: Iterable[tuple[int, float, str, int, int]]) -> tuple[list[tuple[int, float, str, int, int]], np.ndarray]:
                 free, out = np.ones(high - low + 1, bool), []
@@ -168,7 +203,7 @@ class Scanner:
                         out.append(f)
                 return out, free
 
-            each = [apart(sorted(self.ends(pairs, before, low, high, name, shared[name]), key=lambda f: (-f[1], -f[0], f[3])))[0] for name in names]
+            each = [apart(sorted(self.ends(pairs, before, after, low, high, name), key=lambda f: (-f[1], -f[0], f[3])))[0] for name in names]
             found, free = apart(sorted((f for e in each for f in e), key=lambda f: (-f[0], -f[1], *f[2:])))
             taken += found
             if found:  # what is left between them is looked at again

@@ -1,7 +1,9 @@
 """Licences inside other text."""
 
 import random
+import time
 
+import numpy as np
 import pytest
 
 from cadenza.llm import license_scan as L
@@ -41,3 +43,35 @@ def test_spans_against_all_windows():
         assert max((x[1] for x in spans), default=None) == (due if due >= 0.8 else None)
         places = sorted(x[3:] for x in spans)
         assert all(a[1] <= b[0] for a, b in zip(places, places[1:], strict=False))
+
+
+def test_repetitive_texts_are_linear(scanner):
+    mit, gpl = L.TEXTS["MIT-text"], L.TEXTS["GPL-2.0-text"]
+    n = 1_000_000
+    for text, name in [(mit + " of the software" * (n // 16), "MIT-text"), ("of the software " * (n // 16) + mit, "MIT-text"), ("\n".join([mit] * (n // len(mit))), "MIT-text"),
+                       (gpl + " of the software" * (n // 16), "GPL-2.0-text"), ("word " * (n // 5) + gpl, "GPL-2.0-text"), ("of the software " * (n // 16), None)]:
+        began = time.process_time()
+        spans = scanner.spans([w.lower() for w in L.WORD.findall(text)])
+        assert time.process_time() - began < (15 if text.count(mit) > 1 else 5)
+        best = max(spans, key=lambda x: (x[1], x[0]), default=None)
+        assert (best and best[1:3]) == (name and (1.0, name))
+        assert len([s for s in spans if s[2] == "MIT-text"]) == (0 if name != "MIT-text" else n // len(mit) if text.count(mit) > 1 else 1)
+
+
+def test_span_from_each_place():
+    r = random.Random(5)
+    for _ in range(400):
+        template, words = " ".join(r.choices("abcde", k=r.randint(3, 12))), r.choices("abcdefg", k=r.randint(2, 60))
+        s, t = L.Scanner({"t": template}, 0.6), L.bigrams(template)
+        pairs = list(map(" ".join, zip(words, words[1:], strict=False)))
+        before = np.array([max((j for j in range(i) if pairs[j] == p), default=-1) for i, p in enumerate(pairs)], np.int64)
+        after = np.array([min((j for j in range(i + 1, len(pairs)) if pairs[j] == p), default=len(pairs)) for i, p in enumerate(pairs)], np.int64)
+        low = r.randrange(len(pairs))
+        high = r.randint(low + 1, len(pairs))
+        due = []
+        for i in range(low, high):
+            found = [(2 * len(t & (w := set(pairs[i:z]))) / (len(w) + len(t)), -z, len(t & w)) for z in range(i + 1, high + 1)]
+            dice, z, shared = max(found)
+            if pairs[i] in t and dice >= 0.6:
+                due.append((shared, dice, "t", i, -z + 1))
+        assert list(s.ends(pairs, before, after, low, high, "t")) == due
