@@ -3,9 +3,11 @@
 Pages of one host come from one template. A token is a tag or a word at its place in the tree of elements; tokens with
 the same vector of occurrences over a group of same-host pages form an equivalence class. The classes of tokens that
 every page of a layout has once, in one order and each inside the ones around it, are the template's skeleton; what
-lies between its tokens are slots, and classes that repeat nest in them. The element of the skeleton that holds most of
-the words in slots is where the article stands: its blocks are the text, without those that consist of template words
-alone. Elements that HTML itself, or a class name, calls chrome never count as slots of the article.
+lies between its tokens are slots, and classes that repeat nest in them. An element that occurs more than once is told
+from its like by the tokens of the skeleton that it holds. The article stands in an element of the skeleton in which a
+class of text blocks repeats, as paragraphs do: the one with the heading of the first rank, else the first after it. A
+list of remarks or teasers repeats elements that hold blocks in turn, and a notice repeats nothing. Where nothing repeats,
+the text is what stands in slots. Elements that HTML itself, or a class name, calls chrome are no slots of the article.
 """
 
 from __future__ import annotations
@@ -46,8 +48,6 @@ CHROME_NAMES = set(
     " site-header site-footer page-header page-footer main-nav site-nav nav-menu main-menu side-bar comment-list comment-form comments-area comments-section"
     " related-posts related-articles share-buttons social-share cookie-banner cookie-notice cookie-consent newsletter-signup ad-slot ad-container ad-banner".split())
 MAIN_NAMES = set("article articlebody article-body article-content main main-content content post post-body post-content entry entry-content story story-body".split())
-#: A class or id name that would leave a page without text is not believed if it hides so many words.
-HIDES_ARTICLE = 20
 
 
 class Paths:
@@ -92,11 +92,12 @@ class Node:
 
 class Page:
     """What a page consists of, in order: blocks of text with their element, and the elements that were opened (their
-    places, and blocks as negative numbers, in ``order``)."""
+    places, and blocks as negative numbers, in ``order``; themselves in ``elements``)."""
 
     def __init__(self) -> None:
         self.blocks: list[tuple[Node, str]] = []
         self.order: list[int] = []
+        self.elements: list[Node] = []
         self.named: list[Node] = []
         self.mains: list[Node] = []
 
@@ -266,6 +267,7 @@ def parse(html: str, paths: Paths | None = None) -> Page:
             node.block = up.block
         else:
             page.order.append(node.path)
+            page.elements.append(node)
         node.links = up.links or tag == "a"
         node.sure = up.sure or hidden or tag in CHROME_TAGS or role in CHROME_ROLES
         node.named, node.main, node.header = up.named, up.main, up.header
@@ -344,6 +346,33 @@ def equivalence_classes(pages: list[Page]) -> dict[tuple[int, ...], set[tuple[in
     return classes
 
 
+def differentiate(pages: list[Page], paths: Paths) -> None:
+    """Places anew: of elements that pages have several times at a place, the one around a tag that every page has once
+    gets a place of its own, told by the first such tag in it."""
+    counts = [Counter(x for x in page.order if x >= 0) for page in pages]
+    once = {x for x in counts[0] if all(c[x] == 1 for c in counts)}
+    if all(paths.up[x] in once or not paths.up[x] for x in once):
+        return
+    for page in pages:
+        marks: dict[int, str] = {}
+        for node in page.elements:
+            if node.path in once:
+                up = node.up.block
+                while up.path and up.path not in once and id(up) not in marks:
+                    marks[id(up)] = paths.label[node.path]
+                    up = up.up.block
+        new: dict[int, int] = {0: 0}
+        for node in page.elements:
+            label = paths.label[node.path]
+            if id(node) in marks:
+                label += f"~{marks[id(node)]}"
+            new[id(node)] = paths.below(new[id(node.up.block) if node.up.block.path else 0], label)
+        for node in page.elements:
+            node.path = new[id(node)]
+        at = iter(page.elements)
+        page.order = [x if x < 0 else next(at).path for x in page.order]
+
+
 def in_one_order(orders: list[list]) -> list:
     """The most tokens of the first order that stand in it in all others too, found order by order."""
     kept = orders[0]
@@ -403,6 +432,7 @@ class Template:
 
     def __init__(self, pages: list[Page], paths: Paths) -> None:
         self.paths = paths
+        differentiate(pages, paths)
         self.frame = skeleton(pages, paths)
         self.elements = [place for place, word in self.frame if not word]
         said: dict[int, set[str]] = defaultdict(set)
@@ -414,7 +444,9 @@ class Template:
         self.semantic = {n.path for p in pages for n in p.mains if not n.called and not n.sure}
         slots: list[int] = [0] * len(paths.up)
         fixed: list[int] = [0] * len(paths.up)
+        often: set[int] = set()
         for page in pages:
+            seen: set[int] = set()
             for node, block in page.blocks:
                 place = node.block.path
                 if node.sure or node.links or node.named is not None and not node.named.holds_main:
@@ -425,15 +457,43 @@ class Template:
                     slots[place] += sum(w not in said[place] for w in block.split())
                 else:
                     slots[place] += block.count(" ") + 1
+                if place in seen:
+                    often.add(place)
+                seen.add(place)
+        # elements of the skeleton in which a class of blocks repeats, and not all of its text is the template's
+        known = set(self.elements)
+        repeats = {paths.up[x] for x in often if x not in known and paths.up[x] in known and slots[x]}
         for at in range(len(slots) - 1, 0, -1):  # places come after the ones around them
             slots[paths.up[at]] += slots[at]
             fixed[paths.up[at]] += fixed[at]
-        self.container = self._container(slots)
+        found = self._article(repeats)
+        self.container = self._container(slots, found)
         self._within: dict[int, bool] = {0: False}
         c = self.container
-        # a template's own text is told from an article's common one only where slots outweigh it
-        self.cuts = c is not None and len(pages) > 2 and not self._marked(c) and slots[c] >= fixed[c]
-        self.loose = c is not None and re.split(r"[.]", paths.label[c])[0] not in ("body", "html")
+        self.loose = c is not None and not self._whole_page(c)
+        # what all pages share is the article's own in its element, and the template's where that wasn't told
+        self.cuts = c is not None and not self._marked(c) and (found is None or not self.loose) and len(pages) > 2 and slots[c] >= fixed[c]
+
+    def _whole_page(self, place: int) -> bool:
+        return re.split(r"[.~]", self.paths.label[place])[0] in ("body", "html")
+
+    def _article(self, repeats: set[int]) -> int | None:
+        """The outermost of the elements in which blocks repeat, the whole page only if there is no other: the one around
+        the heading of the first rank, else the first after it, else the first."""
+        inner = [x for x in self.elements if x in repeats and not self._whole_page(x)]
+        if not inner:
+            return next((x for x in self.elements if x in repeats), None)
+        outer = [x for x in inner if not any(y in repeats and not self._whole_page(y) for y in self._around(self.paths.up[x]))]
+        order = {x: i for i, x in enumerate(self.elements)}
+        for head in (x for x in self.elements if re.split(r"[.]", self.paths.label[x])[0] == "h1"):
+            around = set(self._around(head))
+            for x in outer:
+                if x in around:
+                    return x
+            for x in outer:
+                if order[x] > order[head]:
+                    return x
+        return outer[0]
 
     def _around(self, place: int) -> list[int]:
         out = []
@@ -445,13 +505,14 @@ class Template:
     def _marked(self, place: int) -> bool:
         return any(p in self.semantic for p in self._around(place))
 
-    def _container(self, slots: list[int]) -> int | None:
-        """The innermost element of the skeleton that holds most words of slots; the article element around it, or the
-        one inside it that has any, comes first."""
-        best = None
-        for place in self.elements:
-            if slots[0] and slots[place] >= 0.6 * slots[0]:
-                best = place
+    def _container(self, slots: list[int], found: int | None) -> int | None:
+        """The article's element; where none was told, the innermost of the skeleton that holds all slots. The article
+        or main element around it, or the one inside it that has any, comes first."""
+        best = found
+        if best is None:
+            for place in self.elements:
+                if slots[0] and slots[place] == slots[0]:
+                    best = place
         if best is None:
             return None
         around = [p for p in self._around(best) if p in self.semantic]
@@ -513,10 +574,8 @@ def extract(page: Page, template: Template | None) -> str:
     if page.mains:
         left = [(n, b) for n, b in left if n.main] or ([] if any(not n.called for n in page.mains) else left)
     out = [b for _, b in left]
-    if not out:  # a name alone doesn't hide an article
-        hidden = [(n, b) for n, b in page.blocks if not n.sure and n.header is None and n.named is not None]
-        if sum(b.count(" ") + 1 for _, b in hidden) >= HIDES_ARTICLE:
-            out = [b for _, b in hidden]
+    if not out:  # where nothing else is left, a name hides its own words, but no blocks in it
+        out = [b for n, b in page.blocks if not n.sure and n.header is None and n.named is not None and n.block is not n.named.block]
     return "\n".join(out)
 
 

@@ -2,9 +2,11 @@
 
 import itertools
 import random
+import re
 import time
 from collections import Counter
 
+import duckdb
 import pytest
 
 from cadenza.llm import html_extract as H
@@ -97,3 +99,49 @@ def test_hostile_pages(html):
     began = time.process_time()
     H.texts_of_pages([html])
     assert time.process_time() - began < 6
+
+
+def test_remarks_longer_than_the_article():
+    p = [[f"Paragraph {k} of {i}." for k in range(3)] for i in range(6)]
+    htmls = ["<body><div class=top>Site</div><div class=post>" + "".join(f"<p>{x}</p>" for x in own) + f"</div><div class=user-feedback><p>{f'A long remark on {i} ' * 30}</p></div></body>" for i, own in enumerate(p)]
+    assert H.texts_of_pages(htmls) == ["\n".join(own) for own in p]
+    many = "".join("<div class=one><b>Reader</b><p>{} remark {}</p><p>and more</p></div>".format("long " * 40, k) for k in range(5))
+    htmls = ["<body><div class=top>Site</div><div class=post>" + "".join(f"<p>{x}</p>" for x in own) + f"</div><div class=user-feedback>{many}</div></body>" for own in p]
+    assert H.texts_of_pages(htmls) == ["\n".join(own) for own in p]
+
+
+def test_paragraph_of_all_pages_stays():
+    htmls = [f"<body><div class=a>Site name</div><div class=b><p>Common intro para.</p><p>Own words of {i}.</p></div></body>" for i in range(4)]
+    assert H.texts_of_pages(htmls) == [f"Common intro para.\nOwn words of {i}." for i in range(4)]
+
+
+@pytest.mark.parametrize("n", [1, 5, 15, 25, 200])
+@pytest.mark.parametrize("name", ["ad", "comment"])
+def test_names_hide_by_place_not_length(n, name):
+    words = " ".join(["word"] * n)
+    assert H.texts_of_pages([f"<div class={name}>{words}</div>"]) == [""]
+    assert H.texts_of_pages([f"<div class={name}><p>{words}</p></div>"]) == [words]
+
+
+def test_elements_told_by_what_they_hold():
+    def page(i):
+        ad = f"<div>Buy {i} now, and then buy some more of it: {'cheap ' * 20}</div>" * (i % 2)
+        return f"<body><div><ul><li><a href=/>Home</a></ul></div>{ad}<div><h1>Title {i}</h1><p>First {i}.</p><p>Second {i}.</p></div><div>Foot of {i}</div></body>"
+
+    assert H.texts_of_pages([page(i) for i in range(6)]) == [f"Title {i}\nFirst {i}.\nSecond {i}." for i in range(6)]
+
+
+def test_sample_pages_without_names():
+    """The sample's pages give the same text when neither elements nor classes tell what they are."""
+    rows = duckdb.sql("select url, html from '/root/testdata/sf0.01/pages.parquet' where html is not null").fetchall()
+    hosts = {}
+    for url, html in rows:
+        hosts.setdefault(url.split("/")[2], []).append(html)
+    same = total = 0
+    for htmls in hosts.values():
+        if len(htmls) < 3:
+            continue
+        bare = [re.sub(r"<(/?)(?:article|nav|aside|footer|header)\b", r"<\1div", re.sub(r' (?:class|id|role)="[^"]*"', "", h)) for h in htmls]
+        total += len(htmls)
+        same += sum(a == b for a, b in zip(H.texts_of_pages(htmls), H.texts_of_pages(bare), strict=True))
+    assert total > 100 and same == total
