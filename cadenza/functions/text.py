@@ -63,6 +63,46 @@ def without_suffix(path: Column) -> Column:
     return F.regexp_replace(path, r"(\.fingering\.json|\.json|\.mid)$", "")
 
 
+def without_extension(path: Column) -> Column:
+    """/a/b.c/piece of /a/b.c/piece.mid; names that only begin with dots have no extension."""
+    return F.regexp_replace(path, r"(?s)^((?:.*/)?\.*[^./][^/]*)\.[^./]*$", "$1")
+
+
+def without_json(path: Column) -> Column:
+    """A path without .fingering.json or .json, else without its extension."""
+    bare = F.regexp_replace(path, r"(\.fingering)?\.json$", "")
+    return F.when(F.endswith(path, F.lit(".json")), bare).otherwise(without_extension(path))
+
+
+def folder_of(path: Column) -> Column:
+    """A path up to its last slash, that slash included; empty if there is none."""
+    return F.regexp_extract(path, r"(?s)^(.*/)?", 0)
+
+
+def name_of(path: Column) -> Column:
+    return F.substring_index(path, "/", -1)
+
+
+def output_path(midi: Column) -> Column:
+    """Where a song's result goes if nothing else is told: beside its MIDI file."""
+    return F.concat(without_extension(midi), F.lit(".fingering.json"))
+
+
+def video_output_path(video: Column, folder: Column) -> Column:
+    """Where the result of a video goes: into ``folder``, by the video's name."""
+    return F.concat(F.regexp_replace(folder, "/*$", "/"), name_of(output_path(video)))
+
+
+def bundle_path(output: Column, suffix: str) -> Column:
+    """The bundle beside a result."""
+    return F.concat(F.regexp_replace(output, r"(\.fingering)?\.json$", ""), F.lit(suffix))
+
+
+def truth_path(output: Column) -> Column:
+    """The file of true fingers beside a result."""
+    return F.concat(folder_of(output), F.regexp_replace(name_of(output), r"(\.fingering)?\.json$", ""), F.lit(".truth.json"))
+
+
 def watch_url(url: Column) -> Column:
     """A video's address without list and time parameters; other addresses as they are."""
     long, short = F.contains(url, F.lit("youtube.com")), F.contains(url, F.lit("youtu.be"))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions import calibration, text
 from ..functions import tables as sql_tables
 from ..operators import landmarks, pictures, signal, sketches
 from ..operators import notes as N
@@ -380,3 +381,51 @@ def recovery_counts(spark, d):
     found = catalogue2._found(spark, d).join(looked.select(*K, "frame_idx"), [*K, "frame_idx"], "left_semi")
     tracked = catalogue2._tracked(spark, d)
     return N.recovery_counts(t, looked, N.merged_recoveries(found, tracked), tracked)
+
+
+# --- Paths of results, and calibrations as text
+
+
+@query("""WITH p AS (
+      SELECT page_id, url || ['/a.b', '.mid', '.midi', '/piece.fingering.json', '.json', '/..name', '/.hidden.mp4'][page_id % 7 + 1] AS path FROM pages WHERE url IS NOT NULL),
+    q AS (
+      SELECT page_id, path, split_part(path, '/', -1) AS name, left(path, length(path) - length(split_part(path, '/', -1))) AS folder,
+        CASE WHEN path LIKE '%.fingering.json' THEN left(path, length(path) - 15) WHEN path LIKE '%.json' THEN left(path, length(path) - 5) ELSE path END AS bare FROM p),
+    r AS (
+      SELECT *, CASE WHEN ltrim(name, '.') LIKE '%.%' THEN left(name, length(name) - length(split_part(name, '.', -1)) - 1) ELSE name END AS stem FROM q)
+    SELECT page_id, folder || stem || '.fingering.json' AS output, '/out/' || stem || '.fingering.json' AS of_video, bare || '.zip' AS bundle, bare || '.truth.json' AS truth,
+      CASE WHEN bare <> path THEN bare ELSE folder || stem END AS plain FROM r""")
+def output_paths(spark, d):
+    """Where results, bundles and files of true fingers go, from paths with all sorts of names."""
+    ends = F.array(*map(F.lit, ["/a.b", ".mid", ".midi", "/piece.fingering.json", ".json", "/..name", "/.hidden.mp4"]))
+    p = read(spark, d, "pages").where("url IS NOT NULL").select("page_id", F.concat("url", ends[(F.col("page_id") % 7).cast("int")]).alias("path"))
+    path = F.col("path")
+    return p.select(
+        "page_id", text.output_path(path).alias("output"), text.video_output_path(path, F.lit("/out")).alias("of_video"), text.bundle_path(path, ".zip").alias("bundle"),
+        text.truth_path(path).alias("truth"), text.without_json(path).alias("plain"))
+
+
+@query("""SELECT o_orderkey, CASE WHEN o_orderkey % 11 <> 0 THEN (21 + o_orderkey % 20)::INTEGER END AS low_pitch, CASE WHEN o_orderkey % 11 <> 0 THEN 108 END AS high_pitch,
+      CASE WHEN o_orderkey % 11 <> 0 THEN CASE WHEN o_orderkey % 3 = 0 THEN 0 ELSE o_orderkey % 7 / 8e0 END END AS k1,
+      CASE WHEN o_orderkey % 11 <> 0 THEN CASE WHEN o_orderkey % 5 = 0 THEN 0 ELSE o_orderkey % 4 / 2e0 END END AS rotation,
+      CASE WHEN o_orderkey % 11 <> 0 THEN (o_orderkey % 100 + 1280)::DOUBLE END AS right_x,
+      CASE WHEN o_orderkey % 11 <> 0 AND o_orderkey % 2 = 0 THEN 15e-1 * (o_orderkey % 9) END AS row_start,
+      CASE WHEN o_orderkey % 11 <> 0 THEN 'corners,low_pitch,high_pitch,k1' || CASE WHEN o_orderkey % 2 = 0 THEN ',row' ELSE '' END
+        || CASE WHEN o_orderkey % 5 <> 0 AND o_orderkey % 4 <> 0 THEN ',rotation_deg' ELSE '' END END AS fields FROM orders""")
+def stored_calibrations(spark, d):
+    """Calibrations read from texts that leave out fields or are broken, written and read again."""
+    k = F.col("o_orderkey")
+    right = (k % 100 + 1280).cast("double")
+    corners = F.array(*(F.array(x, y) for x, y in ((F.lit(0.0), F.lit(5.0)), (right, F.lit(5.0)), (right, F.lit(90.0)), (F.lit(0.0), F.lit(90.0)))))
+    low = F.when(k % 22 != 0, (21 + k % 20).cast("int"))
+    row = F.when(k % 2 == 0, F.array((1.5 * (k % 9)).cast("double"), *map(F.lit, (0.5, 2.0, 0.0, 0.1))))
+    told = F.to_json(F.struct(
+        corners.alias("corners"), low.alias("low_pitch"), F.lit(108).alias("high_pitch"), F.when(k % 3 != 0, k % 7 / F.lit(8.0)).alias("k1"), row.alias("row"),
+        F.when(k % 5 != 0, k % 4 / F.lit(2.0)).alias("rotation_deg"), F.lit("more").alias("other")))
+    told = F.when(k % 22 == 11, F.lit("[1, {")).otherwise(told)
+    o = read(spark, d, "orders").select("o_orderkey", calibration.to_stored(calibration.from_stored(told)).alias("written"))
+    o = o.withColumn("c", calibration.from_stored(F.col("written")))
+    c = F.col("c")
+    return o.select(
+        "o_orderkey", c["low_pitch"].alias("low_pitch"), c["high_pitch"].alias("high_pitch"), c["k1"].alias("k1"), c["rotation_deg"].alias("rotation"),
+        c["corners"][1][0].alias("right_x"), c["row"][0].alias("row_start"), F.array_join(F.json_object_keys("written"), ",").alias("fields"))

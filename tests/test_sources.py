@@ -1,7 +1,11 @@
 import json
+import os
 
+import pytest
 from pyspark.sql import functions as F
 
+from cadenza.functions import text
+from cadenza.functions.calibration import Calibration, from_stored, to_stored
 from cadenza.sources import media, midi
 from cadenza.streaming.windows import streamed_means, streamed_runs, streamed_sessions
 
@@ -102,3 +106,22 @@ def test_functions_in_sql(spark):
     assert [tuple(r) for r in spark.sql("SELECT * FROM keys_between(59, 61)").collect()] == [(59, "B3"), (60, "C4"), (61, "C#4")]
     assert spark.sql("SELECT * FROM keys_between(5, 4)").count() == spark.sql("SELECT * FROM keys_between(NULL, 4)").count() == 0
     assert spark.sql("SELECT note_name(CAST(NULL AS INT)), is_black_key(70)").first()[:] == (None, True)
+
+
+@pytest.mark.parametrize("path", ["/a/b/piece.mid", "/a.b/piece", "piece.fingering.json", "/x/piece.json", "/x/.hidden", "/x/.hidden.mp4", "a.b.c", "/x/..two", ""])
+def test_default_paths(spark, path):
+    p = F.lit(path)
+    got = spark.range(1).select(text.output_path(p), text.without_json(p), text.bundle_path(p, ".zip"), text.truth_path(p), text.video_output_path(p, F.lit("/out"))).first()
+    bare = next((path[: -len(x)] for x in (".fingering.json", ".json") if path.endswith(x)), path)
+    stem = os.path.splitext(path)[0]
+    assert tuple(got) == (stem + ".fingering.json", bare if bare != path else stem, bare + ".zip", bare + ".truth.json", f"/out/{os.path.basename(stem)}.fingering.json")
+
+
+def test_calibrations_as_text(spark):
+    whole = Calibration(((0.0, 0.0), (9.0, 0.0), (9.0, 5.0), (0.0, 5.0)), 21, 108, 0.1, (1.0, 2.0, 3.0, 4.0, 5.0), None, 2.5)
+    plain = Calibration(((0.0, 0.0), (9.0, 0.0), (9.0, 5.0), (0.0, 5.0)), 21, 108)
+    texts = [json.dumps(c.stored()) for c in (whole, plain)] + ['{"corners": [[0, 0], [9, 0], [9, 5], [0, 5]], "low_pitch": 21, "high_pitch": 108, "row": null}', "{}", "nonsense", None]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string").orderBy("i")
+    rows = df.select(from_stored(F.col("t")).alias("c"), to_stored(from_stored(F.col("t"))).alias("w")).collect()
+    assert [Calibration.of(r.c.asDict()) if r.c else None for r in rows] == [whole, plain, plain, None, None, None]
+    assert [json.loads(r.w) if r.w else None for r in rows] == [whole.stored(), plain.stored(), plain.stored(), None, None, None]
