@@ -264,8 +264,7 @@ def sketch_bounds(spark, d):
     exact = met.groupBy("event_type").agg(F.countDistinct("user_id").alias("exact"), share(F.col("value") < F.col("median")).alias("below"), share(F.col("value") <= F.col("median")).alias("upto"))
     counts = both.groupBy("event_type", F.col("user_id").cast("string").alias("item")).agg(F.count("*").alias("c"))
     often = told.select("event_type", F.explode("frequent").alias("f")).select("event_type", F.col("f.item").alias("item"), F.col("f.count").alias("told"))
-    often = often.join(counts, ["event_type", "item"]).join(told.select("event_type", "n"), "event_type")
-    often = often.groupBy("event_type").agg(F.min(F.abs(F.col("told") - F.col("c")) <= F.greatest(F.lit(1.0), F.col("n") * 0.01)).alias("frequent_within"))
+    often = sketches.frequent_within(often, counts, ["event_type"], top=3)
     off = sketches.rank_error()
     return told.join(exact, "event_type").join(often, "event_type").select(
         "event_type", "n", "exact", (F.abs(F.col("n_distinct") - F.col("exact")) <= F.greatest(F.lit(1.0), sketches.distinct_error() * F.col("exact"))).alias("distinct_within"),
