@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import math
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 
 def saturation(r: Column, g: Column, b: Column) -> Column:
@@ -11,11 +15,28 @@ def saturation(r: Column, g: Column, b: Column) -> Column:
     return F.when(top > 0, (top - F.least(r, g, b)) / F.when(top > 0, top)).otherwise(0.0)
 
 
+@F.pandas_udf(StructType([StructField("x", DoubleType()), StructField("y", DoubleType())]))
+def _direction(x: pd.Series, y: pd.Series) -> pd.DataFrame:
+    angles = [math.atan2(b, a) for a, b in zip(x, y, strict=True)]
+    return pd.DataFrame({"x": [math.cos(a) for a in angles], "y": [math.sin(a) for a in angles]}, dtype="float64")
+
+
 def hue_vector(r: Column, g: Column, b: Column) -> tuple[Column, Column]:
-    """The hue as a point of the unit circle, (1, 0) for greys."""
+    """The hue as a point of the unit circle, (1, 0) for greys; null if a colour is.
+
+    By the C library, as databases take it: Java's last bits differ, and clusters of hues start from opposite points, to
+    which others may be equally near but for those bits.
+    """
     x, y = r - (g + b) / 2.0, (g - b) * F.sqrt(F.lit(3.0)) / 2.0
-    a = F.atan2(y, x)
-    return F.cos(a), F.sin(a)
+    d = F.when(x.isNotNull() & y.isNotNull(), _direction(x.cast("double"), y.cast("double")))
+    return d["x"], d["y"]
+
+
+def hue_of(rgb: tuple[float, float, float]) -> tuple[float, float]:
+    """The same of one colour."""
+    r, g, b = map(float, rgb)
+    a = math.atan2((g - b) * math.sqrt(3.0) / 2.0, r - (g + b) / 2.0)
+    return math.cos(a), math.sin(a)
 
 
 def distance(a: list[Column], b: list[Column]) -> Column:
