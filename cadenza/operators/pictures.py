@@ -132,14 +132,18 @@ def span_overlap(pairs: DataFrame, by: list[str], left: str, right: str) -> Data
 
 def stability(masks: DataFrame, keys: list[str], down: int = 15) -> DataFrame:
     """How far each line's dark mask is that of the line ``down`` below it: keys, y, iou (intersection over union); 0
-    where there is no such line or nothing is dark."""
+    where there is no such line or nothing is dark.
+
+    Spans take many times the room in memory that they take shuffled, by which Spark would choose to broadcast them; so
+    lines are merged, here and below.
+    """
     below = masks.select(*(F.col(k).alias(f"_{k}") for k in keys), (F.col("y") - down).alias("_y"), F.col("spans").alias("_below"))
     on = F.col("y") == F.col("_y")
     for k in keys:
         on &= F.col(k).eqNullSafe(F.col(f"_{k}"))
-    pairs = masks.join(below, on).select(*keys, "y", "spans", "_below")
+    pairs = masks.join(below.hint("merge"), on).select(*keys, "y", "spans", "_below")
     shared = span_overlap(pairs, [*keys, "y"], "spans", "_below").select(*(F.col(k).alias(f"_{k}") for k in keys), F.col("y").alias("_y"), (F.col("both") / F.col("either")).alias("_iou"))
-    return masks.join(shared, on, "left").select(*keys, "y", F.coalesce("_iou", F.lit(0.0)).alias("iou"))
+    return masks.join(shared.hint("merge"), on, "left").select(*keys, "y", F.coalesce("_iou", F.lit(0.0)).alias("iou"))
 
 
 def key_rows(lines: DataFrame, keys: list[str], width: int, height: int, dark: int = 90, down: int = 15, least: int = 15, uneven: float = 0.55) -> DataFrame:
@@ -159,7 +163,7 @@ def key_rows(lines: DataFrame, keys: list[str], width: int, height: int, dark: i
 
     widths = F.transform(F.filter("spans", lambda s: (s["end"] - s["start"]).between(low, high)), lambda s: (s["end"] - s["start"]).cast("double"))
     m = masks.where(F.col("y").between(int(height * 0.35), int(height * 0.95) - 1)).select(*keys, "y", _once(widths, evenness).alias("e")).select(*keys, "y", "e.n", "e.cv")
-    m = m.where((F.col("n") >= least) & (F.col("cv") <= uneven)).join(stability(masks, keys, down), [*keys, "y"])
+    m = m.where((F.col("n") >= least) & (F.col("cv") <= uneven)).join(stability(masks, keys, down).hint("merge"), [*keys, "y"])
     best = m.groupBy(*keys).agg(F.min(F.struct((-F.col("iou")).alias("i"), (-F.col("n")).alias("m"), "cv", "y", "n", "iou")).alias("b"))
     return best.select(*keys, "b.y", "b.n", "b.cv", "b.iou")
 
@@ -167,7 +171,7 @@ def key_rows(lines: DataFrame, keys: list[str], width: int, height: int, dark: i
 def key_centres(lines: DataFrame, rows: DataFrame, keys: list[str], width: int, dark: int = 90) -> DataFrame:
     """Centres of the black keys on each picture's row (``key_rows``): keys, idx from 0, x, y."""
     low, high = max(2, width // 300), width // 12
-    on = lines.join(rows.select(*keys, "y"), [*keys, "y"])
+    on = lines.join(rows.select(*keys, "y").hint("merge"), [*keys, "y"])
     spans = F.filter("spans", lambda s: (s["end"] - s["start"]).between(low, high))
     c = dark_masks(on, keys, dark).select(*keys, "y", F.posexplode(spans).alias("idx", "s"))
     return c.select(*keys, "idx", ((F.col("s.start") + F.col("s.end")) / 2.0).alias("x"), F.col("y").cast("double").alias("y"))
