@@ -221,7 +221,7 @@ def _streamed(spark, d):
     one = spark.range(1)
     n = n.unionByName(one.select(F.lit("~").alias("song_id"), F.lit(None).cast("long").alias("note_idx"), F.lit(None).cast("int").alias("pitch"), far.alias("on_at"), far.alias("off_at")))
     f = f.unionByName(one.select(F.lit("~~").alias("song_id"), F.lit(None).cast("long").alias("frame_idx"), far.alias("at")))
-    notes, frames = tables.write(n.coalesce(1), "notes"), tables.write(f.coalesce(1), "frames")
+    notes, frames = tables.write(n, "notes"), tables.write(f, "frames")
     stream = lambda df, name: spark.readStream.schema(df.schema).parquet(f"{tables.root}/{name}")
     return stream(notes, "notes"), stream(frames, "frames"), tables
 
