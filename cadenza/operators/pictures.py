@@ -1,8 +1,8 @@
 """Colours out of pictures: patch means at keys, and the samples of notes that sound.
 
 A picture is a row: keys, frame_idx, time_sec, width, height and pixels, width x height x 3 bytes (red, green, blue) line by
-line. Pictures are never copied for the notes that want them: notes meet the pictures' times, each picture is asked once
-for the distinct keys that sound in it, and the answers go back to the notes.
+line. Pictures are never copied for the notes that want them: notes are gathered by stretches of time, a row a stretch, and
+each picture meets its own stretch's row once and answers all notes of it that are near enough.
 """
 
 from __future__ import annotations
@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .timeline import range_join
+from .timeline import bucket
 
 NO_COLOUR = (0.0, 0.0, 0.0)
 
@@ -36,21 +36,69 @@ def patch_means(pixels: np.ndarray, x: np.ndarray, y: np.ndarray, radius: int =
     return np.where(n[:, None] > 0, total / np.maximum(n, 1)[:, None], 0.0)
 
 
-def _answered(radius: int, keep: list[str]):
+def _stacked_means(stack: np.ndarray, of: np.ndarray, x: np.ndarray, y: np.ndarray, radius: int) -> np.ndarray:
+    """``patch_means`` of places (x, y) in the pictures ``of`` a stack (number x height x width x 3)."""
+    n, h, w = stack.shape[:3]
+    sums = np.zeros((n, h + 1, w + 1, 3), np.int64)
+    np.cumsum(stack, axis=1, dtype=np.int64, out=sums[:, 1:, 1:])
+    np.cumsum(sums[:, 1:, 1:], axis=2, out=sums[:, 1:, 1:])
+    xi, yi = np.rint(x).astype(np.int64), np.rint(y).astype(np.int64)
+    x0, x1 = np.clip(xi - radius, 0, w), np.clip(xi + radius + 1, 0, w)
+    y0, y1 = np.clip(yi - radius, 0, h), np.clip(yi + radius + 1, 0, h)
+    size = (x1 - x0) * (y1 - y0)
+    total = sums[of, y1, x1] - sums[of, y0, x1] - sums[of, y1, x0] + sums[of, y0, x0]
+    return np.where(size[:, None] > 0, total / np.maximum(size, 1)[:, None], 0.0)
+
+
+#: Bytes of pictures of one size whose sums are taken together, and places that are looked at together.
+STACK, PLACES = 1 << 20, 1 << 18
+
+
+def _parts(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """Pictures with about ``PLACES`` places at a time."""
+    offsets, first = np.asarray(batch.column(batch.schema.get_field_index("places")).offsets), 0
+    while first < batch.num_rows:
+        last = max(first + 1, int(np.searchsorted(offsets, offsets[first] + PLACES, "right")) - 1)
+        yield batch.slice(first, last - first)
+        first = last
+
+
+def _answered(radius: int, keep: list[str], give: list[str], span: tuple[str, float, float] | None = None):
+    """Colours of the places (array of structs with x, y) beside each picture: ``keep`` of the picture, ``give`` of the
+    place, r, g, b. With ``span`` (a place's time, before, after) only of places from whose time the picture's time_sec is
+    at most so far."""
+
     def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            names = batch.schema.names
-            for i in range(batch.num_rows):
-                row = {n: batch.column(k)[i].as_py() for k, n in enumerate(names)}
-                data, size = row["pixels"], row["width"] * row["height"] * 3
-                if len(data) != size:
-                    raise ValueError(f"a picture of {row['width']} x {row['height']} has {len(data)} bytes, not {size}")
-                places = row["places"]
-                means = patch_means(np.frombuffer(data, np.uint8).reshape(row["height"], row["width"], 3), np.array([p["x"] for p in places]), np.array([p["y"] for p in places]), radius)
-                n = len(places)
-                yield pa.RecordBatch.from_arrays(
-                    [*(pa.array([row[k]] * n, batch.schema.field(k).type) for k in keep), pa.array([p["pitch"] for p in places], pa.int32()), *(pa.array(means[:, c]) for c in range(3))],
-                    names=[*keep, "pitch", "r", "g", "b"])
+        for batch in (part for whole in batches for part in _parts(whole)):
+            col = {n: batch.column(k) for k, n in enumerate(batch.schema.names)}
+            offsets = np.asarray(col["places"].offsets)
+            of = np.repeat(np.arange(batch.num_rows), np.diff(offsets))
+            places = col["places"].flatten()
+            field = lambda n: places.field(places.type.get_field_index(n))  # noqa: B023, E731
+            if span:
+                at, start = np.asarray(col["time_sec"])[of], np.asarray(field(span[0]))
+                near = np.nonzero((at >= start - span[1]) & (at <= start + span[2]))[0]
+                of, places = of[near], places.take(pa.array(near))
+            x, y = np.asarray(field("x")), np.asarray(field("y"))
+            width, height = np.asarray(col["width"]), np.asarray(col["height"])
+            ends = np.searchsorted(of, np.arange(batch.num_rows + 1))
+            means, first = np.empty((len(of), 3)), 0
+            while first < batch.num_rows:
+                w, h = int(width[first]), int(height[first])
+                size, last, held = w * h * 3, first, []
+                while last < batch.num_rows and (width[last], height[last]) == (w, h) and (not held or (len(held) + 1) * size <= STACK):
+                    data = col["pixels"][last].as_py()
+                    if len(data) != size:
+                        raise ValueError(f"a picture of {w} x {h} has {len(data)} bytes, not {size}")
+                    held.append(data)
+                    last += 1
+                part = slice(ends[first], ends[last])
+                if part.stop > part.start:
+                    stack = np.frombuffer(b"".join(held), np.uint8).reshape(len(held), h, w, 3)
+                    means[part] = _stacked_means(stack, of[part] - first, x[part], y[part], radius)
+                first = last
+            taken = pa.array(of)
+            yield pa.RecordBatch.from_arrays([*(col[k].take(taken) for k in keep), *(field(n) for n in give), *(pa.array(means[:, c]) for c in range(3))], names=[*keep, *give, "r", "g", "b"])
 
     return go
 
@@ -66,7 +114,7 @@ def key_colours(rasters: DataFrame, asked: DataFrame, keys: list[str], radius: i
     wanted = wanted.groupBy(*at).agg(F.collect_list(F.struct(F.col("pitch").cast("int").alias("pitch"), F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y"))).alias("places"))
     met = rasters.where("pixels IS NOT NULL").select(*at, F.col("width").cast("int").alias("width"), F.col("height").cast("int").alias("height"), "pixels").join(wanted, at)
     kinds = ", ".join(f"{k} {rasters.schema[k].dataType.simpleString()}" for k in at)
-    return met.mapInArrow(_answered(radius, at), f"{kinds}, pitch int, r double, g double, b double")
+    return met.mapInArrow(_answered(radius, at, ["pitch"]), f"{kinds}, pitch int, r double, g double, b double")
 
 
 def strided(frames: DataFrame, source_fps: float, fps: float = 30.0) -> DataFrame:
@@ -82,12 +130,19 @@ def note_samples(rasters: DataFrame, notes: DataFrame, places: DataFrame, keys:
     ``notes`` has keys, note_idx, pitch, start_sec; ``places`` keys, pitch, x, y. Notes whose key has no place, and those
     without a picture in time, have no samples. Null times meet nothing.
     """
-    spans = notes.select(*keys, "note_idx", F.col("pitch").cast("int").alias("pitch"), "start_sec", (F.col("start_sec") - before).alias("_low"), (F.col("start_sec") + after).alias("_high")).where("start_sec IS NOT NULL")
-    times = rasters.select(*keys, "frame_idx", "time_sec").where("time_sec IS NOT NULL")
-    met = range_join(times, spans, keys, "time_sec", "_low", "_high", before + after).drop("_low", "_high")
-    asked = met.select(*keys, "frame_idx", "pitch").distinct().join(places.select(*keys, F.col("pitch").cast("int").alias("pitch"), "x", "y"), [*keys, "pitch"])
-    seen = key_colours(rasters, asked, keys, radius)
-    return met.join(seen, [*keys, "frame_idx", "pitch"]).select(*keys, "note_idx", "start_sec", "time_sec", "r", "g", "b")
+    width = before + after
+    x, y, pitch = F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y"), F.col("pitch").cast("int").alias("pitch")
+    where = places.where("x IS NOT NULL AND y IS NOT NULL").groupBy(*keys, pitch).agg(F.first(F.struct(x, y)).alias("_p"))
+    asked = notes.where("start_sec IS NOT NULL").select(*keys, "note_idx", pitch, "start_sec").join(where, [*keys, "pitch"])
+    stretches = F.sequence(bucket(F.col("start_sec") - before, width), bucket(F.col("start_sec") + after, width))
+    asked = asked.select(*keys, F.explode(stretches).alias("_stretch"), F.struct("note_idx", F.col("start_sec").cast("double").alias("start_sec"), "_p.x", "_p.y").alias("_n"))
+    asked = asked.groupBy(*keys, "_stretch").agg(F.collect_list("_n").alias("places"))
+    shown = rasters.where("pixels IS NOT NULL AND time_sec IS NOT NULL").select(*keys, F.col("time_sec").cast("double").alias("time_sec"), F.col("width").cast("int").alias("width"), F.col("height").cast("int").alias("height"), "pixels")
+    met = shown.withColumn("_stretch", bucket(F.col("time_sec"), width)).join(asked, [*keys, "_stretch"])
+    kinds = ", ".join(f"{k} {rasters.schema[k].dataType.simpleString()}" for k in keys)
+    ident = notes.schema["note_idx"].dataType.simpleString()
+    seen = met.mapInArrow(_answered(radius, [*keys, "time_sec"], ["note_idx", "start_sec"], ("start_sec", before, after)), f"{kinds}, time_sec double, note_idx {ident}, start_sec double, r double, g double, b double")
+    return seen.select(*keys, "note_idx", "start_sec", "time_sec", "r", "g", "b")
 
 
 def onset_colours(samples: DataFrame, keys: list[str]) -> DataFrame:
