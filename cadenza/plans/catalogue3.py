@@ -215,9 +215,12 @@ def _ran(out, tables, name):
 
 
 def _streamed(spark, d):
-    """Notes and frames with points as streams; each ends with a row far ahead, which lets the watermarks pass all others."""
+    """Notes and frames with points as streams; each ends with a row far ahead, which lets the watermarks pass all others.
+
+    Songs begin in 2000: a watermark begins at 1970, and rows at that moment or before it would be late.
+    """
     tables = SharedTables(spark, "streams")
-    at = lambda c: F.timestamp_micros(F.round(F.col(c) * 1e6).cast("long"))
+    at = lambda c: F.timestamp_micros(F.round(F.col(c) * 1e6).cast("long") + 946_684_800_000_000)
     n = A.notes(spark, d).select("song_id", "note_idx", "pitch", at("start_sec").alias("on_at"), (at("start_sec") + F.make_dt_interval(secs=F.col("duration_sec").cast("decimal(18,6)"))).alias("off_at"))
     f = A.points(spark, d).select("song_id", "frame_idx", at("time_sec").alias("at")).distinct()
     far = F.lit("2030-01-01 00:00:00").cast("timestamp")

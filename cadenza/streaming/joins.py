@@ -21,8 +21,8 @@ def streamed_range_join(points: DataFrame, intervals: DataFrame, keys: list[str]
     """Points with the intervals of their keys that contain them, both ends included, as rows come on either side.
 
     Times are timestamps. An interval meets points up to ``longest`` after its start, so both sides' rows leave the state
-    once the watermarks, ``late`` behind the newest rows, have passed that. Rows later than that are dropped. A table that
-    doesn't grow keeps all its rows. Other columns must differ in name; null keys and times meet nothing.
+    once the watermarks, ``late`` behind the newest rows, have passed that. Rows later than that are dropped, and rows at
+    the start of 1970 or before it are late from the first. A table that doesn't grow keeps all its rows. Other columns must differ in name; null keys and times meet nothing.
     """
     p = points.withWatermark(at, late)
     i = intervals.withColumnsRenamed({k: f"_{k}" for k in keys}).withWatermark(low, late)
@@ -34,6 +34,7 @@ def streamed_unseen(notes: DataFrame, points: DataFrame, keys: list[str], at: st
     """Notes without a point of their keys at most ``reach`` before or after them, once no such point can come any more.
 
     A note comes out when both watermarks have passed it by more than ``reach``; one that a late row is dropped for, too.
+    Rows at the start of 1970 or before it are late from the first.
     """
     n = notes.withWatermark(at, late)
     p = points.select(*(F.col(k).alias(f"_{k}") for k in keys), F.col(seen_at).alias("_seen")).withWatermark("_seen", late)
