@@ -6,9 +6,10 @@ phrase ends. Shifting it by one position and ANDing it with another bitmap gives
 position lets no phrase through, so phrases stay inside their pieces. Popcounts are a shard's counts; their sums over
 all shards are exact.
 
-There are two rounds: all words and pairs of words where the texts are read, and then, from pairs that are frequent
-everywhere, all longer phrases depth first. A phrase that is frequent has only frequent parts, so nothing is lost; what
-a shard may extend comes to it by a shuffle, never by a broadcast list. Pairs aren't held back for rare words: on large
+There are three rounds: all words and pairs of words where the texts are read; then, from pairs that are frequent
+everywhere, three-word phrases, which shards send as lists of their pairs' numbers with counts, so that a row is made for
+each frequent one only; and from these all longer phrases. A phrase that is frequent has only frequent parts, so nothing
+is lost; what a shard may extend comes to it by a shuffle, never by a broadcast list. Pairs aren't held back for rare words: on large
 corpora nearly all words of a text are frequent, and a round of their own would shuffle all bitmaps for little.
 """
 
@@ -237,40 +238,115 @@ def _known(blob: pa.Table, known: pa.Table) -> tuple[Bitmaps, np.ndarray, np.nda
     return maps, code[kept], place[kept], maps.bits[kept], known["phrase"].combine_chunks().cast(pa.string())
 
 
-def _longer(most: int) -> Callable[[pa.Table, pa.Table], pa.Table]:
-    """Depth first from blocks of pairs: the longer phrases of a block come before the next block's."""
+class _Threes:
+    """The three-word phrases of a shard whose pairs are frequent everywhere, by code: their pairs and their bitmaps."""
+
+    def __init__(self, blob: pa.Table, known: pa.Table, most: int) -> None:
+        maps, code, place, bits, self.pairs = _known(blob, known)
+        both = pc.split_pattern(self.pairs, " ")
+        ends = pa.concat_arrays([pc.list_element(both, 0), pc.list_element(both, 1)]).dictionary_encode()
+        end = ends.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+        first, self.last, self.words, self.prelude = end[: len(self.pairs)], end[len(self.pairs) :], ends.dictionary, _prelude(most)
+        self.a, self.b, self.maps = joined(Right(code, place, bits, first, maps.places), code, place, bits, self.last, len(self.pairs))
+
+    def counted(self, maps: Bitmaps, codes: int) -> np.ndarray:
+        return popcounts(*maps.split(), maps.bits, codes, self.prelude)
+
+    def longer(self, phrases: pa.Array, b: np.ndarray) -> pa.Array:
+        """Phrases with the last words of pairs b behind them."""
+        return pc.binary_join_element_wise(phrases, self.words.take(pa.array(self.last[b])), " ")
+
+
+#: Blocks among which a language's three-word phrases are dealt: a block's counts meet in a task.
+BLOCKS = 512
+COUNTED = "shard long, lang string, block int, a array<long>, b array<long>, n array<long>"
+_COUNTED = pa.schema([("shard", pa.int64()), ("lang", pa.string()), ("block", pa.int32()), *((c, pa.list_(pa.int64())) for c in "abn")])
+_FREQUENT = pa.schema([f for f in _COUNTED if f.name != "block"])
+
+
+def _lists(values: np.ndarray, lengths: np.ndarray) -> pa.Array:
+    return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(lengths)]), pa.int32()), pa.array(values, pa.int64()))
+
+
+def _flat(lists: pa.ChunkedArray) -> np.ndarray:
+    return np.concatenate([np.empty(0, np.int64), *(c.flatten().to_numpy() for c in lists.chunks)])
+
+
+def _counted(most: int) -> Callable[[pa.Table, pa.Table], pa.Table]:
+    """A shard's counts of three-word phrases, each as the numbers of its pairs, a row a block."""
 
     def run(blob: pa.Table, known: pa.Table) -> pa.Table:
         if not len(known):
+            return _COUNTED.empty_table()
+        threes = _Threes(blob, known, most)
+        pair = known["id"].to_numpy()
+        a, b, n = pair[threes.a], pair[threes.b], threes.counted(threes.maps, len(threes.a))
+        mixed = (a.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + b.view(np.uint64)) * np.uint64(0xBF58476D1CE4E5B9)
+        block = (mixed >> np.uint64(32)).astype(np.int64) % BLOCKS
+        order = np.lexsort((b, a, block))
+        block, lengths = np.unique(block, return_counts=True)
+        k = len(block)
+        return pa.Table.from_arrays([
+            pa.array([blob["shard"][0].as_py()] * k, pa.int64()), pa.array([blob["lang"][0].as_py()] * k, pa.string()), pa.array(block, pa.int32()),
+            *(_lists(x[order], lengths) for x in (a, b, n))], schema=_COUNTED)
+
+    return run
+
+
+def _frequent(least: int) -> Callable[[pa.Table], pa.Table]:
+    """The three-word phrases of a block that occur ``least`` times over all shards: those of each shard, and in a row
+    without shard all of them with their counts."""
+
+    def run(t: pa.Table) -> pa.Table:
+        a, b, n = (_flat(t[c]) for c in "abn")
+        row = np.repeat(np.arange(len(t)), pc.list_value_length(t["a"]).to_numpy())
+        order = np.lexsort((b, a))
+        a, b, row = a[order], b[order], row[order]
+        new = np.flatnonzero(np.concatenate([[True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])]))
+        f = np.add.reduceat(n[order], new)
+        often = f >= least
+        own = np.repeat(often, np.diff(np.append(new, len(a))))
+        by = np.argsort(row[own], kind="stable")
+        held = np.bincount(row[own], minlength=len(t))
+        first = new[often]
+        shards = pa.concat_arrays([t["shard"].combine_chunks(), pa.nulls(1, pa.int64())])
+        lengths = np.append(held, len(first))
+        counts = pa.concat_arrays([pa.nulls(len(t), pa.list_(pa.int64())), _lists(f[often], np.array([len(first)]))])
+        both = (_lists(np.concatenate([x[own][by], x[first]]), lengths) for x in (a, b))
+        return pa.Table.from_arrays([shards, pa.array([t["lang"][0].as_py()] * len(shards), pa.string()), *both, counts], schema=_FREQUENT).filter(pa.array(lengths > 0))
+
+    return run
+
+
+def _longer(most: int) -> Callable[[pa.Table, pa.Table], pa.Table]:
+    """A shard's phrases of four words or more, of frequent three-word phrases that overlap in two words."""
+
+    def run(blob: pa.Table, known: pa.Table) -> pa.Table:
+        if not len(known) or len(blob) == 1:
             return _COUNTS.empty_table()
-        maps, code, place, bits, pairs = _known(blob, known)
-        order = np.argsort(code * maps.places + place)
-        code, place, bits = code[order], place[order], bits[order]
-        both = pc.split_pattern(pairs, " ")
-        ends = pa.concat_arrays([pc.list_element(both, 0), pc.list_element(both, 1)]).dictionary_encode()
-        end = ends.indices.to_numpy(zero_copy_only=False).astype(np.int64)
-        first, last, words = end[: len(pairs)], end[len(pairs) :], ends.dictionary
-        right = Right(code, place, bits, first, maps.places)
+        ids = known["id"].to_numpy()
+        order = np.argsort(ids)
+        a, b = (order[np.searchsorted(ids, _flat(blob[c]), sorter=order)] for c in "ab")
+        blob = blob.filter(pc.is_valid(blob["blob"]))
+        threes = _Threes(blob, known, most)
+        met = np.flatnonzero(np.isin(threes.a * len(ids) + threes.b, a * len(ids) + b))
+        a, b = threes.a[met], threes.b[met]
+        number = np.full(len(threes.a), -1, np.int64)
+        number[met] = np.arange(len(met))
+        code, place = threes.maps.split()
+        code, own = number[code], number[code] >= 0
+        code, place, bits = code[own], place[own], threes.maps.bits[own]
+        right = Right(code, place, bits, a, threes.maps.places)
+        phrases, last = threes.longer(threes.pairs.take(pa.array(a)), b), b
         out: list[pa.RecordBatch] = []
-        stack = [(2, pairs, last, Bitmaps(code * maps.places + place, bits, maps.places))]
-        while stack:
-            depth, phrases, tail, level = stack.pop()
-            if len(level.keys) > BLOCK and len(phrases) > 1:  # halves of the phrases, the first one next
-                mid = len(phrases) // 2
-                at = int(np.searchsorted(level.keys, mid * level.places))
-                stack.append((depth, phrases[mid:], tail[mid:], Bitmaps(level.keys[at:] - mid * level.places, level.bits[at:], level.places)))
-                stack.append((depth, phrases[:mid], tail[:mid], Bitmaps(level.keys[:at], level.bits[:at], level.places)))
-                continue
-            c, p = level.split()
-            a, b, found = joined(right, c, p, level.bits, tail, len(pairs))
-            if not len(a):
-                continue
-            phrases = pc.binary_join_element_wise(phrases.take(pa.array(a)), words.take(pa.array(last[b])), " ")
-            c, p = found.split()
-            n = popcounts(c, p, found.bits, len(a), _prelude(most))
-            out.append(pa.RecordBatch.from_arrays([pa.array([blob["lang"][0].as_py()] * len(a), pa.string()), phrases, pa.array(n)], schema=_COUNTS))
-            if depth + 1 < most:
-                stack.append((depth + 1, phrases, last[b], found))
+        for _ in range(4, most + 1):
+            left, to, found = joined(right, code, place, bits, last, len(met))
+            if not len(left):
+                break
+            phrases, last = threes.longer(phrases.take(pa.array(left)), b[to]), b[to]
+            n = threes.counted(found, len(left))
+            out.append(pa.RecordBatch.from_arrays([pa.array([blob["lang"][0].as_py()] * len(left), pa.string()), phrases, pa.array(n)], schema=_COUNTS))
+            (code, place), bits = found.split(), found.bits
         return pa.Table.from_batches(out, _COUNTS)
 
     return run
@@ -288,14 +364,25 @@ def phrase_counts(docs: DataFrame, scratch: Scratch, least: int = 100, most: int
     total = scratch.write(first.where("code = -1").groupBy("lang").agg(F.sum("n").alias("n")), "total")
     frequent = [scratch.write(first.where("code = -2").groupBy("lang", "phrase").agg(F.sum("n").alias("f")).where(often), "words")]
     # a pair's counts are summed where its rows meet, a row a shard at most, so that they are shuffled once
-    pairs = first.where("code >= 0").select("shard", "lang", "code", "phrase", "n").withColumn("f", F.sum("n").over(Window.partitionBy("lang", "phrase"))).where(often).drop("n")
-    pairs = scratch.write(pairs, "pairs", "zstd")
-    frequent.append(scratch.write(pairs.select("lang", "phrase", "f").distinct(), "two"))
+    of = Window.partitionBy("lang", "phrase")
+    pairs = first.where("code >= 0").select("shard", "lang", "code", "phrase", "n").withColumn("f", F.sum("n").over(of)).where(often).drop("n")
+    # a pair's number is its first row's, where all its rows are
+    pairs = scratch.write(pairs.withColumn("id", F.monotonically_increasing_id()).withColumn("id", F.min("id").over(of)), "pairs", "zstd")
+    two = scratch.write(pairs.select("lang", "phrase", "f", "id").distinct(), "two")
+    frequent.append(two.drop("id"))
     if most > 2:
         blobs = first.where("code = -1").select("shard", "lang", "blob")
-        known = pairs.select(F.col("shard").alias("of"), "code", "phrase")
-        longer = blobs.groupBy("shard").cogroup(known.groupBy("of")).applyInArrow(_longer(most), "lang string, phrase string, n long")
-        frequent.append(scratch.write(longer.groupBy("lang", "phrase").agg(F.sum("n").alias("f")).where(often), "longer"))
+        known = pairs.select(F.col("shard").alias("of"), "code", "phrase", "id")
+        counted = blobs.groupBy("shard").cogroup(known.groupBy("of")).applyInArrow(_counted(most), COUNTED)
+        threes = scratch.write(counted.groupBy("lang", "block").applyInArrow(_frequent(least), "shard long, lang string, a array<long>, b array<long>, n array<long>"), "three", "zstd")
+        names = [two.select("lang", F.col("id").alias(c), F.col("phrase").alias(f"of_{c}")) for c in "ab"]
+        named = threes.where("shard IS NULL").select("lang", F.expr("inline(arrays_zip(a, b, n))")).join(names[0], ["lang", "a"]).join(names[1], ["lang", "b"])
+        frequent.append(scratch.write(named.select("lang", F.expr("concat(of_a, ' ', substring_index(of_b, ' ', -1))").alias("phrase"), F.col("n").alias("f")), "threes"))
+        if most > 3:
+            own = blobs.unionByName(threes.where("shard IS NOT NULL").drop("n"), allowMissingColumns=True)
+            longer = own.groupBy("shard").cogroup(known.groupBy("of")).applyInArrow(_longer(most), "lang string, phrase string, n long")
+            frequent.append(scratch.write(longer.groupBy("lang", "phrase").agg(F.sum("n").alias("f")).where(often), "longer"))
+        scratch.drop("three")
     scratch.drop("first", "pairs")
     every = frequent[0]
     for f in frequent[1:]:

@@ -121,3 +121,19 @@ def test_bitmaps_keep_their_bits():
     words, new = pa.array([b"a", b"b", b"a"], pa.large_binary()), np.array([True, False, False])
     known, maps = C.word_bitmaps(words, new, 0, 5)
     assert known.to_pylist() == [b"a", b"b"] and [bin(int(b)) for b in maps.bits] == ["0b101", "0b10"]
+
+
+@pytest.mark.parametrize("shard", [50, 1 << 20])
+def test_no_phrase_is_made_of_rare_ones(spark, monkeypatch, shard):
+    """Pairs are frequent here and longer phrases rare, but for one: shards make no rows of any other phrase."""
+    from pyspark.sql.pandas.group_ops import PandasCogroupedOps
+
+    rng = random.Random(9)
+    docs = [("en", " ".join(rng.choice("abcd") for _ in range(60))) for _ in range(20)] + [("en", "v w x y z")] * 40
+    made, apply = [], PandasCogroupedOps.applyInArrow
+    monkeypatch.setattr(PandasCogroupedOps, "applyInArrow", lambda *a: made.append(apply(*a)) or made[-1])
+    monkeypatch.setattr(C.Scratch, "drop", lambda *a: None)
+    counts, _ = C.phrase_counts(spark.createDataFrame(docs, "lang string, text string").coalesce(1), C.Scratch(spark, "rows"), 40, 5, shard)
+    got = {r.phrase: r.f for r in counts.where("phrase LIKE '% % %'").collect()}
+    assert got == dict.fromkeys(["v w x", "w x y", "x y z", "v w x y", "w x y z", "v w x y z"], 40)
+    assert {r.phrase for m in made if "phrase" in m.columns for r in m.collect()} == {"v w x y", "w x y z", "v w x y z"}
