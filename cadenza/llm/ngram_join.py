@@ -9,6 +9,9 @@ that hold frequent features alone last, which keeps common lines and passages fr
 band's upper neighbourhood sign in the next band too, since a partner may be larger by 1/t.
 
 Documents that share a signature form clusters; in a cluster, sets are compared exactly. Equal sets are taken once.
+Passages that many documents share chain unlike ones to clusters that grow faster than the input. So a large cluster's
+sets are first compared by parity sketches, of a bit or two a feature: two sets differ in as many features at least as
+their sketches differ in bits. The pairs that may be similar then form the clusters that are compared exactly.
 """
 
 from __future__ import annotations
@@ -58,6 +61,10 @@ class Bands:
         """How many features two similar sets of that total size differ in at most."""
         return total * self.gap.numerator // self.gap.denominator
 
+    def bits(self, band: int) -> int:
+        """How many bits a band's sketches have: a bit or two a feature, 64 at least; 2^20 do for the largest sets."""
+        return 1 << min(20, max(6, (int(self.top(np.int64(band))) - 1).bit_length()))
+
     def partitions(self, band: np.ndarray) -> np.ndarray:
         """A few more than k + 1, so that a set has more non-empty projections than k; many for small sets."""
         top = self.top(band)
@@ -180,6 +187,54 @@ def linked_forest(sets: list[np.ndarray], num: int, den: int) -> tuple[np.ndarra
     return np.concatenate(out_a), np.concatenate(out_b)
 
 
+def parities(s: np.ndarray, bits: int) -> bytes:
+    """A set's sketch: by the last bits of its features, whether an odd number of them is there. ``bits`` is a power of
+    two, 64 at least. Halves laid over each other by exclusive or are the sketch of half the bits."""
+    odd = np.bincount((s & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
+    return np.packbits(odd.astype(np.uint8)).tobytes()
+
+
+def _words(raw: list[bytes], bits: int) -> np.ndarray:
+    """Sketches of one size, folded to ``bits``: a row for each 64 bits, a column for each set."""
+    x = np.frombuffer(b"".join(raw), np.uint64).reshape(len(raw), -1)
+    while x.shape[1] * 64 > bits:
+        x = x[:, : x.shape[1] // 2] ^ x[:, x.shape[1] // 2 :]
+    return np.ascontiguousarray(x.T)
+
+
+def close_forest(x: list[bytes], n: np.ndarray, side: np.ndarray, bands: Bands) -> tuple[np.ndarray, np.ndarray]:
+    """Indices (a, b) of links that connect all sets that pairs connect whose sketches and sizes allow similarity: pairs
+    of a set of side 0 and one of side 1, or, if all are of side 0, any. Sketches of one side are of one size."""
+    one = np.flatnonzero(side == 0)
+    two = np.flatnonzero(side == 1)
+    alone = not len(two)
+    if alone:
+        two = one
+    if not len(one) or len(two) < 1 + alone:
+        return np.empty(0, np.int64), np.empty(0, np.int64)
+    bits = 8 * min(len(x[one[0]]), len(x[two[0]]))
+    w1, w2 = _words([x[i] for i in one], bits), _words([x[i] for i in two], bits)
+    n1, n2 = n[one], n[two]
+    root = np.arange(len(x))
+    step = max(1, (1 << 18) // len(two))
+    for lo in range(0, len(one), step):
+        rows, cols = slice(lo, lo + step), slice(lo if alone else 0, None)
+        far = np.abs(n1[rows, None] - n2[None, cols]).astype(np.int32)  # two sets differ in as many features at least
+        bit = np.zeros(far.shape, np.int32)
+        for u, v in zip(w1, w2, strict=True):
+            bit += np.bitwise_count(u[rows, None] ^ v[None, cols])
+        may = np.maximum(far, bit) <= bands.differ(n1[rows, None] + n2[None, cols])
+        may &= root[one[rows], None] != root[two[cols]][None, :]
+        a, b = np.nonzero(may)
+        if len(a):
+            nodes, to = forest(root[one[rows][a]], root[two[cols][b]])
+            new = np.arange(len(x))
+            new[nodes] = to
+            root = new[root]
+    a = np.flatnonzero(root != np.arange(len(x)))
+    return a, root[a]
+
+
 def _keys(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     """128 bits that stand for each set."""
     k1 = np.asarray([s.sum(dtype=np.uint64) for s in sets], np.uint64)
@@ -187,7 +242,7 @@ def _keys(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     return k1.view(np.int64), k2.view(np.int64)
 
 
-def near_duplicates(docs: DataFrame, words: int = 5, threshold: Fraction = Fraction(4, 5), tile: int = 1024, tile_shingles: int = 1 << 20, key: str = "doc_id", text: str = "text") -> DataFrame:
+def near_duplicates(docs: DataFrame, words: int = 5, threshold: Fraction = Fraction(4, 5), tile: int = 1024, tile_shingles: int = 1 << 20, sketch_tile: int = 2048, sketch_bytes: int = 4 << 20, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Per row of ``docs``: key (an integer), n_shingles, component_id (smallest key reachable by links, itself included).
 
     Whole texts are read: a document's set holds its distinct ``words``-word shingles (A-Z lower-cased); with fewer
@@ -197,17 +252,20 @@ def near_duplicates(docs: DataFrame, words: int = 5, threshold: Fraction = Fract
     no rows. All links count: nothing is capped, and copies of a set are taken once whatever their number.
 
     What tasks hold: signatures meet by hash, those of one task merged before; a cluster of more than two ``tile``s, of
-    documents or of ``tile_shingles``, is cut into tiles that meet in pairs, so a task holds about two tiles (and
-    at least one whole set). The list of frequent features has a bound that doesn't depend on the input.
+    documents or of ``tile_shingles``, is parted by sketches, which meet within their size band and with the next, in
+    tiles of ``sketch_tile`` documents or ``sketch_bytes``. What is still larger is cut into tiles that meet in pairs, so
+    a task holds about two tiles (and at least one whole set). The list of frequent features has a bound that doesn't
+    depend on the input.
     """
     spark = docs.sparkSession
     short_batches(spark)
     scratch = Scratch(spark, "ngram-join")
     num, den = threshold.numerator, threshold.denominator
+    bands = Bands(threshold)
     rows = docs.select(docs[key].cast("long").alias("id"), docs[text].alias("t"))
 
     def first_pass(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Per document its size and set key; per task the features that may be frequent, with counts."""
+        """Per document its size, set key, size band and sketch; per task the features that may be frequent, with counts."""
         counts: list[np.ndarray] = []
         seen: set[tuple[int, int]] = set()
         docs_here = held = 0
@@ -221,6 +279,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, threshold: Fraction = Fract
             return x[much], n[much]
 
         none = lambda n, kind: pa.nulls(n, kind)
+        names = ["id", "n", "k1", "k2", "band", "x", "feature", "times"]
         for batch in batches:
             sets = list(shingle_sets(texts_of(batch, "t"), words))
             k1, k2 = _keys(sets)
@@ -233,22 +292,25 @@ def near_duplicates(docs: DataFrame, words: int = 5, threshold: Fraction = Fract
             if held > 1_000_000:
                 kept, held = merge(), 0
             n = batch.num_rows
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(list(map(len, sets)), pa.int64()), pa.array(k1), pa.array(k2), none(n, pa.int64()), none(n, pa.int64())], names=["id", "n", "k1", "k2", "feature", "times"])
+            size = np.asarray(list(map(len, sets)), np.int64)
+            band = bands.band(size)
+            x = [parities(s, bands.bits(b)) if len(s) else None for s, b in zip(sets, band.tolist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(size), pa.array(k1), pa.array(k2), pa.array(band, pa.int64()), pa.array(x, pa.binary()), none(n, pa.int64()), none(n, pa.int64())], names=names)
         if counts:
             kept = merge()
         m = len(kept[0])
         if m:
-            yield pa.RecordBatch.from_arrays([*(none(m, pa.int64()) for _ in range(4)), pa.array(kept[0].view(np.int64)), pa.array(kept[1])], names=["id", "n", "k1", "k2", "feature", "times"])
+            yield pa.RecordBatch.from_arrays([*(none(m, pa.int64()) for _ in range(5)), none(m, pa.binary()), pa.array(kept[0].view(np.int64)), pa.array(kept[1])], names=names)
 
-    facts = scratch.write(rows.mapInArrow(first_pass, "id long, n long, k1 long, k2 long, feature long, times long"), "facts")
+    facts = scratch.write(rows.mapInArrow(first_pass, "id long, n long, k1 long, k2 long, band long, x binary, feature long, times long"), "facts")
     sized = facts.where("feature IS NULL").select("id", "n", "k1", "k2")
+    sketches = facts.where("x IS NOT NULL AND id IS NOT NULL").select("id", "n", "band", "x")
     total, features = sized.agg(F.count("*"), F.sum("n")).first()
     often = facts.where("feature IS NOT NULL").groupBy("feature").agg(F.sum("times").alias("times")).where(F.col("times") > max(2, FREQUENT * total))
     # bounded: the features' counts sum to all features, and each is above the share
     often = np.sort(often.select("feature").toArrow().column(0).to_numpy().astype(np.int64).view(np.uint64))
     frequent = spark.sparkContext.broadcast(often)
     buckets = max(64, -(-int(features or 0) * 2 // 5_000_000))
-    bands = Bands(threshold)
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Signatures by bucket. A signature's documents in this task become links to their first; that one is sent."""
@@ -317,14 +379,22 @@ def near_duplicates(docs: DataFrame, words: int = 5, threshold: Fraction = Fract
     rep = lambda side: whose.select(F.col("id").alias(side), F.col("rep").alias(f"{side}r"))
     ties = shared.join(rep("a"), "a").join(rep("b"), "b").select(F.col("ar").alias("a"), F.col("br").alias("b"))
     clusters = scratch.write(components(ties.where("a <> b"), scratch, "cluster"), "clusters")
-    clusters = clusters.union(clusters.select("component", "component").distinct())
-    clusters = clusters.join(heads.select(F.col("rep").alias("node"), "n"), "node")
-    sizes = clusters.groupBy("component").agg(F.count("*").alias("m"), F.sum("n").alias("ns"))
-    tiles = F.greatest(F.col("m") / tile, F.col("ns") / tile_shingles)
-    tiles = F.when(tiles <= 2, 1).otherwise(F.ceil(tiles)).cast("int")
-    member = clusters.join(sizes, "component").select(F.col("node").alias("id"), "component", tiles.alias("tiles"))
-    member = scratch.write(member, "member")
-    scratch.drop("shared", "clusters", "heads")
+
+    def cut(clusters: DataFrame) -> DataFrame:
+        """Clusters' members, and into how many tiles each cluster is cut."""
+        clusters = clusters.union(clusters.select("component", "component").distinct())
+        clusters = clusters.join(heads.select(F.col("rep").alias("node"), "n"), "node")
+        sizes = clusters.groupBy("component").agg(F.count("*").alias("m"), F.sum("n").alias("ns"))
+        tiles = F.greatest(F.col("m") / tile, F.col("ns") / tile_shingles)
+        tiles = F.when(tiles <= 2, 1).otherwise(F.ceil(tiles)).cast("int")
+        return clusters.join(sizes, "component").select(F.col("node").alias("id"), "component", tiles.alias("tiles"))
+
+    member, seen = scratch.counted(cut(clusters), "member", F.count(F.when(F.col("tiles") > 1, 1)).alias("large"))
+    if seen["large"]:
+        near = scratch.write(_maybe_near(sketches, member.where("tiles > 1"), scratch, bands, sketch_tile, sketch_bytes), "near")
+        parts = scratch.write(components(near, scratch, "part"), "parts")
+        member = scratch.write(member.where("tiles = 1").unionByName(cut(parts)), "parted")
+    scratch.drop("shared", "clusters", "heads", "sketches", "near", "parts")
 
     def reread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -352,13 +422,44 @@ def near_duplicates(docs: DataFrame, words: int = 5, threshold: Fraction = Fract
     links = links.union(whose.join(again, "id").select(F.col("rep").alias("a"), "b"))
     links = scratch.write(links.where("a <> b"), "links")
     comp = scratch.write(components(links, scratch), "components")
-    scratch.drop("member", "links")
+    scratch.drop("member", "parted", "links")
     reached = whose.join(comp, F.col("rep") == F.col("node"), "left").select(F.col("id").alias("wid"), F.coalesce("component", "rep").alias("c"))
     reached = reached.groupBy("wid").agg(F.min("c").alias("c"))
     out = sized.join(reached, F.col("id") == F.col("wid"), "left")
     return out.select(F.col("id").alias(key), F.col("n").alias("n_shingles"), F.coalesce("c", "id").alias("component_id"))
 
 
+def _maybe_near(sketches: DataFrame, member: DataFrame, scratch: Scratch, bands: Bands, tile: int, tile_bytes: int) -> DataFrame:
+    """Links (a, b) that connect, within each cluster of ``member``, all documents whose ``sketches`` (id, n, band, x)
+    allow similarity.
+
+    Partners are in the same or a neighbouring size band. A cluster's band is cut into tiles; each meets itself, the
+    others of its band and those of the next one, so a task holds the sketches of two tiles.
+    """
+    sketches = scratch.write(sketches.join(member.select("id", "component").hint("merge"), "id").distinct(), "sketches")
+    tiles = F.ceil(F.greatest(F.count("*") / tile, F.sum(F.octet_length("x").cast("long")) / tile_bytes)).cast("int")
+    tiles = sketches.groupBy("component", "band").agg(tiles.alias("tiles"))
+    tiles = tiles.groupBy("component").agg(F.map_from_entries(F.collect_list(F.struct("band", "tiles"))).alias("tiles"))
+    of = lambda band: F.coalesce(F.try_element_at("tiles", band), F.lit(0))
+    each = lambda n, f: F.transform(F.filter(F.sequence(F.lit(0), n), lambda o: o < n), f)
+    mine = F.pmod(F.xxhash64("id"), of(F.col("band"))).cast("int")
+    unit = lambda band, up, a, b, side: F.struct(band.alias("low"), F.lit(up).alias("up"), a.alias("a"), b.alias("b"), side.cast("int").alias("side"))
+    own = each(of(F.col("band")), lambda o: unit(F.col("band"), 0, F.least(F.col("mine"), o), F.greatest(F.col("mine"), o), F.col("mine") > o))
+    above = each(of(F.col("band") + 1), lambda o: unit(F.col("band"), 1, F.col("mine"), o, F.lit(0)))
+    below = each(of(F.col("band") - 1), lambda o: unit(F.col("band") - 1, 1, o, F.col("mine"), F.lit(1)))
+    units = sketches.join(tiles, "component").withColumn("mine", mine).withColumn("u", F.explode(F.concat(own, above, below)))
+    units = units.select("component", "u.low", "u.up", "u.a", "u.b", "u.side", "id", "n", "x")
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, t in groups_of(batches, 5):
+            ids = t.column("id").to_numpy()
+            a, b = close_forest(t.column("x").to_pylist(), t.column("n").to_numpy(), t.column("side").to_numpy(), bands)
+            yield pa.RecordBatch.from_arrays([pa.array(ids[a]), pa.array(ids[b])], names=["a", "b"])
+
+    keys = ("component", "low", "up", "a", "b")
+    return units.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(compare, "a long, b long")
+
+
 def _ids(d: np.ndarray) -> bytes:
     """Integers as a base and 32-bit gaps to it where they fit."""
     base = int(d.min())
